@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import audio_features, license_scan, quality_rules, url_vocabulary
 
 
 def queries() -> dict:
     return {
+        "op2_license_scan": license_scan.query,
+        "op6_audio_features": audio_features.query,
+        "op8_url_vocabulary": url_vocabulary.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op8_url_vocabulary": url_vocabulary.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
