@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import audio_features, license_scan, quality_rules, url_vocabulary
+from . import audio_features, license_scan, mixing, preferences, quality_rules, url_vocabulary
 
 
 def queries() -> dict:
     return {
         "op2_license_scan": license_scan.query,
+        "op3_mixing": mixing.query,
         "op6_audio_features": audio_features.query,
         "op8_url_vocabulary": url_vocabulary.query,
+        "op9_preferences": preferences.query,
         "op10_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_mixing": mixing.ORACLE,
         "op8_url_vocabulary": url_vocabulary.ORACLE,
+        "op9_preferences": preferences.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
