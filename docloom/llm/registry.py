@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import audio_features, license_scan, mixing, preferences, quality_rules, url_vocabulary
+from . import audio_features, language_model, license_scan, mixing, preferences, quality_rules, sentencepiece, url_vocabulary
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepiece.query,
         "op2_license_scan": license_scan.query,
         "op3_mixing": mixing.query,
+        "op4_language_model": language_model.query,
         "op6_audio_features": audio_features.query,
         "op8_url_vocabulary": url_vocabulary.query,
         "op9_preferences": preferences.query,
