@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, bag_minhash, language_model, license_scan, mixing, preferences, quality_rules, sentencepiece, url_vocabulary
+from . import audio_features, bag_minhash, language_model, license_scan, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": license_scan.query,
         "op3_mixing": mixing.query,
         "op4_language_model": language_model.query,
+        "op5_phrase_dedup": phrase_dedup.query,
         "op6_audio_features": audio_features.query,
         "op7_bag_minhash": bag_minhash.query,
         "op8_url_vocabulary": url_vocabulary.query,
