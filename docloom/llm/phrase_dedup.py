@@ -343,3 +343,16 @@ def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = ()) -> D
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def whole_characters(rows: DataFrame) -> DataFrame:
+    """The rows with ``text``, the characters that are whole in ``kept``: a passage may begin or end inside a character."""
+    columns = [c for c in rows.columns if c not in ("kept", "text")]
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns) + "text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else t.decode(errors="ignore") for t in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, "text"])
+
+    return rows.select(*columns, "kept").mapInArrow(run, schema)
