@@ -36,7 +36,7 @@ FREQUENT = 1 << 20
 #: Longer words, in bytes, are always joined: this bounds what is broadcast.
 LONGEST = 64
 #: Distinct words of which a task keeps the sum before it passes them on.
-GATHER = 1_000_000
+GATHER = 250_000
 
 WORD, END, GRAM = 0, 1, 2  # kinds of keys
 
@@ -102,18 +102,16 @@ def training_counts(docs: DataFrame) -> DataFrame:
 
 def table_of(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 probability of each byte after each two, from gram counts, by escapes with exclusion."""
-    full = np.zeros(1 << 24, np.float64)
-    full[codes] = n
-    full = full.reshape(256, 256, 256)
-    pair = full.sum(axis=0)
+    out = np.zeros((256, 256, 256), np.float32)  # counts, of which each second byte's are replaced in turn
+    out.reshape(-1)[codes] = n
+    pair = np.bincount(codes & 0xFFFF, weights=n, minlength=1 << 16).reshape(256, 256)
     single = pair.sum(axis=0)
-    out = np.empty((256, 256, 256), np.float32)
     for b in range(256):
         left = np.ones((256, 1))  # what the escapes so far leave
         p = np.zeros((256, 256))
         open_ = np.ones((256, 256), bool)  # not excluded
-        for counts in (full[:, b], np.broadcast_to(pair[b], (256, 256)), np.broadcast_to(single, (256, 256))):
-            own = np.where(open_, counts, 0)
+        for counts in (out[:, b], np.broadcast_to(pair[b], (256, 256)), np.broadcast_to(single, (256, 256))):
+            own = np.where(open_, counts, 0).astype(np.float64)
             distinct = (own > 0).sum(axis=1, keepdims=True)
             total = own.sum(axis=1, keepdims=True) + distinct
             with np.errstate(invalid="ignore", divide="ignore"):
