@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers"]
+
+
+def _all() -> dict:
+    return {name: pair for m in MODULES for name, pair in import_module(f"docloom.{m}").QUERIES.items()}
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    return queries()["bm25_topk"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
