@@ -3,8 +3,7 @@
 Texts of a batch are cut where a blank follows another character, and around ASCII
 characters that no piece has. No piece crosses such a place (checked when a model is
 loaded), so the distinct chunks stand for the texts. The
-chunks are concatenated and their suffixes sorted by as many bytes as the longest piece
-has. Every piece is found by binary search as a range of suffixes; each occurrence is an
+chunks are concatenated and their suffixes sorted. Every piece is found by binary search as a range of suffixes; each occurrence is an
 edge from its first to its last byte. Edges are sorted by their ends and relaxed: the
 encoding of a prefix ends with the longest edge whose piece may follow the last piece of
 the encoding of what is before it. Two pieces may follow each other if merging by the
@@ -30,13 +29,15 @@ from .common import binary_array, lookup, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Texts of one suffix array, in bytes before chunks are made distinct.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of chunks whose edges are made at a time.
-PART_BYTES = 512 << 10
+PART_BYTES = 256 << 10
+#: Bytes by which suffixes are sorted; few pieces are longer.
+DEPTH = 16
 #: Chunks longer than this are relaxed one by one.
 LONG = 512
 #: Distinct chunks whose encodings a task keeps from batch to batch.
-KEPT = 300_000
+KEPT = 600_000
 
 NONE = np.int64(1) << 40  # no merge
 
@@ -164,7 +165,7 @@ def occurrences(keys: list[np.ndarray], piece: bytes, lo: int = 0, hi: int | Non
 def edges(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, piece and chunk of every occurrence of a piece inside a chunk."""
     sizes = np.array([len(v.raw[r]) for r in v.order])
-    order, keys = suffixes(data, -(-int(sizes.max()) // 8) * 8)
+    order, keys = suffixes(data, DEPTH)
     short = np.flatnonzero(sizes <= 8)
     lo, hi = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     least = np.array([int.from_bytes(v.raw[v.order[i]].ljust(8, b"\0"), "big") for i in short], np.uint64)
@@ -178,6 +179,11 @@ def edges(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     end = start + np.repeat(sizes, count)
     chunk = np.repeat(np.arange(len(off) - 1), np.diff(off))[start]
     inside = end <= off[chunk + 1]
+    first = np.cumsum(count) - count
+    for i in np.flatnonzero((sizes > DEPTH) & (count > 0)):  # the rest of the longest pieces is compared as it is
+        rest, lo_, n = np.frombuffer(v.raw[v.order[i]][DEPTH:], np.uint8), first[i], count[i]
+        own = np.arange(lo_, lo_ + n)[inside[lo_ : lo_ + n]]
+        inside[own] = (data[start[own][:, None] + DEPTH + np.arange(len(rest))] == rest).all(axis=1)
     return start[inside], end[inside], np.repeat(np.array(v.order), count)[inside], chunk[inside]
 
 
@@ -186,8 +192,10 @@ def candidates(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.nda
     start, end, piece, chunk = edges(v, data, off)
     head = np.flatnonzero((data & 0xC0) != 0x80)
     size = np.diff(np.append(head, len(data)))
+    width = np.zeros(len(data), np.int64)
+    width[head] = size
     known = np.zeros(len(data), bool)
-    known[start[end - start == size[np.searchsorted(head, start, "right") - 1]]] = True
+    known[start[end - start == width[start]]] = True
     lone = ~known[head]
     start, end = np.concatenate([start, head[lone]]), np.concatenate([end, head[lone] + size[lone]])
     piece = np.concatenate([piece, np.full(int(lone.sum()), v.unknown)])
@@ -308,12 +316,10 @@ class Encoder:
         coded = binary_array(data, np.append(at, len(data))).dictionary_encode()
         place = pc.index_in(coded.dictionary, self.chunks)
         new = pc.filter(coded.dictionary, pc.is_null(place))
+        if len(self.chunks) + len(new) > KEPT:  # begin anew, with this batch's chunks
+            self.chunks, self.ids, new = self.chunks[:0], self.ids[:0], coded.dictionary
         if len(new):
             ids, cuts = encode_chunks(self.v, *text_bytes(new))
-            if len(self.chunks) + len(new) > KEPT:  # begin anew, with this batch's chunks
-                self.chunks, self.ids = new[:0], self.ids[:0]
-                ids, cuts = encode_chunks(self.v, *text_bytes(coded.dictionary))
-                new = coded.dictionary
             self.ids = pa.concat_arrays([self.ids, pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(ids, pa.int32()))])
             self.chunks = pa.concat_arrays([self.chunks, new])
             place = pc.index_in(coded.dictionary, self.chunks)
