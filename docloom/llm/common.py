@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised helpers take at a time; bounds their memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -58,6 +59,15 @@ def binary_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
     )
 
 
+def tidy() -> None:
+    """Give freed memory back to the system; a worker lives on, and the next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows in order, in parts whose texts have at most ``most`` bytes (one row at least)."""
     for batch in batches:
@@ -69,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(begin + 1, int(np.searchsorted(off, off[begin] + most, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    tidy()
 
 
 def per_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:

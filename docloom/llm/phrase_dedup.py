@@ -16,10 +16,10 @@ fingerprints of these windows, and each learns which of its first places are not
 corpus's first.
 
 A trigger or a window that is everywhere is sent once by each block, so no task gets a
-row for every copy. Equality across blocks is by 128 bits of hashes, inside one by bytes.
+row for every copy. Equality across blocks is by 96 bits of hashes and more, inside one by bytes.
 
-Null texts are empty. Ids are integers; documents of equal ids (repeated rows) are in the
-order of the scan, null ids come last. Long documents are parsed in pieces.
+Null texts are empty. Ids are integers; documents of equal ids (repeated rows) are in a
+fixed order by blocks, then by the scan; null ids come last. Long documents are parsed in pieces.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bag_minhash import BASE, mix, numbered, powers
-from .common import SLICE_BYTES, text_bytes
+from .common import text_bytes, tidy
 
 WIDTH = 100
 GRAM = 32
 #: Bytes of text in a block, and of text for each bucket of fingerprints.
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 64
+#: Bytes that are parsed at a time.
+PIECE_BYTES = 1 << 20
 
 MANY = np.uint64(0)  # in place of a fingerprint: several phrases of one trigger
 LAST_ID = np.int64((1 << 63) - 1)
@@ -58,7 +60,7 @@ def _range(upto: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray)
     return mix((upto[b] - upto[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
-def pieces(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(off: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Parts of the data: their bounds, the offsets of texts in them, and what row each text is.
 
     A text of more than ``most`` bytes comes in pieces that overlap by a window less a byte.
@@ -106,7 +108,7 @@ def _triggers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def parse(data: np.ndarray, off: np.ndarray) -> Runs:
-    """Row, first and last window (positions in the row), trigger and fingerprint of every phrase."""
+    """Row, first and last window (positions in the row), trigger and fingerprint of every phrase, in corpus order."""
     out = [[], [], [], [], []]
     for lo, hi, cuts, rows in pieces(off):
         first, last, h, f, text = _triggers(data[lo:hi], cuts)
@@ -146,35 +148,45 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) ->
     return rank
 
 
-def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's documents in corpus order: table, ids, rows, bytes and offsets."""
+def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's documents in corpus order: table, ids, bytes and offsets."""
     ids = table.column("doc_id").cast(pa.int64()).fill_null(int(LAST_ID)).to_numpy()
     by = np.lexsort((table.column("row").to_numpy(), ids))
     table = table.take(pa.array(by)).combine_chunks()
     text = table.column("text").cast(pa.large_binary()).combine_chunks()
-    return table, ids[by], table.column("row").to_numpy(), *text_bytes(text)
+    return table, ids[by], *text_bytes(text)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c).astype("<i8" if c.dtype.kind == "i" else "<u8").tobytes() for c in columns)
+    """Columns of 64-bit numbers, by planes of bytes: those of small numbers are mostly zeros, which Spark's shuffle compresses."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
 
 
 def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
-    flat = np.frombuffer(raw, np.uint64)
-    return list(flat.reshape(n, -1))
+    planes = np.frombuffer(raw, np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).view(np.uint64).reshape(-1) for p in planes]
 
 
-def _all(payloads: list[bytes], n: int) -> list[np.ndarray]:
+def _steps(ids: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the differences, which are small."""
+    return np.diff(ids, prepend=0)
+
+
+def _all(payloads: list[bytes], n: int, steps: int | None = None) -> list[np.ndarray]:
+    """The columns of all payloads; the one in place ``steps`` was passed through ``_steps``."""
     parts = [_unpack(p, n) for p in payloads]
+    if steps is not None:
+        for p in parts:
+            p[steps] = np.cumsum(p[steps])
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * n
 
 
-def _deal(key: np.ndarray, buckets: int, block: int, kind: int, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Rows (bucket, block, kind, payload) of the columns dealt out by a hash."""
+def _deal(key: np.ndarray, buckets: int, block: int, kind: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """Rows (bucket, block, kind, payload) of ids, in their order, and other columns, dealt out by a hash."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     at = np.flatnonzero(np.diff(np.append(-1, bucket[by])))
-    return [(int(bucket[by[a]]), block, kind, _pack(*(c[by[a:b]] for c in columns))) for a, b in zip(at, np.append(at[1:], len(by)))]
+    return [(int(bucket[by[a]]), block, kind, _pack(_steps(ids[by[a:b]]), *(c[by[a:b]] for c in columns))) for a, b in zip(at, np.append(at[1:], len(by)))]
 
 
 MOVED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -187,21 +199,23 @@ def _moved(rows: list[tuple]) -> pa.Table:
 
 def send_triggers(table: pa.Table, buckets: int) -> pa.Table:
     """A block's row for each trigger: its fingerprint, or MANY, and its first place."""
-    table, ids, rows, data, off = _ordered(table)
+    table, ids, data, off = _ordered(table)
     runs = parse(data, off)
     by, _, begin, kinds = local(runs)
-    one = by[begin]
-    f = np.where(kinds > 1, MANY, runs[4][one])
-    block = int(table.column("block")[0].as_py())
-    return _moved(_deal(runs[3][one], buckets, block, 0, runs[3][one], f, ids[runs[0][one]], rows[runs[0][one]], runs[1][one]))
+    one, f = by[begin], np.where(kinds > 1, MANY, runs[4][by[begin]])
+    o = np.argsort(one)  # in corpus order
+    one, f = one[o], f[o]
+    out = _moved(_deal(runs[3][one], buckets, int(table.column("block")[0].as_py()), 0, ids[runs[0][one]], runs[3][one], f, runs[1][one]))
+    tidy()
+    return out
 
 
 def judge_triggers(table: pa.Table) -> pa.Table:
     """For each block the triggers that others have, too: 1, its phrase is an earlier one's copy; 2, windows must be compared."""
     payloads = table.column("payload").to_pylist()
-    block = np.repeat(table.column("block").to_numpy(), [len(p) // 40 for p in payloads])
-    h, f, ids, rows, at = _all(payloads, 5)
-    by = np.lexsort((at, rows.view(np.int64), ids.view(np.int64), f, h))
+    block = np.repeat(table.column("block").to_numpy(), [len(p) // 32 for p in payloads])
+    ids, h, f, at = _all(payloads, 4, 0)
+    by = np.lexsort((at, block, ids.view(np.int64), f, h))
     h, f, block = h[by], f[by], block[by]
     head = np.ones(len(h), bool)
     head[1:] = h[1:] != h[:-1]
@@ -222,7 +236,7 @@ def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """What a block knows to be repeated (kind 1), and the first places of windows that others may have (kind 0)."""
     if not table.num_rows:
         return _moved([])
-    table, ids, rows, data, off = _ordered(table)
+    table, ids, data, off = _ordered(table)
     block = int(table.column("block")[0].as_py())
     runs = parse(data, off)
     row, first, last, h, f = runs
@@ -233,12 +247,14 @@ def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(by))))
     heads = h[by[begin]]
     place = np.minimum(np.searchsorted(known, heads), max(0, len(known) - 1))
-    says = np.where(known[place] == heads, verdict[place], 0) if len(known) else np.zeros(len(heads), np.int64)
-    says = np.where(kinds > 1, 2, says)
+    shared = known[place] == heads if len(known) else np.zeros(len(heads), bool)
+    says = np.where(shared, verdict[place], 0) if len(known) else np.zeros(len(heads), np.int64)
+    elsewhere, says = says == 2, np.where(kinds > 1, 2, says)
     whole = ~fresh | (says[group] == 1)
     done = by[whole]
     out = [(row[done], first[done], last[done] + WIDTH)]
-    edge = by[~whole & (says[group] == 2)]
+    compare = ~whole & (says[group] == 2)
+    edge, others = by[compare], elsewhere[group][compare]
     sent = []
     if len(edge):
         size = last[edge] - first[edge] + WIDTH
@@ -249,19 +265,23 @@ def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         starts = np.repeat(cut[:-1], many) + inside
         of, pos = np.repeat(row[edge], many), np.repeat(first[edge], many) + inside
+        which = np.repeat(np.arange(len(edge)), many)
         rank = suffix_classes(dictionary, starts)
         o = np.lexsort((pos, of, rank))
         fresh = np.ones(len(o), bool)
         fresh[1:] = rank[o[1:]] != rank[o[:-1]]
         again, one = o[~fresh], o[fresh]
+        one = one[others[which[one]]]
+        one = one[np.lexsort((pos[one], of[one]))]
         out.append((of[again], pos[again], pos[again] + WIDTH))
         upto, inverse = _hashes(dictionary)
         key = _range(upto, inverse, starts[one], starts[one] + WIDTH)
-        trigger = np.repeat(h[edge], many)[one]
-        sent = _deal(key, buckets, block, 0, key, trigger, ids[of[one]], rows[of[one]], pos[one], of[one])
+        trigger = h[edge][which[one]] & np.uint64(0xFFFFFFFF)
+        sent = _deal(key, buckets, block, 0, ids[of[one]], key, trigger, pos[one], of[one])
     spans = merged(*(np.concatenate(x) for x in zip(*out)))
     if len(spans[0]):
         sent.append((block % buckets, block, 1, _pack(*spans)))
+    tidy()
     return _moved(sent)
 
 
@@ -285,9 +305,9 @@ def judge_windows(table: pa.Table) -> pa.Table:
     out = [(0, b, 1, p) for k, b, p in zip(kinds, blocks, payloads) if k == 1]
     own = [(b, p) for k, b, p in zip(kinds, blocks, payloads) if k == 0]
     if own:
-        key, trigger, ids, rows, pos, of = _all([p for _, p in own], 6)
-        block = np.repeat(np.array([b for b, _ in own]), [len(p) // 48 for _, p in own])
-        by = np.lexsort((pos, rows.view(np.int64), ids.view(np.int64), trigger, key))
+        ids, key, trigger, pos, of = _all([p for _, p in own], 5, 0)
+        block = np.repeat(np.array([b for b, _ in own]), [len(p) // 40 for _, p in own])
+        by = np.lexsort((pos, block, ids.view(np.int64), trigger, key))
         key, trigger, block = key[by], trigger[by], block[by]
         again = np.zeros(len(key), bool)
         again[1:] = (key[1:] == key[:-1]) & (trigger[1:] == trigger[:-1])
@@ -305,7 +325,7 @@ def remove(table: pa.Table, told: pa.Table, keep: bool) -> pa.Table:
     if not table.num_rows:
         names = [c for c in table.column_names if c not in ("block", "row", "text")]
         return table.select(names).append_column("n_bytes", pa.array([], pa.int64()))
-    table, _, _, data, off = _ordered(table)
+    table, _, data, off = _ordered(table)
     row, a, b = (x.view(np.int64) for x in _all(told.column("payload").to_pylist(), 3))
     row, a, b = merged(row, a, b)
     change = np.zeros(len(data) + 1, np.int8)
@@ -319,7 +339,9 @@ def remove(table: pa.Table, told: pa.Table, keep: bool) -> pa.Table:
     out = out.append_column("n_bytes", pa.array(n, pa.int64())).append_column("n_removed", pa.array(n - np.diff(cut), pa.int64()))
     out = out.append_column("n_spans", pa.array(np.bincount(row, minlength=len(n)), pa.int64()))
     out = out.append_column("kept_sha256", pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
-    return out.append_column("kept", pa.array(texts, pa.binary())) if keep else out
+    out = out.append_column("kept", pa.array(texts, pa.binary())) if keep else out
+    tidy()
+    return out
 
 
 def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
