@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers"]
+MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers", "operators.structure"]
 
 
 def _all() -> dict:
