@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, slices, staged, text_bytes, words
+from .common import SPACE, slices, staged, text_bytes, tidy, words
 from .components import components
 
 SHINGLE = 5
@@ -213,13 +213,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     parts = F.ceil(F.col("m") / PART).cast("int")
     sizes = families.groupBy("component").agg(F.count("*").alias("m")).select("component", parts.alias("parts"))
     placed = families.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    texts = docs.select(F.col("row").alias("id"), "text").join(placed, "id")
+    texts = docs.select(F.col("row").alias("id"), "text").join(placed.hint("merge"), "id")  # placed grows with the corpus
     blocks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select("component", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "id", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         found = links(table.column("text").combine_chunks(), least)
+        tidy()
         return pa.table({"a": pa.array(ids[[x for x, _ in found]], pa.int64()), "b": pa.array(ids[[y for _, y in found]], pa.int64())})
 
     verified = blocks.groupBy("component", "x", "y").applyInArrow(verify, "a bigint, b bigint")
