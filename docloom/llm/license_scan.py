@@ -175,7 +175,7 @@ def license_scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
                 names=[*carry, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
             )
 
-    return docs.select(*carry, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*carry, text))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
