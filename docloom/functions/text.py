@@ -108,7 +108,7 @@ def stem(term: Column) -> Column:
 
 
 def heading_parts(heading: Column) -> Column:
-    return F.filter(F.transform(F.split(heading, r"\s*[>/|]\s*"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(heading, r"\s*[>/|]\s*"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def common_prefix(a: Column, b: Column) -> Column:

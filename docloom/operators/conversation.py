@@ -61,7 +61,7 @@ def context_packet(turns: DataFrame, recent: int = 8, most: int = 8) -> DataFram
     kept = turns.filter(F.col("role").isin("user", "assistant"))
     rows = kept.withColumn("model", F.when(user, F.nullif(F.regexp_extract("text", MODEL, 1), F.lit(""))))
     clauses = F.filter(F.split("text", r"[。；;.!?！？\n]+"), lambda c: c.rlike(CONSTRAINT))
-    rows = rows.withColumn("constraints", F.when(user, F.transform(clauses, F.trim)).otherwise(F.expr("CAST(array() AS array<string>)")))
+    rows = rows.withColumn("constraints", F.when(user, F.transform(clauses, lambda c: F.trim(c))).otherwise(F.expr("CAST(array() AS array<string>)")))
     per = rows.groupBy("conv_id").agg(
         F.max_by("model", F.when(F.col("model").isNotNull(), F.col("turn"))).alias("model"),
         F.array_sort(F.collect_list(F.struct("turn", "constraints"))).alias("said"),
