@@ -232,10 +232,10 @@ QUERIES = {
     ),
     "alias_route": (
         lambda s, d: alias_route(
-            table(s, d, "documents").select(F.col("doc_id").alias("qid"), F.substring("text", 1, 300).alias("text")), table(s, d, "part").select(F.substring_index("p_name", " ", -1).alias("alias"), F.col("p_brand").alias("product")).unionByName(table(s, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("alias"), F.concat(F.lit("b"), "item_id").alias("product")))
+            table(s, d, "documents").select(F.col("doc_id").alias("qid"), "text"), table(s, d, "part").select(F.substring_index("p_name", " ", -1).alias("alias"), F.col("p_brand").alias("product")).unionByName(table(s, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("alias"), F.concat(F.lit("b"), "item_id").alias("product")))
         ),
         f"""WITH al AS (SELECT DISTINCT array_to_string({R._W.format("alias")}, ' ') AS phrase, product FROM (SELECT string_split(p_name, ' ')[-1] AS alias, p_brand AS product FROM part UNION ALL SELECT array_to_string(string_split(text, ' ')[1:2], ' '), 'b' || item_id FROM benchmark)),
-        dd AS (SELECT doc_id AS qid, {R._W.format("substr(text, 1, 300)")} AS w FROM documents), q AS (SELECT qid, unnest({_NG.format(lo=1, hi=4)}) AS phrase FROM dd)
+        dd AS (SELECT doc_id AS qid, {R._W.format("text")} AS w FROM documents), q AS (SELECT qid, unnest({_NG.format(lo=1, hi=4)}) AS phrase FROM dd)
         SELECT qid, max_by(product, (length(phrase), product)) AS product, CAST(max(length(phrase)) AS INT) AS size FROM q JOIN al USING (phrase) WHERE phrase <> '' GROUP BY qid""",
     ),
     "product_candidates": (

@@ -109,7 +109,7 @@ def _catalog(s, d):
 
 
 def _pending(s, d):
-    return table(s, d, "documents").filter("doc_id % 37 = 0").select(F.col("source").alias("product"))
+    return table(s, d, "documents").filter("source IN ('src3', 'src7')").select(F.col("source").alias("product"))
 
 
 def _paths(s, d):
@@ -123,7 +123,7 @@ def _continued(s, d):
     return continued(A.overlap_scores(pairs).filter("strong").select("block", "passage", "score"), grams)
 
 
-_C = f"WITH {SECTIONS}, cat AS (SELECT product, count(*) AS section_count, max(doc_id) AS data_time, max(doc_id - 1) AS index_time FROM sections GROUP BY product), pend AS (SELECT DISTINCT source AS product FROM documents WHERE doc_id % 37 = 0)"
+_C = f"WITH {SECTIONS}, cat AS (SELECT product, count(*) AS section_count, max(doc_id) AS data_time, max(doc_id - 1) AS index_time FROM sections GROUP BY product), pend AS (SELECT DISTINCT source AS product FROM documents WHERE source IN ('src3', 'src7'))"
 
 QUERIES = {
     "manual_listing": (lambda s, d: listing(_catalog(s, d), _pending(s, d)).select("product", "section_count", "index_status"), f"{_C} SELECT product, section_count, CASE WHEN product IN (SELECT product FROM pend) THEN 'pending' ELSE 'ready' END AS index_status FROM cat"),
@@ -134,17 +134,17 @@ QUERIES = {
     ),
     "resolve_names": (
         lambda s, d: resolve_names(
-            table(s, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.lower(F.regexp_replace("c_name", "#", " - "))).otherwise(F.col("c_name")).alias("name")), table(s, d, "customer").filter("c_custkey % 3 > 0").select(F.col("c_name").alias("product"))
+            table(s, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.lower(F.regexp_replace("c_name", "#", " - "))).otherwise(F.col("c_name")).alias("name")), table(s, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_name").alias("product"))
         ),
-        "WITH p AS (SELECT c_name AS product, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS key FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(replace(c_name, '#', ' - ')) ELSE c_name END AS name FROM customer) SELECT name, p.product FROM n LEFT JOIN p ON regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = key",
+        "WITH p AS (SELECT c_name AS product, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS key FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(replace(c_name, '#', ' - ')) ELSE c_name END AS name FROM customer) SELECT name, p.product FROM n LEFT JOIN p ON regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = key",
     ),
     "caption_evidence": (
         lambda s, d: caption_evidence(sections(s, d).select(F.col("doc_id").alias("qid"), F.col("section_id").alias("rank"), F.col("text").alias("caption"), F.when(F.col("section_id") % 4 == 0, "noise").when(F.col("section_id") % 4 == 1, "info_table").otherwise("figure").alias("category"), F.when(F.col("section_id") % 3 == 0, "mismatch").alias("section_fit"))).select("qid", "rank", "k", F.md5("caption").alias("digest")),
         f"WITH {SECTIONS}, g AS (SELECT doc_id AS qid, section_id AS rank, text, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) AS k FROM sections WHERE section_id % 4 <> 0 AND (section_id % 3 <> 0 OR section_id % 4 = 1)) SELECT qid, rank, k, md5(substr(text, 1, 260)) AS digest FROM g WHERE k <= 8",
     ),
     "section_family": (
-        lambda s, d: family(_paths(s, d), _paths(s, d).filter("section_id LIKE '%-3'").withColumn("qid", F.lit(1)), 60),
-        f"WITH {SECTIONS}, p AS (SELECT product, doc_id || '-' || section_id AS section_id, product || '/g' || (doc_id % 97) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE s.section_id LIKE '%-3'",
+        lambda s, d: family(_paths(s, d), _paths(s, d).filter("length(path[2]) < 25").withColumn("qid", F.lit(1)), 60),
+        f"WITH {SECTIONS}, p AS (SELECT product, doc_id || '-' || section_id AS section_id, heading, product || '/g' || (doc_id % 97) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE length(s.heading) < 25",
     ),
     "section_preview": (lambda s, d: preview(sections(s, d), 60).select("doc_id", "section_id", "text"), f"WITH {SECTIONS} SELECT doc_id, section_id, substr(text, 1, 60) AS text FROM sections"),
     "align_continuation": (_continued, None),

@@ -123,9 +123,9 @@ QUERIES = {
     ),
     "audit_merge": (
         lambda s, d: merged_traces(
-            requests(s, d).filter("event_id % 2 = 0").select("request_id", F.lit("p").alias("path"), F.col("category").alias("item_key"), F.col("product").alias("value")),
-            requests(s, d).filter("event_id % 3 = 0").select("request_id", F.lit("p").alias("path"), F.col("category").alias("item_key"), F.trim("product").alias("value")),
+            requests(s, d).filter("status_code = 200").select("request_id", F.lit("p").alias("path"), F.col("category").alias("item_key"), F.col("product").alias("value")),
+            requests(s, d).filter("duration_ms > 20").select("request_id", F.lit("p").alias("path"), F.col("category").alias("item_key"), F.trim("product").alias("value")),
         ),
-        f"WITH {REQUESTS} SELECT coalesce(o.request_id, n.request_id) AS request_id, 'p' AS path, coalesce(o.category, n.category) AS item_key, coalesce(nullif(trim(n.product), ''), o.product) AS value FROM (SELECT * FROM requests WHERE event_id % 2 = 0) o FULL JOIN (SELECT * FROM requests WHERE event_id % 3 = 0) n ON o.request_id = n.request_id",
+        f"WITH {REQUESTS} SELECT coalesce(o.request_id, n.request_id) AS request_id, 'p' AS path, coalesce(o.category, n.category) AS item_key, coalesce(nullif(trim(n.product), ''), o.product) AS value FROM (SELECT * FROM requests WHERE status_code = 200) o FULL JOIN (SELECT * FROM requests WHERE duration_ms > 20) n ON o.request_id = n.request_id",
     ),
 }

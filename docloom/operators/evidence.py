@@ -198,14 +198,14 @@ QUERIES = {
     ),
     "parent_results": (
         lambda s, d: with_parents(
-            sections(s, d).filter("section_id % 2 = 1").select(F.col("doc_id").alias("product"), "section_id", (F.col("section_id") - F.col("doc_id") % 3).alias("parent_section_id"), "heading", "text"),
-            sections(s, d).filter("section_id % 3 <> 0").select(F.col("doc_id").alias("product"), "section_id", "heading", "text"),
+            sections(s, d).select(F.col("doc_id").alias("product"), "section_id", (F.col("section_id") - F.col("doc_id") % 3).alias("parent_section_id"), "heading", "text"),
+            sections(s, d).filter("char_len > 80").select(F.col("doc_id").alias("product"), "section_id", "heading", "text"),
         ).select("product", "section_id", "heading", F.length("text").alias("n")),
-        f"WITH {SECTIONS} SELECT a.doc_id AS product, a.section_id, coalesce(b.heading, a.heading) AS heading, CAST(length(coalesce(b.text, a.text)) AS INT) AS n FROM sections a LEFT JOIN sections b ON a.doc_id = b.doc_id AND b.section_id = a.section_id - a.doc_id % 3 AND b.section_id % 3 <> 0 WHERE a.section_id % 2 = 1",
+        f"WITH {SECTIONS} SELECT a.doc_id AS product, a.section_id, coalesce(b.heading, a.heading) AS heading, CAST(length(coalesce(b.text, a.text)) AS INT) AS n FROM sections a LEFT JOIN sections b ON a.doc_id = b.doc_id AND b.section_id = a.section_id - a.doc_id % 3 AND b.char_len > 80",
     ),
     "sibling_sections": (
-        lambda s, d: siblings(sections(s, d), sections(s, d).filter("section_id % 5 = 1").withColumn("qid", F.col("doc_id") % 4)),
-        f"""WITH {SECTIONS}, s AS (SELECT doc_id % 4 AS qid, doc_id, section_id AS seed, {R._TERMS.format("text")} AS said FROM sections WHERE section_id % 5 = 1), h AS (SELECT doc_id, section_id, {R._TERMS.format("heading")} AS terms FROM sections),
+        lambda s, d: siblings(sections(s, d), sections(s, d).withColumn("qid", F.col("doc_id") % 4)),
+        f"""WITH {SECTIONS}, s AS (SELECT doc_id % 4 AS qid, doc_id, section_id AS seed, {R._TERMS.format("text")} AS said FROM sections), h AS (SELECT doc_id, section_id, {R._TERMS.format("heading")} AS terms FROM sections),
         p AS (SELECT qid, s.doc_id, seed, section_id, CAST(len(list_intersect(said, terms)) AS INT) AS hits, len(terms) AS n FROM s JOIN h ON s.doc_id = h.doc_id AND seed <> section_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, seed ORDER BY hits DESC, section_id) AS k FROM p WHERE hits >= 2 AND hits >= 0.45 * greatest(n, 1)) SELECT qid, doc_id, seed, section_id, hits FROM k WHERE k <= 2""",
     ),
@@ -238,8 +238,8 @@ QUERIES = {
         f"WITH {SECTIONS} SELECT product, CASE WHEN char_len < 140 THEN 'short' WHEN char_len > 1008 THEN 'long' ELSE 'ready' END AS label, count(*) AS n FROM sections GROUP BY ALL",
     ),
     "question_answers": (
-        lambda s, d: joined_answers(table(s, d, "documents").filter("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.lit("q").alias("question")), table(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, " ").otherwise("a").alias("answer"))).select("id", "wrong"),
-        "SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'no question' WHEN l.doc_id IS NULL THEN 'no answer' WHEN toxic = 1 THEN 'blank' END AS wrong FROM (SELECT doc_id FROM documents WHERE doc_id % 3 > 0) d FULL JOIN labels l ON d.doc_id = l.doc_id",
+        lambda s, d: joined_answers(table(s, d, "documents").filter("lang <> 'fr'").select(F.col("doc_id").alias("id"), F.lit("q").alias("question")), table(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, " ").otherwise("a").alias("answer"))).select("id", "wrong"),
+        "SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN d.doc_id IS NULL THEN 'no question' WHEN l.doc_id IS NULL THEN 'no answer' WHEN toxic = 1 THEN 'blank' END AS wrong FROM (SELECT doc_id FROM documents WHERE lang <> 'fr') d FULL JOIN labels l ON d.doc_id = l.doc_id",
     ),
     "keyword_sanitize": (
         lambda s, d: sanitized_keywords(_ask(s, d).select("qid", F.explode(F.split("text", r"\.\s")).alias("keyword")).unionByName(_ask(s, d).select((F.col("qid") + 1).alias("qid"), F.substring_index("text", " ", 2).alias("keyword"))), _ask(s, d)),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -158,37 +156,41 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def dense_top(vectors: DataFrame, queries: list[tuple[int, list[float]]], n: int, scope: str | None = None, scopes: dict | None = None) -> DataFrame:
-    """The n nearest ``vectors`` (vec_id, embedding, and a column ``scope``) of each query by cosine.
+#: Rows of one product of matrices.
+QUERY_SLICE, VECTOR_BLOCK = 2048, 20_000
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, n: int, scope: str | None = None) -> DataFrame:
+    """The n nearest ``vectors`` (vec_id, embedding) of each of ``queries`` (qid, embedding) by cosine, in a common ``scope`` if one is named.
 
-    The query matrix is part of the plan; callers pass slices of bounded size. Each batch
-    is one product of matrices, and only n rows a query and batch are ranked further.
+    Slices of queries meet blocks of vectors; each pair is one product of matrices in a task
+    of its own, and only n rows a query and block are ranked further.
     """
-    ids = np.array([q for q, _ in queries])
-    matrix = np.array([v for _, v in queries], np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            scores = np.round(x @ matrix.T, 6)
-            if scope:
-                own = np.array(batch.column(scope).to_pylist(), object)
-                for j, q in enumerate(ids):
-                    scores[own != scopes[int(q)], j] = -2
-            vec = batch.column("vec_id").to_numpy()
-            order = np.lexsort((np.broadcast_to(vec[:, None], scores.shape), -scores), axis=0)[:n]
-            qid, hit = np.repeat(ids, len(order)), order.T.ravel()
-            score = scores[hit, np.repeat(np.arange(len(ids)), len(order))]
-            keep = score > -2
-            yield pa.RecordBatch.from_arrays([pa.array(qid[keep]), pa.array(vec[hit][keep]), pa.array(score[keep])], names=["qid", "doc_id", "score"])
-
-    columns = ["vec_id", "embedding"] + [scope] * bool(scope)
-    return top(vectors.select(*columns).mapInArrow(run, "qid bigint, doc_id bigint, score double"), n)
+    columns = [scope] * bool(scope)
+    n_slices, n_blocks = (max(1, -(-df.count() // most)) for df, most in ((queries, QUERY_SLICE), (vectors, VECTOR_BLOCK)))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    v = vectors.select("vec_id", "embedding", *columns, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), each(n_slices).alias("slice"))
+    q = queries.select("qid", "embedding", *columns, F.pmod(F.xxhash64("qid"), F.lit(n_slices)).cast("int").alias("slice")).withColumn("block", each(n_blocks))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, vec = right.column("qid").to_numpy(), left.column("vec_id").to_numpy()
+        scores = np.round(matrix(left) @ matrix(right).T, 6)
+        if scope:
+            scores[np.array(left.column(scope).to_pylist(), object)[:, None] != np.array(right.column(scope).to_pylist(), object)[None, :]] = -2
+        order = np.lexsort((np.broadcast_to(vec[:, None], scores.shape), -scores), axis=0)[:n]
+        qid, hit = np.repeat(ids, len(order)), order.T.ravel()
+        score = scores[hit, np.repeat(np.arange(len(ids)), len(order))]
+        keep = score > -2
+        return pa.table({"qid": pa.array(qid[keep]), "doc_id": pa.array(vec[hit][keep]), "score": pa.array(score[keep])})
+
+    found = v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(product, "qid bigint, doc_id bigint, score double")
+    return top(found, n)
 
 
 def mean_pool(segments: DataFrame) -> DataFrame:
@@ -283,9 +285,9 @@ def _lang(s, d):
 
 
 def _dense(s, d, scoped=False):
+    """Every hundredth vector as a query."""
     vectors = table(s, d, "embeddings")
-    rows = vectors.filter("vec_id < 20").select("vec_id", "embedding", "label").collect()  # twenty queries
-    return dense_top(vectors, [(r.vec_id, r.embedding) for r in rows], 10, *(("label", {r.vec_id: r.label for r in rows}) if scoped else ()))
+    return dense_top(vectors, vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), 10, "label" if scoped else None)
 
 
 def _rerank(s, d):
@@ -341,7 +343,7 @@ RELEVANCE = f"""{STATS}, {A}, {HEAD}, sh AS (
   FROM comb WHERE NOT (rank > 1 AND heading_coverage = 0 AND bm25_relative < 0.025 AND dense_gap >= 0.2)
 )"""
 DENSE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT vec_id, label, e, greatest(sqrt(list_inner_product(e, e)), 1e-12) AS norm FROM v), sc AS (
-  SELECT q.vec_id AS qid, x.vec_id AS doc_id, q.label AS ql, x.label AS xl, round(list_inner_product(q.e, x.e) / q.norm / x.norm, 6) AS score FROM n q, n x WHERE q.vec_id < 20)"""
+  SELECT q.vec_id AS qid, x.vec_id AS doc_id, q.label AS ql, x.label AS xl, round(list_inner_product(q.e, x.e) / q.norm / x.norm, 6) AS score FROM n q, n x WHERE q.vec_id % 100 = 0)"""
 
 
 def _dense_sql(where: str) -> str:

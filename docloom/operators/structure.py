@@ -188,7 +188,7 @@ _SQL_PICS = "list_transform(range(1, 2 + section_id % 3), lambda i: 'pic' || doc
 
 def _span(s, d):
     chunks = sections(s, d).select("doc_id", F.col("section_id").alias("chunk"), (F.col("section_id") * 100).alias("start"), (F.col("section_id") * 100 + 120).alias("end"), F.col("char_len").alias("text_len"))
-    anchors = sections(s, d).filter("section_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.concat(F.lit("p"), "section_id").alias("pic_id"), (F.col("section_id") * 60).alias("offset"))
+    anchors = sections(s, d).filter("char_len > 80 OR lang = 'fr'").select("doc_id", F.concat(F.lit("p"), "section_id").alias("pic_id"), (F.col("section_id") * 60).alias("offset"))
     return span_pics(chunks, anchors).select("doc_id", "chunk", F.array_join("pics", ",").alias("pics"))
 
 
@@ -200,10 +200,10 @@ def _publish(s, d):
 
 QUERIES = {
     "neighbor_sections": (
-        lambda s, d: neighbours(sections(s, d).select("doc_id", "section_id", "heading"), sections(s, d).filter("section_id % 7 = 3").select((F.col("doc_id") % 5).alias("qid"), "doc_id", "section_id"), 2),
+        lambda s, d: neighbours(sections(s, d).select("doc_id", "section_id", "heading"), sections(s, d).filter("char_len < 60").select((F.col("doc_id") % 5).alias("qid"), "doc_id", "section_id"), 2),
         _S(
-            ", sd AS (SELECT doc_id % 5 AS qid, doc_id, section_id FROM sections WHERE section_id % 7 = 3), m AS (SELECT qid, s.doc_id, s.section_id, s.heading, min(abs(s.section_id - sd.section_id)) AS distance FROM sd JOIN sections s ON s.doc_id = sd.doc_id AND abs(s.section_id - sd.section_id) <= 2 GROUP BY ALL)",
-            "SELECT qid, doc_id, section_id, distance, heading FROM m WHERE distance > 0",
+            ", sd AS (SELECT doc_id % 5 AS qid, doc_id, section_id FROM sections WHERE char_len < 60), m AS (SELECT qid, s.doc_id, s.section_id, s.heading, min(abs(s.section_id - sd.section_id)) AS distance FROM sd JOIN sections s ON s.doc_id = sd.doc_id AND abs(s.section_id - sd.section_id) <= 2 GROUP BY ALL)",
+            "SELECT qid, doc_id, section_id, distance, heading FROM m WHERE distance > 0 AND (qid, doc_id, section_id) NOT IN (SELECT (qid, doc_id, section_id) FROM sd)",
         ),
     ),
     "adjacent_support": (
@@ -213,7 +213,7 @@ QUERIES = {
     "span_pics": (
         _span,
         _S(
-            """, a AS (SELECT doc_id, 'p' || section_id AS pic_id, section_id * 60 AS offs FROM sections WHERE section_id % 2 = 0 OR doc_id % 3 = 0), g AS (SELECT s.doc_id, s.section_id, string_agg(pic_id, ',' ORDER BY offs) AS pics FROM sections s JOIN a ON a.doc_id = s.doc_id AND offs BETWEEN section_id * 100 AND section_id * 100 + 120 GROUP BY ALL),
+            """, a AS (SELECT doc_id, 'p' || section_id AS pic_id, section_id * 60 AS offs FROM sections WHERE char_len > 80 OR lang = 'fr'), g AS (SELECT s.doc_id, s.section_id, string_agg(pic_id, ',' ORDER BY offs) AS pics FROM sections s JOIN a ON a.doc_id = s.doc_id AND offs BETWEEN section_id * 100 AND section_id * 100 + 120 GROUP BY ALL),
             o AS (SELECT doc_id, count(*) AS n, min(pic_id) AS sole FROM a GROUP BY doc_id)""",
             "SELECT s.doc_id, s.section_id AS chunk, coalesce(pics, CASE WHEN n = 1 AND char_len <= 1400 THEN sole END, '') AS pics FROM sections s LEFT JOIN g ON g.doc_id = s.doc_id AND g.section_id = s.section_id LEFT JOIN o ON o.doc_id = s.doc_id",
         ),
@@ -244,9 +244,9 @@ QUERIES = {
         ),
     ),
     "balanced_results": (
-        lambda s, d: balanced(sections(s, d).filter("section_id < 6").select((F.col("doc_id") % 9).alias("qid"), "product", F.col("doc_id").alias("position"), (F.col("section_id") + 1).alias("rank"), F.md5("text").alias("fingerprint"))).select("qid", "product", "position", "rank", "turn"),
+        lambda s, d: balanced(sections(s, d).select((F.col("doc_id") % 9).alias("qid"), "product", F.col("doc_id").alias("position"), (F.col("section_id") + 1).alias("rank"), F.md5("text").alias("fingerprint"))).select("qid", "product", "position", "rank", "turn"),
         _S(
-            ", r AS (SELECT doc_id % 9 AS qid, product, doc_id AS position, section_id + 1 AS rank, text FROM sections WHERE section_id < 6), f AS (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY rank, position) AS k FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, position) AS turn FROM f WHERE k = 1)",
+            ", r AS (SELECT doc_id % 9 AS qid, product, doc_id AS position, section_id + 1 AS rank, text FROM sections), f AS (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY rank, position) AS k FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, position) AS turn FROM f WHERE k = 1)",
             "SELECT qid, product, position, rank, turn FROM t WHERE turn <= 8",
         ),
     ),
@@ -293,9 +293,9 @@ QUERIES = {
         "SELECT 'left' AS side, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT 'right', count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)",
     ),
     "dedupe_seen": (
-        lambda s, d: unseen(sections(s, d).filter("section_id < 4").withColumn("session", F.col("doc_id") % 10), sections(s, d).filter("section_id = 0 AND doc_id % 3 = 0").withColumn("session", F.col("doc_id") % 10)).groupBy("session").agg(F.count("*").alias("n")),
+        lambda s, d: unseen(sections(s, d).withColumn("session", F.col("doc_id") % 10), sections(s, d).filter("char_len < 60").withColumn("session", F.col("doc_id") % 10)).groupBy("session").agg(F.count("*").alias("n")),
         _S(
-            r", r AS (SELECT DISTINCT doc_id % 10 AS session, product, heading, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sections WHERE section_id < 4), h AS (SELECT doc_id % 10 AS session, product, heading, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sections WHERE section_id = 0 AND doc_id % 3 = 0)",
+            r", r AS (SELECT DISTINCT doc_id % 10 AS session, product, heading, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sections), h AS (SELECT doc_id % 10 AS session, product, heading, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sections WHERE char_len < 60)",
             "SELECT session, count(*) AS n FROM (SELECT * FROM r EXCEPT SELECT * FROM h) GROUP BY session",
         ),
     ),
