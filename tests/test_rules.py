@@ -118,6 +118,14 @@ def test_chunks_keep_all_text():
         assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
 
 
+def test_light_chunks_and_math():
+    got = ingest.light_chunks("# Doc\n## One\n" + "word " * 60 + "\n\n" + "more " * 60, target=320, overlap=12)
+    assert [h for h, _ in got] == ["Doc / One"] * 2 and got[1][1].startswith("word word\n\nmore")
+    assert ingest.light_chunks(None) == [] and ingest.light_chunks(" ") == []
+    assert ingest.plain_math(r"press $\pmb{\bigtriangleup}$ at $40^{\circ}$C") == "press ▲ at 40^°C"
+    assert ingest.plain_math("no 5$") == "no 5$" and ingest.plain_math(None) is None
+
+
 def test_section_tree():
     text = "# Title\nintro\n## A\n![x](p1.png)body one\n### B\nbody [[PIC:p2]] two\n## C\nlast"
     got = [(s["section_id"], s["heading"], s["text"], [(a["pic_id"], a["offset"]) for a in s["anchors"]]) for s in ingest.parse_sections("m", text)]
