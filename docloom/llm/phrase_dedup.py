@@ -40,7 +40,7 @@ GRAM = 32
 #: Bytes of text in a block, and of text for each bucket of fingerprints.
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 64
-#: Bytes that are parsed at a time.
+#: Bytes that are parsed, and about as many of a dictionary that are sorted, at a time.
 PIECE_BYTES = 1 << 20
 
 MANY = np.uint64(0)  # in place of a fingerprint: several phrases of one trigger
@@ -138,13 +138,13 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) ->
     key = np.zeros(len(data) + width, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + len(key)]
-    rank, have = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
+    rank, have = np.unique(key, return_inverse=True)[1], 8
     while have < width:  # suffixes by twice as many bytes, at last by all
         step = min(have, width - have)
         pair = rank[:-step] * (int(rank.max()) + 1) + rank[step:]
         if have + step == width:
             pair = pair[starts]
-        rank, have = np.unique(pair, return_inverse=True)[1].astype(np.int64), have + step
+        rank, have = np.unique(pair, return_inverse=True)[1], have + step
     return rank
 
 
@@ -232,6 +232,39 @@ def judge_triggers(table: pa.Table) -> pa.Table:
     return _moved([(0, int(block[by[a]]), 0, _pack(h[by[a:b]], verdict[by[a:b]])) for a, b in zip(at, np.append(at[1:], len(by)))])
 
 
+def dictionaries(size: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of phrases whose texts make one dictionary of about ``PIECE_BYTES``; those of one trigger stay together."""
+    starts = np.append(np.flatnonzero(np.diff(kind, prepend=-1)), len(kind))
+    total = np.append(0, np.cumsum(size))[starts]
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PIECE_BYTES, "right")) - 1)
+        yield int(starts[i]), int(starts[j])
+        i = j
+
+
+def first_places(data: np.ndarray, off: np.ndarray, runs: Runs, edge: np.ndarray, size: np.ndarray) -> tuple[tuple, tuple, np.ndarray]:
+    """Spans of windows that stand earlier in the block; phrase, row, position and trigger of those that don't; and the latter's fingerprints.
+
+    The phrases' texts are the dictionary; its suffixes' ranks and the phrases' places give the first of each class.
+    """
+    row, first, _, h, _ = runs
+    begin = off[row[edge]] + first[edge]
+    dictionary = np.concatenate([data[a:b] for a, b in zip(begin, begin + size)])
+    cut, many = np.cumsum(size) - size, size - WIDTH + 1
+    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    which = np.repeat(np.arange(len(edge)), many)
+    starts, of, pos = cut[which] + inside, row[edge][which], first[edge][which] + inside
+    rank = suffix_classes(dictionary, starts)
+    o = np.lexsort((pos, of, rank))
+    fresh = np.ones(len(o), bool)
+    fresh[1:] = rank[o[1:]] != rank[o[:-1]]
+    again, one = o[~fresh], o[fresh]
+    upto, inverse = _hashes(dictionary)
+    key = _range(upto, inverse, starts[one], starts[one] + WIDTH)
+    return (of[again], pos[again], pos[again] + WIDTH), (which[one], of[one], pos[one], h[edge][which[one]] & np.uint64(0xFFFFFFFF)), key
+
+
 def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """What a block knows to be repeated (kind 1), and the first places of windows that others may have (kind 0)."""
     if not table.num_rows:
@@ -254,30 +287,16 @@ def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     done = by[whole]
     out = [(row[done], first[done], last[done] + WIDTH)]
     compare = ~whole & (says[group] == 2)
-    edge, others = by[compare], elsewhere[group][compare]
-    sent = []
-    if len(edge):
-        size = last[edge] - first[edge] + WIDTH
-        cut = np.concatenate([[0], np.cumsum(size)])
-        source = np.repeat(off[row[edge]] + first[edge] - cut[:-1], size) + np.arange(cut[-1])
-        dictionary = data[source]
-        many = size - WIDTH + 1
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        starts = np.repeat(cut[:-1], many) + inside
-        of, pos = np.repeat(row[edge], many), np.repeat(first[edge], many) + inside
-        which = np.repeat(np.arange(len(edge)), many)
-        rank = suffix_classes(dictionary, starts)
-        o = np.lexsort((pos, of, rank))
-        fresh = np.ones(len(o), bool)
-        fresh[1:] = rank[o[1:]] != rank[o[:-1]]
-        again, one = o[~fresh], o[fresh]
-        one = one[others[which[one]]]
-        one = one[np.lexsort((pos[one], of[one]))]
-        out.append((of[again], pos[again], pos[again] + WIDTH))
-        upto, inverse = _hashes(dictionary)
-        key = _range(upto, inverse, starts[one], starts[one] + WIDTH)
-        trigger = h[edge][which[one]] & np.uint64(0xFFFFFFFF)
-        sent = _deal(key, buckets, block, 0, ids[of[one]], key, trigger, pos[one], of[one])
+    edge, others, kind = by[compare], elsewhere[group][compare], group[compare]
+    sent, parts, size = [], [], last[edge] - first[edge] + WIDTH
+    for lo, hi in dictionaries(size, kind):
+        again, one, key = first_places(data, off, runs, edge[lo:hi], size[lo:hi])
+        out.append(again)
+        parts.append(tuple(x[others[lo:hi][one[0]]] for x in (*one[1:], key)))
+    if parts:
+        of, pos, trigger, key = (np.concatenate(x) for x in zip(*parts))
+        o = np.lexsort((pos, of))
+        sent = _deal(key[o], buckets, block, 0, ids[of[o]], key[o], trigger[o], pos[o], of[o])
     spans = merged(*(np.concatenate(x) for x in zip(*out)))
     if len(spans[0]):
         sent.append((block % buckets, block, 1, _pack(*spans)))

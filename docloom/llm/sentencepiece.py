@@ -29,9 +29,9 @@ from .common import binary_array, lookup, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Texts of one suffix array, in bytes before chunks are made distinct.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of chunks whose edges are made at a time.
-PART_BYTES = 256 << 10
+PART_BYTES = 128 << 10
 #: Bytes by which suffixes are sorted; few pieces are longer.
 DEPTH = 16
 #: Chunks longer than this are relaxed one by one.
@@ -56,6 +56,11 @@ class Vocabulary:
     out: list[bytes]  # for decoding: the bytes of each id of the model
     order: list[int]  # ranks that are found in texts
 
+    def __post_init__(self) -> None:
+        heads = [self.raw[r][:8] for r in self.order]
+        self.least = np.array([int.from_bytes(x.ljust(8, b"\0"), "big") for x in heads], np.uint64)
+        self.most = np.array([int.from_bytes(x.ljust(8, b"\xff"), "big") for x in heads], np.uint64)
+
     @property
     def unknown(self) -> int:
         """The rank that stands for one character that isn't a piece."""
@@ -148,9 +153,8 @@ def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]
     return order, [k[order] for k in keys]
 
 
-def occurrences(keys: list[np.ndarray], piece: bytes, lo: int = 0, hi: int | None = None) -> tuple[int, int]:
-    """The range of suffixes that begin with a piece, by binary search."""
-    hi = len(keys[0]) if hi is None else hi
+def occurrences(keys: list[np.ndarray], piece: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The range of suffixes in [lo, hi) that go on with these bytes, by binary search."""
     for key in keys:
         part, piece = piece[:8], piece[8:]
         least = int.from_bytes(part.ljust(8, b"\0"), "big")
@@ -166,13 +170,9 @@ def edges(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     """Start, end, piece and chunk of every occurrence of a piece inside a chunk."""
     sizes = np.array([len(v.raw[r]) for r in v.order])
     order, keys = suffixes(data, DEPTH)
-    short = np.flatnonzero(sizes <= 8)
-    lo, hi = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    least = np.array([int.from_bytes(v.raw[v.order[i]].ljust(8, b"\0"), "big") for i in short], np.uint64)
-    most = np.array([int.from_bytes(v.raw[v.order[i]].ljust(8, b"\xff"), "big") for i in short], np.uint64)
-    lo[short], hi[short] = np.searchsorted(keys[0], least, "left"), np.searchsorted(keys[0], most, "right")
-    for i in np.flatnonzero(sizes > 8):
-        lo[i], hi[i] = occurrences(keys, v.raw[v.order[i]])
+    lo, hi = np.searchsorted(keys[0], v.least, "left"), np.searchsorted(keys[0], v.most, "right")
+    for i in np.flatnonzero((sizes > 8) & (hi > lo)):  # further bytes, where the first eight stand at all
+        lo[i], hi[i] = occurrences(keys[1:], v.raw[v.order[i]][8:], lo[i], hi[i])
     count = hi - lo
     at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
     start = order[at]
