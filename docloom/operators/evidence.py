@@ -91,6 +91,22 @@ def hamming_similar(hashes: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("similarity", 1 - F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) / 64).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def sign_hash(vector: Column) -> Column:
+    """One bit of the sign of each of up to 64 dimensions, the first one highest."""
+    return F.aggregate(vector, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
+
+
+def hash_members(hashes: DataFrame) -> DataFrame:
+    """Of each id the least one of the same hash, which stands for it in the pairs of ``hamming_similar``."""
+    return hashes.join(hashes.groupBy("hash").agg(F.min("id").alias("representative")), "hash").select("id", "representative")
+
+
+def similar_members(hashes: DataFrame, least: float) -> DataFrame:
+    """Pairs of ``hamming_similar`` and, with ``similarity`` 1, the members (b) of each hash's representative (a)."""
+    members = hash_members(hashes).filter("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("member").alias("kind"))
+    return hamming_similar(hashes, least).withColumn("kind", F.lit("pair")).unionByName(members)
+
+
 def trace_hits(traces: DataFrame) -> DataFrame:
     """Hits named in the lines of text traces (trace_id, text): ``[n] product: P | section: S``."""
     lines = traces.select("trace_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
@@ -183,6 +199,13 @@ def _regression(s, d):
     return regression(cases.select("case_id", "product"), found)
 
 
+def _sign_hashes(s, d):
+    """Vectors, and of each fifth a copy with its last 0 to 3 dimensions turned round."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when(i >= 64 - F.col("id") % 4, -x).otherwise(x))
+    copies = e.filter("id % 5 = 0").select((F.col("id") + 1_000_000_000).alias("id"), turned.alias("embedding"))
+    return e.unionByName(copies).select("id", sign_hash(F.col("embedding")).alias("hash"))
+
 
 _KW = rf"SELECT item_id * 1000 + i - 1 AS item_id, w[i] AS text, item_id AS q, i - 1 AS place FROM (SELECT item_id, {R._W.format('text')}[3:6] AS w FROM benchmark), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) t"
 
@@ -251,5 +274,12 @@ QUERIES = {
         """WITH h AS (SELECT list_reduce(list_transform(embedding[1:16], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS BIGINT)), lambda a, b: a * 2 + b) AS hash, vec_id AS id FROM embeddings), o AS (SELECT hash, min(id) AS id FROM h GROUP BY hash)
         SELECT x.id AS a, y.id AS b, 1 - bit_count(xor(x.hash, y.hash)) / 64 AS similarity FROM o x JOIN o y ON x.id < y.id WHERE 1 - bit_count(xor(x.hash, y.hash)) / 64 >= 0.96""",
     ),
+    "similar_hashes_64": (
+        lambda s, d: similar_members(_sign_hashes(s, d), 0.96),
+        """WITH v AS (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CASE WHEN i > 64 - vec_id % 4 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 5 = 0),
+        h AS (SELECT id, CAST(array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS hash FROM v), o AS (SELECT hash, min(id) AS id FROM h GROUP BY hash)
+        SELECT x.id AS a, y.id AS b, 1 - bit_count(xor(x.hash, y.hash)) / 64 AS similarity, 'pair' AS kind FROM o x JOIN o y ON x.id < y.id WHERE 1 - bit_count(xor(x.hash, y.hash)) / 64 >= 0.96
+        UNION ALL SELECT o.id, h.id, 1.0, 'member' FROM h JOIN o USING (hash) WHERE h.id <> o.id""",
+    ),
     "route_regression": (_regression, None),
 }

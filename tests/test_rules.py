@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import answers, conversation, ingest, monitor, retrieval, structure, texts
+from docloom.operators import answers, conversation, evidence, ingest, monitor, retrieval, structure, texts
 from docloom.sources import readers
 from docloom.streaming import jobs
 
@@ -206,3 +206,13 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     last = max((tmp_path / "up").iterdir(), key=lambda p: int(p.name[1:]))
     assert [r.at_ms for r in spark.read.parquet(str(last)).collect()] == [22 * 60_000]
+
+
+def test_hashes_of_all_dimensions(spark):
+    base = [1.0 if i * 7 % 3 else -1.0 for i in range(64)]
+    turn = lambda *at: [-x if i in at else x for i, x in enumerate(base)]
+    rows = [(1, base), (2, base), (3, turn(0, 63)), (4, turn(20, 30, 40)), (5, turn(*range(16, 64)))]
+    h = spark.createDataFrame(rows, "id bigint, v array<double>").select("id", evidence.sign_hash(F.col("v")).alias("hash"))
+    got = sorted((r.kind, r.a, r.b, r.similarity) for r in evidence.similar_members(h, 0.96).collect())
+    assert got == [("member", 1, 2, 1.0), ("pair", 1, 3, 0.96875)]  # the last has the first 16 signs, and no other
+    assert sorted(map(tuple, evidence.hash_members(h).collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
