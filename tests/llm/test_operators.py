@@ -157,6 +157,27 @@ def test_rare_words_are_joined(docs, monkeypatch):
     assert one == sorted(map(str, language_model.score(docs).select("doc_id", "n_known", F.round("base_score", 6)).collect()))
 
 
+@pytest.mark.parametrize("common", [language_model.COMMON, 1, 50])
+def test_long_contexts_are_those_of_a_trie(spark, none, monkeypatch, common):
+    rows = [(i, " ".join(f"w{(i * k) % 7} abcdef{(i + k) % 5}é" for k in range(i % 13))) for i in range(1, 60)] + [(60, None), (61, "zq!zq"), (None, "w3 abcdef1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(language_model, "COMMON", common)
+    monkeypatch.setattr(language_model, "GATHER_GRAMS", 100)
+    for order in (3, 5):
+        trie = language_model.Trie(order)
+        held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 0
+        for i, text in rows:
+            if not held(i):
+                b = bytes(order) + (text or "").encode()
+                for k in range(order, len(b)):
+                    trie.learn(b[k - order : k], b[k])
+        rule = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 0
+        got = {r.doc_id: r.score for r in language_model.score(docs, rule, order).collect()}
+        for i, text in rows:
+            assert abs(got[i] - trie.score((text or "").encode(), False)) < 1e-6
+    assert language_model.score(none, order=5).collect() == []
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
