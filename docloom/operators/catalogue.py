@@ -116,6 +116,12 @@ def _paths(s, d):
     return sections(s, d).select("product", F.concat_ws("-", "doc_id", "section_id").alias("section_id"), F.array(F.col("product"), F.concat(F.lit("g"), F.col("doc_id") % 97), F.col("heading")).alias("path"))
 
 
+def _own_paths(s, d):
+    """Paths inside each document: its sections by the first word of their heading. What other documents there are changes no family."""
+    own = F.array(F.concat(F.lit("d"), F.col("doc_id")), F.substring_index("heading", " ", 1), F.col("heading"))
+    return sections(s, d).select(F.col("doc_id").alias("product"), F.concat_ws("-", "doc_id", "section_id").alias("section_id"), own.alias("path"))
+
+
 def _continued(s, d):
     pairs = A._pairs(s, d).filter(F.length("passage_text") > 100)
     heads = sections(s, d).select(F.concat_ws("/", "doc_id", "section_id").alias("passage"), F.col("product").alias("heading"))
@@ -146,6 +152,10 @@ QUERIES = {
         lambda s, d: family(_paths(s, d), _paths(s, d).filter("length(path[2]) < 25").withColumn("qid", F.lit(1)), 60),
         f"WITH {SECTIONS}, p AS (SELECT product, doc_id || '-' || section_id AS section_id, heading, product || '/g' || (doc_id % 97) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE length(s.heading) < 25",
     ),
+    "section_family_own": (
+        lambda s, d: family(_own_paths(s, d), _own_paths(s, d).filter("length(path[2]) < 25").withColumn("qid", F.lit(1))),
+        f"WITH {SECTIONS}, p AS (SELECT doc_id AS product, doc_id || '-' || section_id AS section_id, heading, split_part(heading, ' ', 1) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE length(s.heading) < 25",
+    ),
     "section_preview": (lambda s, d: preview(sections(s, d), 60).select("doc_id", "section_id", "text"), f"WITH {SECTIONS} SELECT doc_id, section_id, substr(text, 1, 60) AS text FROM sections"),
     "align_continuation": (_continued, None),
 }

@@ -216,3 +216,15 @@ def test_hashes_of_all_dimensions(spark):
     got = sorted((r.kind, r.a, r.b, r.similarity) for r in evidence.similar_members(h, 0.96).collect())
     assert got == [("member", 1, 2, 1.0), ("pair", 1, 3, 0.96875)]  # the last has the first 16 signs, and no other
     assert sorted(map(tuple, evidence.hash_members(h).collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
+def test_families_do_not_hang_on_the_tables_size(spark, tmp_path):
+    from docloom.operators import catalogue
+
+    def families(n):
+        text = "Setup of it. One\nSetup again. Two\nCare. Three\n" + "Note. x\n" * 9
+        docs = spark.createDataFrame([(97 * i, text, "en", "hot") for i in range(n)], "doc_id bigint, text string, lang string, source string")
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/{n}/documents.parquet")
+        return catalogue.QUERIES["section_family_own"][0](spark, f"{tmp_path}/{n}").count()
+
+    assert [families(n) for n in (1, 40)] == [4, 160]  # two of one family, seen from each; those of nine are no family
