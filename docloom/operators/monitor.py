@@ -119,8 +119,41 @@ THRESHOLDS = {"error_rate": 20.0, "p95": 60_000.0, "model_failure": 10.0, "no_ev
 LEAST_SAMPLES = 5
 
 
+def chat_alerts(n: Column, chats: Column, thresholds: dict, least: int = LEAST_SAMPLES) -> Column:
+    """The thresholds that are exceeded: model failures and missing evidence where there are enough chats, the others where there are enough requests."""
+    enough = lambda k: (chats if k in ("model_failure", "no_evidence") else n) >= least
+    return F.array_join(F.array_compact(F.array(*(F.when(enough(k) & (F.col(k) >= v), F.lit(k)) for k, v in thresholds.items()))), ",")
+
+
+def chat_alert_windows(log: DataFrame, minutes: int = 5, step: int = 1, thresholds: dict = THRESHOLDS) -> DataFrame:
+    """As ``alert_windows``, with the rates of model failures and missing evidence over chats alone, and errors from status 400 on."""
+    size, hop = minutes * MINUTE, step * MINUTE
+    start = F.explode(F.expr(f"sequence(completed_at - completed_at % {hop} - {size - hop}, completed_at - completed_at % {hop}, {hop})"))
+    rows = log.filter(F.col("client_type") != "qa").select(start.alias("start"), "category", "status_code", "duration_ms", "model_failed", "no_evidence")
+    got = rows.groupBy("start").agg(*alert_columns(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)")))
+    return got.withColumn("alerts", chat_alerts(F.col("n"), F.col("chats"), thresholds))
+
+
+def alert_columns(p95: Column) -> list[Column]:
+    """What a window of requests is watched by."""
+    n, chat = F.count("*"), F.col("category") == "chat"
+    chats = F.sum(F.when(chat, 1).otherwise(0))
+    of_chats = lambda c: rate(F.sum(F.when(chat, F.col(c)).otherwise(0)), chats)
+    return [
+        n.alias("n"),
+        chats.alias("chats"),
+        rate(F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)), n).alias("error_rate"),
+        p95.alias("p95"),
+        of_chats("model_failed").alias("model_failure"),
+        of_chats("no_evidence").alias("no_evidence"),
+    ]
+
+
 def alert_windows(log: DataFrame, minutes: int = 5, step: int = 1, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """Windows that slide by ``step`` minutes, and which thresholds each exceeds; windows of few samples have none."""
+    """Windows that slide by ``step`` minutes, and which thresholds each exceeds; windows of few samples have none.
+
+    All rates are over all requests; ``chat_alert_windows`` takes those of models over chats.
+    """
     size, hop = minutes * MINUTE, step * MINUTE
     start = F.explode(F.expr(f"sequence(completed_at - completed_at % {hop} - {size - hop}, completed_at - completed_at % {hop}, {hop})"))
     rows = log.filter(F.col("client_type") != "qa").select(start.alias("start"), "status_code", "duration_ms", "model_failed", "no_evidence")
@@ -226,6 +259,13 @@ QUERIES = {
         "SELECT page_id, CASE WHEN p LIKE '/en/1%' THEN 'a' WHEN p LIKE '/en%' THEN 'b' WHEN p LIKE '/fr%' THEN 'c' WHEN p LIKE '/d%' THEN 'd' ELSE 'other' END AS category FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)",
     ),
     "alert_windows": (_ALERTS, f"WITH {REQUESTS}, {ALERTS} SELECT start, n, error_rate, p95, model_failure, no_evidence, alerts FROM alerts"),
+    "chat_alert_windows": (
+        lambda s, d: chat_alert_windows(requests(s, d), minutes=60, step=10, thresholds={"error_rate": 20.0, "p95": 150.0, "model_failure": 10.0, "no_evidence": 20.0}),
+        f"""WITH {REQUESTS}, w AS (SELECT unnest(range(completed_at - completed_at % 600000 - 3000000, completed_at - completed_at % 600000 + 1, 600000)) AS start, * FROM requests WHERE client_type <> 'qa'
+      ), g AS (SELECT start, count(*) AS n, count(*) FILTER (category = 'chat') AS chats, {RATE("count(*) FILTER (status_code >= 400)", "count(*)")} AS error_rate, quantile_disc(duration_ms, 0.95) AS p95,
+        {RATE("count(*) FILTER (category = 'chat' AND model_failed = 1)", "count(*) FILTER (category = 'chat')")} AS model_failure, {RATE("count(*) FILTER (category = 'chat' AND no_evidence = 1)", "count(*) FILTER (category = 'chat')")} AS no_evidence FROM w GROUP BY start)
+      SELECT *, concat_ws(',', CASE WHEN n >= 5 AND error_rate >= 20 THEN 'error_rate' END, CASE WHEN n >= 5 AND p95 >= 150 THEN 'p95' END, CASE WHEN chats >= 5 AND model_failure >= 10 THEN 'model_failure' END, CASE WHEN chats >= 5 AND no_evidence >= 20 THEN 'no_evidence' END) AS alerts FROM g""",
+    ),
     "alert_cooldown": (_cooldown, f"""WITH RECURSIVE {REQUESTS}, {ALERTS}, c AS (SELECT DISTINCT unnest(string_split(alerts, ',')) AS alert_key, start AS t FROM alerts WHERE alerts <> ''), f(alert_key, fired_at) AS (
       SELECT alert_key, min(t) FROM c GROUP BY alert_key
       UNION ALL

@@ -29,8 +29,12 @@ def epoch_ms(ts: Column | str) -> Column:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a request log: one row per request."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return as_requests(table(spark, sf_dir, "events"))
+
+
+def as_requests(events: DataFrame, *keep: str) -> DataFrame:
+    """The request log's columns of events (a table or a stream), and the columns to ``keep``."""
+    return events.select(
         F.concat(F.lit("r"), F.col("event_id")).alias("request_id"),
         epoch_ms("ts").alias("completed_at"),
         F.col("user_id").alias("session_id"),
@@ -43,6 +47,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 13 == 0, "qa").otherwise("web").alias("client_type"),
         "event_type",
         "event_id",
+        *keep,
     )
 
 

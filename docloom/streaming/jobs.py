@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.monitor import rate
-from ..sources.tables import REQUESTS, shared_dir
+from ..operators.monitor import alert_columns, chat_alerts
+from ..sources.tables import REQUESTS, as_requests, shared_dir
 
 LATE = "10 minutes"
 
@@ -36,14 +36,13 @@ def minute_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def sliding_alerts(events: DataFrame, size: str = "5 minutes", step: str = "1 minute", least: int = 5, error_rate: float = 20.0, p95: float = 60_000.0) -> DataFrame:
-    """Windows with their error rate and p95, and whether these raise alerts."""
-    n = F.count("*")
-    got = events.withWatermark("at", LATE).groupBy(F.window("at", size, step)).agg(
-        n.alias("n"), rate(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)), n).alias("error_rate"), F.percentile_approx("value", 0.95, 10_000).alias("p95")
-    )
-    alert = (F.col("n") >= least) & ((F.col("error_rate") >= error_rate) | (F.col("p95") >= p95))
-    return got.select(F.unix_millis("window.start").alias("start"), "n", "error_rate", "p95", alert.alias("alert"))
+def sliding_alerts(events: DataFrame, size: str = "5 minutes", step: str = "1 minute", least: int = 5, error_rate: float = 20.0, p95: float = 60_000.0, model_failure: float = 10.0, no_evidence: float = 40.0) -> DataFrame:
+    """Windows of requests but those of test clients, with what ``chat_alert_windows`` watches, and which thresholds raise alerts."""
+    log = as_requests(events, "at").filter(F.col("client_type") != "qa")
+    got = log.withWatermark("at", LATE).groupBy(F.window("at", size, step)).agg(*alert_columns(F.percentile_approx("duration_ms", 0.95, 10_000)))
+    limits = {"error_rate": error_rate, "p95": p95, "model_failure": model_failure, "no_evidence": no_evidence}
+    alerts = chat_alerts(F.col("n"), F.col("chats"), limits, least)
+    return got.select(F.unix_millis("window.start").alias("start"), "n", "chats", "error_rate", "p95", "model_failure", "no_evidence", alerts.alias("alerts"), (alerts != "").alias("alert"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -1,11 +1,14 @@
 """Cases worked out by hand from the rules."""
 
+from datetime import timezone
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import answers, conversation, evidence, ingest, monitor, retrieval, structure, texts
 from docloom.sources import readers
+from docloom.sources.tables import requests
 from docloom.streaming import jobs
 
 
@@ -228,3 +231,31 @@ def test_families_do_not_hang_on_the_tables_size(spark, tmp_path):
         return catalogue.QUERIES["section_family_own"][0](spark, f"{tmp_path}/{n}").count()
 
     assert [families(n) for n in (1, 40)] == [4, 160]  # two of one family, seen from each; those of nine are no family
+
+
+def test_stream_alerts_are_those_of_the_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    # users 13 and 26 are test clients; of chats (view) every second has a failed model (event_id % 11) and no evidence (event_id % 7)
+    events = [(77 * k if k % 2 else 77 * k + 1, start + timedelta(seconds=20 * k), 1 + k % 3, "view", 10.0, "") for k in range(12)]
+    events += [(10_000 + 77 * k, start + timedelta(seconds=7 * k), 13, "error", 90_000.0, "") for k in range(40)]
+    events += [(77 * k + 1, start + timedelta(seconds=3 * k), 2, "signup", 10.0, "") for k in range(300, 380)]
+    rows = spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    schema = rows.schema
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/event*.parquet").withColumn("at", F.to_timestamp(F.col("ts").cast("timestamp")))
+    got = jobs.collected(jobs.sliding_alerts(stream), "alerts", "complete").drop("alert")
+    want = monitor.chat_alert_windows(requests(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # plain sums over windows of five minutes that begin each minute
+    log = [(int((at - start).total_seconds()), i, kind) for i, at, user, kind, _, _ in events if user % 13]
+    for r in got.collect():
+        begin = r.start // 1000 - int(start.replace(tzinfo=timezone.utc).timestamp())
+        inside = [(i, kind) for at, i, kind in log if begin <= at < begin + 300]
+        chats = [i for i, kind in inside if kind == "view"]
+        assert (r.n, r.chats, r.error_rate) == (len(inside), len(chats), 0)
+        failed = sum(i % 11 == 0 for i in chats) / len(chats) * 100 if chats else 0
+        assert abs(r.model_failure - failed) < 0.01 and ("model_failure" in r.alerts) == (len(chats) >= 5 and failed >= 10)
+        assert "p95" not in r.alerts and ("no_evidence" in r.alerts) == (len(chats) >= 5 and sum(i % 7 == 0 for i in chats) >= 0.4 * len(chats))
+    assert got.filter("alerts = 'model_failure,no_evidence'").count() > 0
