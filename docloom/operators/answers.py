@@ -134,14 +134,31 @@ def content_vote(ranked: DataFrame, most: int = 18, n: int = 3) -> DataFrame:
     return R.top(total, n, score="vote", tie="product")
 
 
+#: Characters of texts without blanks between words.
+CJK = r"[\u3400-\u9fff]"
+
+
 def alias_route(questions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The product of the longest alias (alias, product) that stands as words in a question.
+    """The product of the longest alias (alias, product) that stands as words in a question, or with Chinese characters anywhere in it.
 
-    Aliases become runs of words, so the match is a join on what questions have.
+    Questions become runs of as many words as aliases have, and runs of characters of the lengths that
+    Chinese aliases have, so the match is a join.
     """
     a = aliases.select(F.array_join(T.words(F.col("alias")), " ").alias("phrase"), "product").filter("phrase <> ''")
-    q = questions.select("qid", F.explode(word_ngrams(T.words(F.col("text")), 1, 4)).alias("phrase"))
-    return q.join(a, "phrase").groupBy("qid").agg(F.max_by("product", F.struct(F.length("phrase"), "product")).alias("product"), F.max(F.length("phrase")).alias("size"))
+    a = a.groupBy("phrase").agg(F.max("product").alias("product")).withColumn("cjk", F.col("phrase").rlike(CJK))
+    counts = sorted(r[0] for r in a.select(F.size(F.split("phrase", " "))).distinct().collect())
+    sizes = sorted(r[0] for r in a.filter("cjk").select(F.length("phrase")).distinct().collect())
+    said = questions.select("qid", T.words(F.coalesce("text", F.lit(""))).alias("said"))
+    run = lambda n: F.filter(F.transform("said", lambda _, i: F.when(i + n <= F.size("said"), F.array_join(F.slice("said", i + 1, F.lit(n)), " "))), lambda x: x.isNotNull())
+    runs = said.select("qid", F.explode(F.concat(F.array().cast("array<string>"), *map(run, counts))).alias("phrase"))
+    if sizes:
+        flat = said.select("qid", F.array_join("said", " ").alias("flat")).filter(F.col("flat").rlike(CJK))
+        size = F.explode(F.array(*map(F.lit, sizes))).alias("size")
+        places = flat.select("qid", "flat", size).filter(F.length("flat") >= F.col("size"))
+        places = places.select("qid", "flat", "size", F.explode(F.sequence(F.lit(1), F.length("flat") - F.col("size") + 1)).alias("at"))
+        cut = places.select("qid", F.substring(F.col("flat"), F.col("at"), F.col("size")).alias("phrase")).filter(F.col("phrase").rlike(CJK))
+        runs = runs.unionByName(cut)
+    return runs.join(a, "phrase").groupBy("qid").agg(F.max_by("product", F.struct(F.length("phrase"), "product")).alias("product"), F.max(F.length("phrase")).alias("size"))
 
 
 def best_product(scored: DataFrame, n: int = 3) -> DataFrame:
@@ -177,6 +194,21 @@ def _product_candidates(s, d):
     return best_product(rows.select("qid", "product", "score", F.coalesce("title_coverage", F.lit(0.0)).alias("title_coverage"), F.coalesce("title_in", F.lit(False)).alias("title_in")))
 
 
+def _named(s, d):
+    """Documents whose text goes on with a part's whole name or, without blanks, with a Chinese alias."""
+    part = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(" about the "), "p_name").alias("name"))
+    chinese = F.when(F.col("doc_id") % 9 == 0, " 我的吸尘器坏了").otherwise("")
+    rows = table(s, d, "documents").select("doc_id", "text").join(part, "doc_id", "left")
+    return rows.select(F.col("doc_id").alias("qid"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 4 == 0, F.coalesce("name", F.lit(""))).otherwise(""), chinese).alias("text"))
+
+
+def _whole_aliases(s, d):
+    part = table(s, d, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("product"))
+    six = table(s, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("alias"), F.concat(F.lit("b"), "item_id").alias("product"))
+    chinese = s.createDataFrame([("吸尘器", "vacuum"), ("尘", "dust")], "alias string, product string")
+    return part.unionByName(six).unionByName(chinese)
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in QUESTION_STOP) + "]"
 _TOK = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)))"
 _G = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -238,6 +270,12 @@ QUERIES = {
         dd AS (SELECT doc_id AS qid, {R._W.format("text")} AS w FROM documents), q AS (SELECT qid, unnest({_NG.format(lo=1, hi=4)}) AS phrase FROM dd)
         SELECT qid, max_by(product, (length(phrase), product)) AS product, CAST(max(length(phrase)) AS INT) AS size FROM q JOIN al USING (phrase) WHERE phrase <> '' GROUP BY qid""",
     ),
+    "alias_route_whole": (
+        lambda s, d: alias_route(_named(s, d), _whole_aliases(s, d)),
+        f"""WITH al AS (SELECT array_to_string({R._W.format("alias")}, ' ') AS phrase, max(product) AS product FROM (SELECT p_name AS alias, p_brand AS product FROM part UNION ALL SELECT array_to_string(string_split(text, ' ')[1:6], ' '), 'b' || item_id FROM benchmark UNION ALL VALUES ('吸尘器', 'vacuum'), ('尘', 'dust')) GROUP BY 1),
+        q AS (SELECT doc_id AS qid, array_to_string({R._W.format("t")}, ' ') AS flat FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 4 = 0 THEN coalesce(' about the ' || p_name, '') ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' 我的吸尘器坏了' ELSE '' END AS t FROM documents LEFT JOIN part ON p_partkey = doc_id))
+        SELECT qid, max_by(product, (length(phrase), product)) AS product, CAST(max(length(phrase)) AS INT) AS size FROM q JOIN al ON contains(' ' || flat || ' ', ' ' || phrase || ' ') OR (regexp_matches(phrase, '[\u4e00-\u9fff]') AND contains(flat, phrase)) WHERE phrase <> '' GROUP BY qid""",
+    ),
     "product_candidates": (
         _product_candidates,
         f"""WITH {R.STATS}, {R.A}, {R.HEAD}, s AS (SELECT a.qid, source AS product, a.score + 30 * coalesce(coverage, 0) + CASE WHEN coalesce(h.score >= 0.45, false) THEN 10 ELSE 0 END AS t FROM a LEFT JOIN heads h USING (qid, doc_id) JOIN documents USING (doc_id)),

@@ -259,3 +259,10 @@ def test_stream_alerts_are_those_of_the_batch(spark, tmp_path):
         assert abs(r.model_failure - failed) < 0.01 and ("model_failure" in r.alerts) == (len(chats) >= 5 and failed >= 10)
         assert "p95" not in r.alerts and ("no_evidence" in r.alerts) == (len(chats) >= 5 and sum(i % 7 == 0 for i in chats) >= 0.4 * len(chats))
     assert got.filter("alerts = 'model_failure,no_evidence'").count() > 0
+
+
+def test_long_and_chinese_aliases(spark):
+    ask = spark.createDataFrame([(1, "my Ultra-Clean pro max home robot is loud"), (2, "我的吸尘器坏了"), (3, "the robotics kit"), (4, None), (5, "请问吸尘器 x200怎么充电")], "qid int, text string")
+    known = [("ultra clean pro max home robot", "long"), ("robot", "short"), ("吸尘器", "vacuum"), ("尘", "dust"), ("吸尘器 X200", "vacuum200")]
+    got = answers.alias_route(ask, spark.createDataFrame(known, "alias string, product string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "long", 30), (2, "vacuum", 3), (5, "vacuum200", 8)]
