@@ -3,56 +3,69 @@
 Every string of ``WIDTH`` bytes that also starts earlier in the corpus is removed.
 Documents are parsed into phrases at the triggers of a rolling hash: in each window of
 WIDTH bytes the smallest hash of ``GRAM`` bytes is a trigger, so equal windows have equal
-triggers at equal places. A phrase is all that the windows of one trigger cover.
-
-The corpus is dealt into blocks of documents. First every block sends, for each trigger,
-one row with the phrase's fingerprint (or a mark that it has several phrases of this
-trigger), and learns which triggers other blocks have, too. Phrases of triggers that
-nobody else has hold nothing repeated; phrases that are the same as an earlier one are
-repeated as a whole. For all others the block's dictionary of distinct phrases is sorted
-by a suffix array to WIDTH bytes; with the parse, which says where each phrase stands,
-this gives the first place of every distinct window in corpus order. Blocks are merged by
-fingerprints of these windows, and each learns which of its first places are not the
-corpus's first.
-
-A trigger or a window that is everywhere is sent once by each block, so no task gets a
-row for every copy. Equality across blocks is by 96 bits of hashes and more, inside one by bytes.
-
-Null texts are empty. Ids are integers; documents of equal ids (repeated rows) are in a
-fixed order by blocks, then by the scan; null ids come last. Long documents are parsed in pieces.
+triggers at equal places. A phrase is all that the windows of one trigger cover, so every
+window lies inside one phrase.
+
+The corpus is dealt into blocks of documents. Each block sends its distinct phrases (its
+dictionary) as trigger, fingerprint and first place; by trigger it is then known, of each
+phrase, which block has its first place in the corpus (the parse). A phrase anywhere else
+is repeated as a whole. A trigger of one phrase only needs no more. Where a trigger has
+several phrases, each one's text is sent once, by the block of its first place, to the
+bucket of the trigger; there the suffix array of this part of the dictionary gives the
+order of all windows, and with the parse, which says where each phrase stands first, the
+first place of every window in corpus order. A suffix array of the parse itself would
+order windows that go on beyond a phrase, and there are none.
+
+A trigger with more than ``most_kinds`` phrases (a hot one) isn't gathered: its windows
+are dealt out by 128 bits of hashes of their bytes. Phrases are equal if 128 bits of
+hashes are; windows of all other triggers are compared by bytes.
+
+Nulls, ties and odd tables: null texts are empty. Ids are integers of any width (else
+TypeError); null ids come last. Documents of equal ids are in a fixed order, by a hash of
+all that is taken of the row, so nothing hangs on how files were split or on which executor
+was lost. Rows that are equal in everything are copies like any others. An empty table gives
+no rows. A text is parsed in pieces and cut by its spans, so beside a block a task holds a
+few bytes for each byte of its longest text. Carried columns may have any names; the
+operator's own results take the place of carried columns of their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructField, StructType
 
-from .bag_minhash import BASE, mix, numbered, powers
+from .bag_minhash import BASE, mix, powers
 from .common import text_bytes, tidy
 
 WIDTH = 100
 GRAM = 32
-#: Bytes of text in a block, and of text for each bucket of fingerprints.
-BLOCK_BYTES = 8 << 20
-LEAST_BLOCKS = 64
-#: Bytes that are parsed, and about as many of a dictionary that are sorted, at a time.
-PIECE_BYTES = 1 << 20
-
-MANY = np.uint64(0)  # in place of a fingerprint: several phrases of one trigger
 LAST_ID = np.int64((1 << 63) - 1)
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text in a block (and of text for each bucket), bytes that are parsed or sorted at a time, phrases of one trigger that are gathered."""
+
+    block: int = 4 << 20
+    piece: int = 256 << 10
+    most_kinds: int = 1024
+
+
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Sums of hashed bytes times powers, and the inverse powers: any range's hash is a difference times one of them."""
     upto = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * powers(len(data)), out=upto[1:])
+    np.cumsum(mix(np.arange(seed, seed + 256, dtype=np.uint64))[data] * powers(len(data)), out=upto[1:])
     return upto, powers(len(data) + 1, True)
 
 
@@ -60,7 +73,7 @@ def _range(upto: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray)
     return mix((upto[b] - upto[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
-def pieces(off: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(off: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Parts of the data: their bounds, the offsets of texts in them, and what row each text is.
 
     A text of more than ``most`` bytes comes in pieces that overlap by a window less a byte.
@@ -107,10 +120,10 @@ def _triggers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, h[at[first]], f, np.searchsorted(off, first, "right") - 1
 
 
-def parse(data: np.ndarray, off: np.ndarray) -> Runs:
+def parse(data: np.ndarray, off: np.ndarray, piece: int) -> Runs:
     """Row, first and last window (positions in the row), trigger and fingerprint of every phrase, in corpus order."""
     out = [[], [], [], [], []]
-    for lo, hi, cuts, rows in pieces(off):
+    for lo, hi, cuts, rows in pieces(off, piece):
         first, last, h, f, text = _triggers(data[lo:hi], cuts)
         row = rows[text]
         for part, x in zip(out, (row, first + lo - off[row], last + lo - off[row], h, f)):
@@ -118,18 +131,13 @@ def parse(data: np.ndarray, off: np.ndarray) -> Runs:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def local(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order by trigger, fingerprint and place; whether a phrase is the first of its kind; where triggers begin; how many kinds each has."""
+def dictionary_of(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """The order by trigger, fingerprint and place, and which of these are the first of their kind."""
     row, first, _, h, f = runs
     by = np.lexsort((first, row, f, h))
-    h, f = h[by], f[by]
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    fresh = head.copy()
-    fresh[1:] |= f[1:] != f[:-1]
-    begin = np.flatnonzero(head)
-    kinds = np.add.reduceat(fresh, begin) if len(begin) else begin
-    return by, fresh, begin, kinds
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = (h[by[1:]] != h[by[:-1]]) | (f[by[1:]] != f[by[:-1]])
+    return by, fresh
 
 
 def suffix_classes(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -151,7 +159,7 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) ->
 def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A block's documents in corpus order: table, ids, bytes and offsets."""
     ids = table.column("doc_id").cast(pa.int64()).fill_null(int(LAST_ID)).to_numpy()
-    by = np.lexsort((table.column("row").to_numpy(), ids))
+    by = np.lexsort((table.column("tie").to_numpy(), table.column("doc_id").is_null().to_numpy(), ids))
     table = table.take(pa.array(by)).combine_chunks()
     text = table.column("text").cast(pa.large_binary()).combine_chunks()
     return table, ids[by], *text_bytes(text)
@@ -181,129 +189,137 @@ def _all(payloads: list[bytes], n: int, steps: int | None = None) -> list[np.nda
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * n
 
 
-def _deal(key: np.ndarray, buckets: int, block: int, kind: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """Rows (bucket, block, kind, payload) of ids, in their order, and other columns, dealt out by a hash."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    at = np.flatnonzero(np.diff(np.append(-1, bucket[by])))
-    return [(int(bucket[by[a]]), block, kind, _pack(_steps(ids[by[a:b]]), *(c[by[a:b]] for c in columns))) for a, b in zip(at, np.append(at[1:], len(by)))]
+def _runs_of(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    at = np.flatnonzero(np.diff(x, prepend=x[0] - 1)) if len(x) else x
+    return list(zip(at.tolist(), np.append(at[1:], len(x)).tolist()))
 
 
-MOVED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-MOVED_DDL = "bucket bigint, block bigint, kind int, payload binary"
+MOVED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary()), ("phrases", pa.binary())])
+MOVED_DDL = "bucket bigint, block bigint, kind int, payload binary, phrases binary"
+FIRST, TOLD, SPANS, PHRASES, WINDOWS = range(5)  # kinds of rows that are moved
+COPY, COMPARE, HOT = 1, 2, 3  # what is told of a phrase
 
+Row = tuple[int, int, int, bytes, bytes]
 
-def _moved(rows: list[tuple]) -> pa.Table:
+
+def _moved(rows: list[Row]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(MOVED.types)], schema=MOVED)
 
 
-def send_triggers(table: pa.Table, buckets: int) -> pa.Table:
-    """A block's row for each trigger: its fingerprint, or MANY, and its first place."""
+def _deal(key: np.ndarray, buckets: int, block: int, kind: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[Row]:
+    """Rows of ids, in their order, and other columns, dealt out by a hash."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    for a, b in _runs_of(bucket[by]):
+        yield int(bucket[by[a]]), block, kind, _pack(_steps(ids[by[a:b]]), *(c[by[a:b]] for c in columns)), b""
+
+
+def _own(table: pa.Table, kind: int, n: int) -> tuple[np.ndarray, list[np.ndarray], list[bytes]]:
+    """Of the rows of one kind: the block of each number, the columns of numbers, and the phrases."""
+    mine = table.filter(pc.equal(table.column("kind"), kind))
+    payloads = mine.column("payload").to_pylist()
+    block = np.repeat(mine.column("block").to_numpy(), [len(p) // (8 * n) for p in payloads])
+    return block, _all(payloads, n, 0), mine.column("phrases").to_pylist()
+
+
+def send_phrases(table: pa.Table, buckets: int, limits: Limits) -> pa.Table:
+    """A block's dictionary: each distinct phrase's trigger, fingerprint and first place."""
     table, ids, data, off = _ordered(table)
-    runs = parse(data, off)
-    by, _, begin, kinds = local(runs)
-    one, f = by[begin], np.where(kinds > 1, MANY, runs[4][by[begin]])
-    o = np.argsort(one)  # in corpus order
-    one, f = one[o], f[o]
-    out = _moved(_deal(runs[3][one], buckets, int(table.column("block")[0].as_py()), 0, ids[runs[0][one]], runs[3][one], f, runs[1][one]))
+    runs = parse(data, off, limits.piece)
+    by, fresh = dictionary_of(runs)
+    one = np.sort(by[fresh])  # in corpus order
+    out = _moved(list(_deal(runs[3][one], buckets, int(table.column("block")[0].as_py()), FIRST, ids[runs[0][one]], runs[3][one], runs[4][one], runs[1][one], runs[0][one])))
     tidy()
     return out
 
 
-def judge_triggers(table: pa.Table) -> pa.Table:
-    """For each block the triggers that others have, too: 1, its phrase is an earlier one's copy; 2, windows must be compared."""
-    payloads = table.column("payload").to_pylist()
-    block = np.repeat(table.column("block").to_numpy(), [len(p) // 32 for p in payloads])
-    ids, h, f, at = _all(payloads, 4, 0)
-    by = np.lexsort((at, block, ids.view(np.int64), f, h))
+def judge_phrases(table: pa.Table, most_kinds: int) -> pa.Table:
+    """For each block, its phrases that stand earlier elsewhere, and those whose windows must be compared."""
+    block, (ids, h, f, at, of), _ = _own(table, FIRST, 5)
+    by = np.lexsort((at, of, block, ids.view(np.int64), f, h))
     h, f, block = h[by], f[by], block[by]
     head = np.ones(len(h), bool)
     head[1:] = h[1:] != h[:-1]
     fresh = head.copy()
     fresh[1:] |= f[1:] != f[:-1]
     group = np.cumsum(head) - 1
-    kinds, many, n = np.bincount(group, weights=fresh), np.bincount(group, weights=f == MANY), np.bincount(group)
-    copy = ~fresh & (f != MANY)
-    verdict = np.where(copy, 1, np.where((kinds > 1) | (many > 0), 2, 0)[group]).astype(np.uint64)
-    told = (n[group] > 1) & (verdict > 0)
-    block, h, verdict = block[told], h[told], verdict[told]
-    by = np.argsort(block, kind="stable")
-    at = np.flatnonzero(np.diff(np.append(-1, block[by])))
-    return _moved([(0, int(block[by[a]]), 0, _pack(h[by[a:b]], verdict[by[a:b]])) for a, b in zip(at, np.append(at[1:], len(by)))])
-
-
-def dictionaries(size: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of phrases whose texts make one dictionary of about ``PIECE_BYTES``; those of one trigger stay together."""
-    starts = np.append(np.flatnonzero(np.diff(kind, prepend=-1)), len(kind))
-    total = np.append(0, np.cumsum(size))[starts]
-    i = 0
-    while i < len(starts) - 1:
-        j = max(i + 1, int(np.searchsorted(total, total[i] + PIECE_BYTES, "right")) - 1)
-        yield int(starts[i]), int(starts[j])
-        i = j
+    kinds = np.bincount(group, weights=fresh)[group] if len(h) else np.zeros(0)
+    verdict = np.where(~fresh, COPY, np.where(kinds > most_kinds, HOT, np.where(kinds > 1, COMPARE, 0))).astype(np.uint64)
+    told = np.flatnonzero(verdict)
+    told = told[np.argsort(block[told], kind="stable")]
+    out = [(0, int(block[told[a]]), TOLD, _pack(h[told[a:b]], f[told[a:b]], verdict[told[a:b]]), b"") for a, b in _runs_of(block[told])]
+    tidy()
+    return _moved(out)
 
 
-def first_places(data: np.ndarray, off: np.ndarray, runs: Runs, edge: np.ndarray, size: np.ndarray) -> tuple[tuple, tuple, np.ndarray]:
-    """Spans of windows that stand earlier in the block; phrase, row, position and trigger of those that don't; and the latter's fingerprints.
+def _verdicts(told: pa.Table, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """What is told of each phrase; 0 of those that aren't named."""
+    kh, kf, verdict = _all(told.column("payload").to_pylist(), 3)
+    key, want = mix(kh + kf * BASE), mix(h + f * BASE)
+    by = np.argsort(key)
+    key, kh, kf, verdict = key[by], kh[by], kf[by], verdict[by].astype(np.int64)
+    if not len(key):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    return np.where((kh[at] == h) & (kf[at] == f), verdict[at], 0)
 
-    The phrases' texts are the dictionary; its suffixes' ranks and the phrases' places give the first of each class.
-    """
-    row, first, _, h, _ = runs
-    begin = off[row[edge]] + first[edge]
-    dictionary = np.concatenate([data[a:b] for a, b in zip(begin, begin + size)])
-    cut, many = np.cumsum(size) - size, size - WIDTH + 1
-    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    which = np.repeat(np.arange(len(edge)), many)
-    starts, of, pos = cut[which] + inside, row[edge][which], first[edge][which] + inside
-    rank = suffix_classes(dictionary, starts)
-    o = np.lexsort((pos, of, rank))
-    fresh = np.ones(len(o), bool)
-    fresh[1:] = rank[o[1:]] != rank[o[:-1]]
-    again, one = o[~fresh], o[fresh]
-    upto, inverse = _hashes(dictionary)
-    key = _range(upto, inverse, starts[one], starts[one] + WIDTH)
-    return (of[again], pos[again], pos[again] + WIDTH), (which[one], of[one], pos[one], h[edge][which[one]] & np.uint64(0xFFFFFFFF)), key
-
-
-def send_windows(table: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    """What a block knows to be repeated (kind 1), and the first places of windows that others may have (kind 0)."""
-    if not table.num_rows:
-        return _moved([])
+
+def send_windows(table: pa.Table, told: pa.Table, buckets: int, limits: Limits) -> pa.Table:
+    """What a block knows to be repeated, the texts of phrases to compare, and windows of hot triggers."""
     table, ids, data, off = _ordered(table)
     block = int(table.column("block")[0].as_py())
-    runs = parse(data, off)
+    runs = parse(data, off, limits.piece)
     row, first, last, h, f = runs
-    by, fresh, begin, kinds = local(runs)
-    known, verdict = _all(told.column("payload").to_pylist(), 2)
-    order = np.argsort(known)
-    known, verdict = known[order], verdict[order].astype(np.int64)
-    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(by))))
-    heads = h[by[begin]]
-    place = np.minimum(np.searchsorted(known, heads), max(0, len(known) - 1))
-    shared = known[place] == heads if len(known) else np.zeros(len(heads), bool)
-    says = np.where(shared, verdict[place], 0) if len(known) else np.zeros(len(heads), np.int64)
-    elsewhere, says = says == 2, np.where(kinds > 1, 2, says)
-    whole = ~fresh | (says[group] == 1)
-    done = by[whole]
-    out = [(row[done], first[done], last[done] + WIDTH)]
-    compare = ~whole & (says[group] == 2)
-    edge, others, kind = by[compare], elsewhere[group][compare], group[compare]
-    sent, parts, size = [], [], last[edge] - first[edge] + WIDTH
-    for lo, hi in dictionaries(size, kind):
-        again, one, key = first_places(data, off, runs, edge[lo:hi], size[lo:hi])
-        out.append(again)
-        parts.append(tuple(x[others[lo:hi][one[0]]] for x in (*one[1:], key)))
-    if parts:
-        of, pos, trigger, key = (np.concatenate(x) for x in zip(*parts))
-        o = np.lexsort((pos, of))
-        sent = _deal(key[o], buckets, block, 0, ids[of[o]], key[o], trigger[o], pos[o], of[o])
-    spans = merged(*(np.concatenate(x) for x in zip(*out)))
-    if len(spans[0]):
-        sent.append((block % buckets, block, 1, _pack(*spans)))
+    by, fresh = dictionary_of(runs)
+    says = np.full(len(h), COPY)
+    says[by[fresh]] = _verdicts(told, h[by[fresh]], f[by[fresh]])
+    done = says == COPY
+    spans = merged(row[done], first[done], last[done] + WIDTH)
+    sent = [(block % buckets, block, SPANS, _pack(*spans), b"")] if len(spans[0]) else []
+    one = np.flatnonzero(says == COMPARE)
+    bucket = (h[one] % np.uint64(buckets)).astype(np.int64)
+    o = np.argsort(bucket, kind="stable")
+    one, bucket = one[o], bucket[o]
+    for a, b in _runs_of(bucket):
+        mine = one[a:b]
+        size = last[mine] - first[mine] + WIDTH
+        text = _gather(data, off[row[mine]] + first[mine], size).tobytes()
+        sent.append((int(bucket[a]), block, PHRASES, _pack(_steps(ids[row[mine]]), h[mine], row[mine], first[mine], size), text))
+    hot = np.flatnonzero(says == HOT)
+    size = last[hot] - first[hot] + WIDTH
+    for a, b in groups(size, np.arange(len(hot)), limits.piece):
+        text, which, pos = _windows(data, off[row[hot[a:b]]] + first[hot[a:b]], size[a:b])
+        keys = [_range(*_hashes(text, seed), pos, pos + WIDTH) for seed in (1, 1001)]
+        mine, at = hot[a:b][which], pos - (np.cumsum(size[a:b]) - size[a:b])[which] + first[hot[a:b]][which]
+        sent.extend(_deal(keys[0], buckets, block, WINDOWS, ids[row[mine]], *keys, row[mine], at))
     tidy()
     return _moved(sent)
 
 
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Some ranges' bytes one after the other."""
+    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _windows(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some phrases' bytes one after the other; of each window in them, the phrase and the place there."""
+    cut, many = np.cumsum(size) - size, size - WIDTH + 1
+    which = np.repeat(np.arange(len(size)), many)
+    return _gather(data, begin, size), which, cut[which] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def groups(size: np.ndarray, kind: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of phrases that together have about ``most`` bytes; those of one kind stay together."""
+    starts = np.append(np.flatnonzero(np.diff(kind, prepend=-1)), len(kind)) if len(kind) else np.zeros(1, np.int64)
+    total = np.append(0, np.cumsum(size))[starts]
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+        yield int(starts[i]), int(starts[j])
+        i = j
+
+
 def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal spans from overlapping or touching ones."""
     if not len(row):
@@ -318,68 +334,91 @@ def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return row[at], a[at], end[np.append(at[1:], len(row)) - 1] - row[at] * far
 
 
-def judge_windows(table: pa.Table) -> pa.Table:
-    """For each block, those of its first places that are not the corpus's first; what blocks know themselves is passed on."""
-    kinds, blocks, payloads = table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("payload").to_pylist()
-    out = [(0, b, 1, p) for k, b, p in zip(kinds, blocks, payloads) if k == 1]
-    own = [(b, p) for k, b, p in zip(kinds, blocks, payloads) if k == 0]
-    if own:
-        ids, key, trigger, pos, of = _all([p for _, p in own], 5, 0)
-        block = np.repeat(np.array([b for b, _ in own]), [len(p) // 40 for _, p in own])
-        by = np.lexsort((pos, block, ids.view(np.int64), trigger, key))
-        key, trigger, block = key[by], trigger[by], block[by]
-        again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (trigger[1:] == trigger[:-1])
-        block, of, pos = block[again], of[by][again].view(np.int64), pos[by][again].view(np.int64)
+def judge_windows(table: pa.Table, limits: Limits) -> pa.Table:
+    """For each block, the windows of its phrases that stand earlier; what blocks know themselves is passed on."""
+    out = [(0, b, SPANS, p, b"") for k, b, p in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "payload"))) if k == SPANS]
+    found = []  # block, row and place of windows
+
+    block, (ids, h, of, first, size), texts = _own(table, PHRASES, 5)
+    if len(h):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        of, first, size, ids = (x.view(np.int64) for x in (of, first, size, ids))
+        begin = np.cumsum(size) - size
+        by = np.lexsort((first, of, block, ids, h))  # by trigger, then in corpus order
+        h, block, ids, of, first, size, begin = (x[by] for x in (h, block, ids, of, first, size, begin))
+        for a, b in groups(size, np.cumsum(np.diff(h, prepend=h[0]) != 0), limits.piece):
+            text, which, pos = _windows(data, begin[a:b], size[a:b])
+            rank = suffix_classes(text, pos)
+            place = pos - (np.cumsum(size[a:b]) - size[a:b])[which] + first[a:b][which]
+            o = np.lexsort((place, of[a:b][which], block[a:b][which], ids[a:b][which], rank))
+            again = o[1:][rank[o[1:]] == rank[o[:-1]]]
+            found.append((block[a:b][which[again]], of[a:b][which[again]], place[again]))
+
+    block, (ids, key, other, of, at), _ = _own(table, WINDOWS, 5)
+    if len(key):
+        of, at = of.view(np.int64), at.view(np.int64)
+        by = np.lexsort((at, of, block, ids.view(np.int64), other, key))
+        again = by[1:][(key[by[1:]] == key[by[:-1]]) & (other[by[1:]] == other[by[:-1]])]
+        found.append((block[again], of[again], at[again]))
+
+    if found:
+        block, of, at = (np.concatenate(x) for x in zip(*found))
         o = np.argsort(block, kind="stable")
-        at = np.flatnonzero(np.diff(np.append(-1, block[o])))
-        for a, b in zip(at, np.append(at[1:], len(o))):
+        for a, b in _runs_of(block[o]):
             mine = o[a:b]
-            out.append((0, int(block[mine[0]]), 1, _pack(*merged(of[mine], pos[mine], pos[mine] + WIDTH))))
+            out.append((0, int(block[mine[0]]), SPANS, _pack(*merged(of[mine], at[mine], at[mine] + WIDTH)), b""))
+    tidy()
     return _moved(out)
 
 
 def remove(table: pa.Table, told: pa.Table, keep: bool) -> pa.Table:
-    """The documents of a block without what is repeated."""
-    if not table.num_rows:
-        names = [c for c in table.column_names if c not in ("block", "row", "text")]
-        return table.select(names).append_column("n_bytes", pa.array([], pa.int64()))
+    """The documents of a block without what is repeated: each is cut by its own spans."""
     table, _, data, off = _ordered(table)
-    row, a, b = (x.view(np.int64) for x in _all(told.column("payload").to_pylist(), 3))
-    row, a, b = merged(row, a, b)
-    change = np.zeros(len(data) + 1, np.int8)
-    np.add.at(change, off[row] + a, 1)
-    np.add.at(change, off[row] + b, -1)
-    gone = np.cumsum(change[:-1], dtype=np.int8) > 0
-    kept, cut = data[~gone].tobytes(), off - np.concatenate([[0], np.cumsum(gone)])[off]
-    texts = [kept[x:y] for x, y in zip(cut, cut[1:])]
-    n = np.diff(off)
-    out = table.drop_columns(["block", "row", "text"])
-    out = out.append_column("n_bytes", pa.array(n, pa.int64())).append_column("n_removed", pa.array(n - np.diff(cut), pa.int64()))
-    out = out.append_column("n_spans", pa.array(np.bincount(row, minlength=len(n)), pa.int64()))
-    out = out.append_column("kept_sha256", pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
-    out = out.append_column("kept", pa.array(texts, pa.binary())) if keep else out
+    row, a, b = merged(*(x.view(np.int64) for x in _all(told.column("payload").to_pylist(), 3)))
+    n, n_spans = np.diff(off), np.bincount(row, minlength=table.num_rows)
+    n_removed = np.bincount(row, weights=b - a, minlength=table.num_rows).astype(np.int64)
+    upto, digests, kept = np.append(0, np.cumsum(n_spans)), [], []
+    view = memoryview(np.ascontiguousarray(data))
+    for i in range(table.num_rows):
+        mine = slice(upto[i], upto[i + 1])
+        parts = [view[off[i] + x : off[i] + y] for x, y in zip([0, *b[mine].tolist()], [*a[mine].tolist(), int(n[i])])]
+        digest = hashlib.sha256()
+        for part in parts:
+            digest.update(part)
+        digests.append(digest.hexdigest())
+        if keep:
+            kept.append(b"".join(parts))
+    columns = [table.column("doc_id"), table.column("carried"), pa.array(n, pa.int64()), pa.array(n_removed), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+    out = pa.Table.from_arrays(columns + [pa.array(kept, pa.binary())] * keep, names=["doc_id", "carried", *RESULTS[: 4 + keep]])
     tidy()
     return out
 
 
-def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
     """doc_id and ``carry`` columns of all documents with bytes, bytes removed, spans removed and a digest of the rest.
 
-    With ``keep`` also ``kept``, the bytes that remain.
+    With ``keep`` also ``kept``, the bytes that remain. Other columns of ``docs`` are left aside.
     """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(LEAST_BLOCKS, total // BLOCK_BYTES)
-    columns = [c for c in carry if c not in ("doc_id", "text")]
-    rows = numbered(docs.select("doc_id", "text", *columns)).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)))
+    n = max(8, -(-total // limits.block))
+    columns = [c for c in carry if c not in ("doc_id", "text", *RESULTS[: 4 + keep])]
+    carried = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
+    hashed = [F.col(f"`{c}`") for c in ("doc_id", "text", *columns) if "map<" not in docs.schema[c].dataType.simpleString()]  # Spark hashes no maps
+    rows = docs.select("doc_id", "text", carried, F.xxhash64(*hashed).alias("tie")).withColumn("block", F.pmod(F.xxhash64("tie"), F.lit(n)))
     by_block = rows.groupBy("block")
-    sent = by_block.applyInArrow(lambda t: send_triggers(t, n), MOVED_DDL)
-    told = sent.groupBy("bucket").applyInArrow(judge_triggers, MOVED_DDL)
-    found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda t, u: send_windows(t, u, n), MOVED_DDL)
-    spans = found.groupBy("bucket").applyInArrow(judge_windows, MOVED_DDL)
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ["doc_id", *columns])
-    schema = kinds + "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep
-    return by_block.cogroup(spans.groupBy("block")).applyInArrow(lambda t, u: remove(t, u, keep), schema)
+    sent = by_block.applyInArrow(lambda t: send_phrases(t, n, limits), MOVED_DDL)
+    told = sent.groupBy("bucket").applyInArrow(lambda t: judge_phrases(t, limits.most_kinds), MOVED_DDL)
+    found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda t, u: send_windows(t, u, n, limits), MOVED_DDL)
+    spans = found.groupBy("bucket").applyInArrow(lambda t: judge_windows(t, limits), MOVED_DDL)
+    schema = StructType([StructField("doc_id", kind), rows.schema["carried"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(lambda t, u: remove(t, u, keep), schema.add("kept", "binary") if keep else schema)
+    return out.select("doc_id", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)), *RESULTS[: 4 + keep])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -219,15 +219,38 @@ def test_removal_is_the_plain_one(spark, docs, none):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_removal_in_texts_full_of_copies(spark, monkeypatch, seed):
+def test_removal_in_texts_full_of_copies(spark, seed):
     import random
 
     r = random.Random(seed)
     pool = [words(r.randint(8, 60), 100 + k) for k in range(8)]
     rows = [(i, " ".join(r.choice(pool)[r.randint(0, 30) :] for _ in range(r.randint(1, 6))) if i % 9 else "ab" * r.randint(40, 200)) for i in range(60)]
-    monkeypatch.setattr(phrase_dedup, "PIECE_BYTES", 400)
     d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    assert Counter(tuple(x) for x in phrase_dedup.dedup(d).collect()) == plain_removal(rows)
+    for limits in (phrase_dedup.Limits(), phrase_dedup.Limits(block=3000, piece=400), phrase_dedup.Limits(block=1000, piece=300, most_kinds=3), phrase_dedup.Limits(most_kinds=0)):
+        assert Counter(tuple(x) for x in phrase_dedup.dedup(d, limits=limits).collect()) == plain_removal(rows)
+
+
+def test_a_trigger_of_many_phrases_and_documents_larger_than_blocks(spark):
+    common = words(6, 77)[:40]
+    rows = [(i, words(9, 1000 + i) + common + words(9, 5000 + i % 50)) for i in range(400)] + [(1000, words(4000, 8)), (1001, words(4000, 8)[777:] + "x"), (999, "ab" * 9000)]
+    d = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    want = plain_removal(sorted(rows))
+    for limits in (phrase_dedup.Limits(), phrase_dedup.Limits(block=2000, piece=1000, most_kinds=20)):
+        assert Counter(tuple(x) for x in phrase_dedup.dedup(d, limits=limits).collect()) == want
+
+
+def test_removal_with_clashing_names_ids_and_repeated_rows(spark):
+    a = words(60, 5)
+    rows = [(None, a, 1), (None, a, 1), (2, a, 2), (2, a, 3), (7, None, 4)]
+    d = spark.createDataFrame(rows, "doc_id smallint, text string, n_bytes int")
+    d = d.selectExpr("*", "1 AS block", "2 AS `row`", "3 AS tie", "map(1, 2) AS carried", "4 AS c", "5 AS kept", "6 AS bucket")
+    out = phrase_dedup.dedup(d, keep=True, carry=tuple(d.columns))
+    assert out.columns == ["doc_id", "block", "row", "tie", "carried", "c", "bucket", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    got = out.collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == plain_removal([(2, a), (2, a), (7, None), (None, a), (None, a)])
+    assert {(r.block, r.row, r.tie, r.c, r.bucket, r.carried[1]) for r in got} == {(1, 2, 3, 4, 6, 2)}
+    with pytest.raises(TypeError):
+        phrase_dedup.dedup(d.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 # 6: audio
