@@ -16,16 +16,24 @@ from docloom.llm.common import staged
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The documents with all columns but doc_id and text in one, so that no name can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "none"))).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the newest policy of quality rules."""
     return quality_rules.ledger(docs).filter(quality_rules.passes("v2")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near duplicates."""
-    rows = bag_minhash.numbered(docs)
-    first = bag_minhash.near_duplicates(rows).filter("first").select("row")
-    return rows.join(first, "row", "left_semi").select(*docs.columns)
+    """The document of smallest id of each class of near duplicates (a null id is the largest)."""
+    first = bag_minhash.near_duplicates(packed(docs), carry=("text", "rest")).filter("is_first")
+    return unpacked(first, docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +41,9 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents of which nothing is left are gone.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = phrase_dedup.dedup(docs, keep=True, carry=tuple(rest)).filter((F.col("n_bytes") == 0) | (F.length("kept") > 0))
-    text = phrase_dedup.whole_characters(kept)
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = phrase_dedup.dedup(packed(docs), keep=True, carry=("rest",)).filter((F.col("n_bytes") == 0) | (F.length("kept") > 0))
+    text = unpacked(phrase_dedup.whole_characters(kept.select("doc_id", "rest", "kept")), docs)
+    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

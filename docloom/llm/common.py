@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,32 +12,68 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at a time; bounds their memory.
 SLICE_BYTES = 2 << 20
+#: Keys of more than one row in so many are hot.
+HOT_SHARE = 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """A folder of this application's own in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has none (as in tests) a local folder is set.
+    Where the session names none, a local folder is made in local mode (as in tests), and
+    anywhere else it is an error.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    found = conf or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return f"{found.rstrip('/')}/docloom-{context.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it again.
 
-    Cuts the lineage: losing an executor never repeats what made the table.
+    Cuts the lineage: losing an executor never repeats what made the table, and numbers that
+    were given to its rows stay theirs. ``discard`` deletes it, ``clear`` all of them.
     """
-    path = f"{work_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t.staged_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this application; call it when results have been written."""
+    _delete(spark, work_dir(spark))
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each key and in ``weight`` how many of the ``total`` rows have it.
+
+    Keys of more than a thousandth of the rows are hot: there are a thousand at most, so
+    they are broadcast and their rows stay where they are. The others are shuffled.
+    """
+    hot = F.broadcast(facts.filter(F.col(weight) * HOT_SHARE > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col(weight) * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

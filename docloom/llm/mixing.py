@@ -8,10 +8,17 @@ full passes over the source, then a part of one more, which takes documents in t
 of a permutation of blocks, and of the documents in each block, until the next document
 would exceed the source's budget.
 
-A source's documents fall into ``BLOCKS`` blocks by a hash of their ids. Running sums go
-over a source's blocks, then over the rows of one block, so a source of any size is never
-in one task. A null source counts as the empty string, a null text has no tokens, and a
-source without tokens gets one pass. Repeated ids are ordered by tokens, then by text.
+A source's documents fall into blocks by a hash of their ids: ``BLOCKS``, and with more
+than ``BLOCK_ROWS`` rows for each so many more that this holds. Running sums go over a
+source's blocks, then over the rows of one block, so a source of any size is never in one
+task.
+
+Nulls, ties and odd tables: a null source counts as the empty string, a null text has no
+tokens, and a source without tokens gets one pass. Repeated ids are ordered by tokens, then
+by a hash of the text; of rows equal in both any may be the last that is taken. Texts of
+any length are counted by the JVM; one longer than its source's rest ends the pass. An empty
+table gives no rows. Columns of ``docs`` may have any names: ``mix`` adds its own in place of
+those of the same names, ``realised`` gives all back as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-BLOCKS = 4096
+BLOCKS, BLOCK_ROWS = 4096, 1 << 16
 ROUNDS, WAYS = 8, 16  # each round keeps one of 16 parts: as good as 32 halvings
 
 
@@ -34,8 +41,8 @@ def _hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
-def block_of(seed: int, doc_id: Column) -> Column:
-    return F.pmod(F.conv(F.substring(_hash(F.lit(seed), doc_id), 1, 6), 16, 10).cast("long"), F.lit(BLOCKS))
+def block_of(seed: int, doc_id: Column, blocks: int) -> Column:
+    return F.pmod(F.conv(F.substring(_hash(F.lit(seed), doc_id), 1, 6), 16, 10).cast("long"), F.lit(blocks))
 
 
 def exponent(sources: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | None = None) -> float:
@@ -67,18 +74,15 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
     return lo if entropy is not None else hi
 
 
-def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | None = None, natural_budget: bool = False, seed: int = 7, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` with what the mix takes of them.
-
-    Adds ``mix_tokens``, ``mix_block``, ``mix_weight`` (of the source), ``mix_copies`` and
-    ``mix_last`` (whether the part of a pass takes it). ``natural_budget``: as many tokens
-    as there are. ``keep``: the columns to carry, without which all are.
-    """
+def _mixed(docs: DataFrame, columns: list[str], entropy: float | None = None, repeats: float | None = None, budget: int | None = None, natural_budget: bool = False, seed: int = 7) -> DataFrame:
+    """``carried`` (the columns, by place), ``mix_tokens``, ``mix_block``, ``mix_weight``, ``mix_copies`` and ``mix_last`` of each row."""
+    many = max(BLOCKS, 1 << max(0, -(-docs.count() // BLOCK_ROWS) - 1).bit_length())
     rows = docs.select(
-        *(keep or docs.columns),
+        F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried"),
+        F.col("doc_id").alias("mix_id"),
         F.coalesce(F.col("source"), F.lit("")).alias("mix_source"),
         tokens(F.col("text")).alias("mix_tokens"),
-        block_of(seed, F.col("doc_id")).alias("mix_block"),
+        block_of(seed, F.col("doc_id"), many).alias("mix_block"),
         F.xxhash64("text").alias("mix_tie"),
     )
     blocks = staged(rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")), "mix-blocks")
@@ -100,16 +104,35 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     order = Window.partitionBy("mix_source").orderBy(_hash(F.lit(seed), F.col("passes"), F.col("mix_source"), F.col("mix_block")), "mix_block")
     placed = blocks.join(plan, "mix_source").withColumn("before", F.sum("block_tokens").over(order) - F.col("block_tokens"))
     placed = placed.select("mix_source", "mix_block", "mix_weight", "passes", "rest", "before")
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy(_hash(F.lit(seed), F.col("passes"), F.col("doc_id")), "mix_tokens", "mix_tie")
+    inside = Window.partitionBy("mix_source", "mix_block").orderBy(_hash(F.lit(seed), F.col("passes"), F.col("mix_id")), "mix_tokens", "mix_tie")
     upto = F.col("before") + F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.join(placed, ["mix_source", "mix_block"]).withColumn("mix_last", (F.col("rest") > 0) & (upto <= F.col("rest")))
-    return out.withColumn("mix_copies", F.col("passes") + F.col("mix_last").cast("long")).drop("passes", "rest", "before", "mix_source", "mix_tie")
+    return out.withColumn("mix_copies", F.col("passes") + F.col("mix_last").cast("long")).select("carried", *ADDED)
+
+
+ADDED = ["mix_tokens", "mix_block", "mix_weight", "mix_copies", "mix_last"]
+
+
+def _back(columns: list[str], kept: list[str]) -> list[Column]:
+    return [F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns) if c in kept]
+
+
+def mix(docs: DataFrame, keep: tuple[str, ...] | None = None, **how) -> DataFrame:
+    """The rows of ``docs`` with what the mix takes of them.
+
+    Adds ``mix_tokens``, ``mix_block``, ``mix_weight`` (of the source), ``mix_copies`` and
+    ``mix_last`` (whether the part of a pass takes it). ``keep``: the columns to carry,
+    without which all are. ``how``: ``entropy`` or ``repeats``, the aim of the exponent;
+    ``budget`` in tokens, or ``natural_budget``, as many as there are; ``seed``.
+    """
+    columns = list(keep or docs.columns)
+    return _mixed(docs, columns, **how).select(*_back(columns, [c for c in columns if c not in ADDED]), *ADDED)
 
 
 def realised(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document's row as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix(docs, **how).filter("mix_copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_pass")).select(*docs.columns)
+    mixed = _mixed(docs, docs.columns, **how).filter("mix_copies > 0")
+    return mixed.select("carried", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_pass")).select(*_back(docs.columns, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -120,7 +143,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS t,
+  SELECT doc_id, source, coalesce(source, '') AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS t,
     CAST('0x' || md5('7|' || doc_id)[1:6] AS BIGINT) % {BLOCKS} AS b FROM documents
 ), s AS (
   SELECT src, CAST(sum(t) AS BIGINT) AS st, st / CAST(sum(sum(t)) OVER () AS DOUBLE) AS p FROM d GROUP BY src

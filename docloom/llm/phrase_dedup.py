@@ -52,9 +52,10 @@ LAST_ID = np.int64((1 << 63) - 1)
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes of text in a block (and of text for each bucket), bytes that are parsed or sorted at a time, phrases of one trigger that are gathered."""
+    """Bytes of text in a block and for each bucket, bytes that are parsed or sorted at a time, phrases of one trigger that are gathered."""
 
-    block: int = 4 << 20
+    block: int = 1 << 20
+    bucket: int = 4 << 20
     piece: int = 256 << 10
     most_kinds: int = 1024
 
@@ -406,15 +407,15 @@ def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = (), limi
     if not isinstance(kind, IntegralType):
         raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(8, -(-total // limits.block))
+    n, m = (max(8, -(-total // most)) for most in (limits.block, limits.bucket))
     columns = [c for c in carry if c not in ("doc_id", "text", *RESULTS[: 4 + keep])]
     carried = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
     hashed = [F.col(f"`{c}`") for c in ("doc_id", "text", *columns) if "map<" not in docs.schema[c].dataType.simpleString()]  # Spark hashes no maps
     rows = docs.select("doc_id", "text", carried, F.xxhash64(*hashed).alias("tie")).withColumn("block", F.pmod(F.xxhash64("tie"), F.lit(n)))
     by_block = rows.groupBy("block")
-    sent = by_block.applyInArrow(lambda t: send_phrases(t, n, limits), MOVED_DDL)
+    sent = by_block.applyInArrow(lambda t: send_phrases(t, m, limits), MOVED_DDL)
     told = sent.groupBy("bucket").applyInArrow(lambda t: judge_phrases(t, limits.most_kinds), MOVED_DDL)
-    found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda t, u: send_windows(t, u, n, limits), MOVED_DDL)
+    found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda t, u: send_windows(t, u, m, limits), MOVED_DDL)
     spans = found.groupBy("bucket").applyInArrow(lambda t: judge_windows(t, limits), MOVED_DDL)
     schema = StructType([StructField("doc_id", kind), rows.schema["carried"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     out = by_block.cogroup(spans.groupBy("block")).applyInArrow(lambda t, u: remove(t, u, keep), schema.add("kept", "binary") if keep else schema)

@@ -126,6 +126,32 @@ def test_mix_of_odd_documents(docs, none):
     assert mixing.mix(none, repeats=2.0).collect() == []
 
 
+def test_mix_within_a_budget_takes_whole_documents_in_order(spark):
+    rows = [(i, words(5 + i % 7, i), "big" if i < 300 else f"s{i % 3}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(d, repeats=1.5, budget=2000).collect()
+    size, taken = Counter(), Counter()
+    for r in out:
+        size[r.source] += r.mix_tokens
+        taken[r.source] += r.mix_tokens * r.mix_copies
+    weight = {r.source: r.mix_weight for r in out}
+    assert abs(sum(weight.values()) - 1) < 1e-9
+    for s, w in weight.items():
+        assert w * 2000 <= 1.5 * size[s] + 1 and w * 2000 - 12 <= taken[s] <= w * 2000 + 1
+
+
+def test_mix_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "c", "y"), (None, None, None), (2, "d " * 50000, "y")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    d = d.selectExpr("*", "1 AS rest", "2 AS before", "3 AS passes", "4 AS mix_tokens", "5 AS n_tokens", "6 AS carried", "7 AS c", "8 AS mix_source", "9 AS own", "10 AS mix_id")
+    out = mixing.mix(d, repeats=2.0)
+    assert out.columns == [c for c in d.columns if c != "mix_tokens"] + mixing.ADDED
+    assert sorted(r.mix_tokens for r in out.collect()) == [0, 1, 2, 2, 50000]
+    back = mixing.realised(d, repeats=2.0)
+    assert back.columns == d.columns and back.dtypes == d.dtypes
+    assert {tuple(r)[3:] for r in back.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8, 9, 10)} and {(r.doc_id, r.text) for r in back.collect()} == {r[:2] for r in rows}
+
+
 # 4: language model
 
 
@@ -321,24 +347,76 @@ def plain_classes(rows, least=0.8):
 
 def test_classes_are_the_plain_ones(spark, docs, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = bag_minhash.near_duplicates(bag_minhash.numbered(docs)).collect()
+    got = bag_minhash.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == plain_classes(rows)
-    assert sum(r.first for r in got) == len({r.class_id for r in got})
-    assert bag_minhash.near_duplicates(bag_minhash.numbered(none)).collect() == []
-
-
-def test_a_family_larger_than_a_block(spark, monkeypatch):
+    assert sum(r.is_first for r in got) == len({r.class_id for r in got})
+    assert bag_minhash.near_duplicates(none).collect() == []
+
+
+def test_classes_hang_on_no_split_of_files(spark, tmp_path):
+    """Files are split anew before each job, as when executors come and go."""
+    rows = [(r[0], r[1]) for r in documents()] + [(1000 + i, words(30 + i // 2, i // 2)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs, want = spark.read.parquet(str(tmp_path / "d")), plain_classes(rows)
+    was, staged, turn = spark.conf.get("spark.sql.files.maxPartitionBytes"), bag_minhash.staged, []
+
+    def shaken(df, name):
+        turn.append(name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(4096 + 977 * len(turn)))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 + 31 * len(turn)))
+        return staged(df, name)
+
+    bag_minhash.staged = shaken
+    try:
+        got = bag_minhash.near_duplicates(docs).collect()
+    finally:
+        bag_minhash.staged = staged
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want and len(turn) > 5
+
+
+def test_classes_with_clashing_names_and_ids(spark):
+    rows = [("b", words(30, 1), 1), ("a", words(30, 1), 2), (None, words(30, 1), 3), ("a", words(30, 1), 4), ("z", None, 5)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, `row` int").selectExpr("*", "7 AS bag", "8 AS carried", "9 AS class_id", "1 AS c", "2 AS component")
+    out = bag_minhash.near_duplicates(d, carry=tuple(d.columns))
+    assert out.columns == ["doc_id", "text", "row", "bag", "carried", "c", "component", "n_shingles", "class_id", "class_size", "is_first"]
+    got = out.collect()
+    assert sorted((r.row, r.class_id, r.class_size) for r in got) == [(1, "a", 4), (2, "a", 4), (3, "a", 4), (4, "a", 4), (5, "z", 1)]
+    assert sum(r.is_first for r in got) == 2 and {r.doc_id for r in got if r.is_first} == {"a", "z"} and {(r.bag, r.carried, r.c, r.component) for r in got} == {(7, 8, 1, 2)}
+
+
+def test_recall_on_a_whole_table(spark):
+    """All pairs of sf0.01 at 0.8 or more, by a plain index of shingles, against the classes: none that a link joins may be apart."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    bags, where, both = {i: bag(t) for i, t in rows}, {}, Counter()
+    for i, b in bags.items():
+        for k in b:
+            where.setdefault(k, []).append(i)
+    for k, ids in where.items():
+        for x, i in enumerate(ids):
+            for j in ids[:x]:
+                both[j, i] += min(bags[i][k], bags[j][k])
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    pairs = {p for p, n in both.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n) - 1e-9}
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(f"recall {found} of {len(pairs)}, not exact {sum(bags[a] != bags[b] for a, b in pairs)}")
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("spread", [6, 40])
+def test_a_family_larger_than_a_group(spark, spread):
     import random
 
-    monkeypatch.setattr(bag_minhash, "PART", 8)
     base, rows = words(150, 1).split(), []
     for i in range(60):
         r, w = random.Random(i), list(base)
-        for _ in range(r.randint(0, 6)):
-            w[r.randrange(150)] = f"x{r.random()}"
+        for _ in range(r.randint(0, spread)):
+            w[r.randrange(150) if spread < 10 else r.randrange(30)] = f"x{r.random()}"
         rows.append((i, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = bag_minhash.near_duplicates(bag_minhash.numbered(d)).collect()
+    got = bag_minhash.near_duplicates(d, part=4).collect()
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == plain_classes(rows)
 
 
