@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -282,10 +283,7 @@ def family_links(nodes: DataFrame, least: float, part: int) -> DataFrame:
         found.append(staged(verified(members, pivots, least), "bag-links"))
         if last:
             break
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        classes = components(every)
+        classes = components(reduce(DataFrame.unionByName, found[1:]))
         mine = large.select("component", "id").join(classes.withColumnRenamed("component", "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
         mine = staged(mine, "bag-members")
         sizes = mine.groupBy("component", "class").count()
@@ -293,10 +291,7 @@ def family_links(nodes: DataFrame, least: float, part: int) -> DataFrame:
         done = chosen.select("id") if done is None else done.unionByName(chosen.select("id"))
         apart = with_facts(mine, top, "component", "m", total).filter("class <> top").select("component", "id")
         left = staged(apart.join(done, "id", "left_anti"), "bag-left")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
+    return reduce(DataFrame.unionByName, found)
 
 
 RESULTS = ["n_shingles", "class_id", "class_size", "is_first"]
