@@ -3,10 +3,16 @@
 Audio is stored as 8-bit mono WAV. Features are computed from the stored bytes: polyphase
 resampling to the analysis rate, overlapped log-mel filterbanks, and segmentation of the
 energy with hysteresis (a segment opens above a high level and closes below a low one).
-Filterbanks are kept as fixed-shape Arrow tensors of (frames, bands) with time spans.
-
-A null or empty payload is 64 zero bytes: silence without segments. All work on one
-document goes in blocks of frames, so memory doesn't grow with the longest one.
+Filterbanks become fixed-shape Arrow tensors of (frames, bands) with time spans, in record
+batches of an Arrow stream; features are taken from these batches, and a digest of the whole
+stream says what was stored. The operator gives the stream itself with ``keep``.
+
+Nulls, ties and odd tables: a null or empty payload is 64 zero bytes, silence without
+segments. Filters and tensors go in blocks of frames, so of a long document a task holds its
+bytes, one number for each frame, and with ``keep`` its stream. Of equally loud bands the lowest
+is named. Equal texts give equal values, repeated rows are computed one by one, and an empty
+table gives no rows. Carried columns may have any names; the operator's own results take the
+place of carried columns of their names.
 """
 
 from __future__ import annotations
@@ -136,49 +142,80 @@ def segments(energy: np.ndarray, p: Params) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def tensors(media: bytes, p: Params) -> Iterator[tuple[float, float, np.ndarray]]:
-    """Time span in seconds and (rows, bands) values of each tensor; the last is padded with its lowest value."""
-    at = 0
+def tensors(media: bytes, p: Params) -> Iterator[pa.RecordBatch]:
+    """Batches of fixed-shape tensors (rows, bands) with start and end in seconds and the number of frames; the last tensor is padded with its lowest value."""
+    kind, at = pa.fixed_shape_tensor(pa.float32(), (p.rows, p.bands)), 0
     for block in log_mel(media, p):
-        for i in range(0, len(block), p.rows):
-            part = block[i : i + p.rows]
-            if len(part) < p.rows:
-                part = np.vstack([part, np.full((p.rows - len(part), p.bands), part.min(), np.float32)])
-            n = min(p.rows, len(block) - i)
-            yield at * p.hop / p.to_rate, ((at + n - 1) * p.hop + p.frame) / p.to_rate, part
-            at += n
-
-
-def tensor_ipc(parts: list[tuple[float, float, np.ndarray]], p: Params) -> bytes:
-    """An Arrow stream: start and end in seconds, and the values as a fixed-shape tensor column."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (p.rows, p.bands))
-    flat = pa.array(np.concatenate([x[2].ravel() for x in parts]) if parts else np.zeros(0, np.float32), pa.float32())
-    column = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, p.rows * p.bands))
-    table = pa.table({"start_s": pa.array([x[0] for x in parts]), "end_s": pa.array([x[1] for x in parts]), "log_mel": column})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def features(media: bytes, p: Params) -> tuple[str, list[tuple[float, float]]]:
-    """A digest of the features, and the active spans in seconds.
+        n = -(-len(block) // p.rows)
+        short = n * p.rows - len(block)
+        if short:
+            block = np.vstack([block, np.full((short, p.bands), block[(n - 1) * p.rows :].min(), np.float32)])
+        frames = np.full(n, p.rows)
+        frames[-1] -= short
+        start = at + np.arange(n) * p.rows
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel(), pa.float32()), p.rows * p.bands)
+        spans = [pa.array(x) for x in (start * p.hop / p.to_rate, ((start + frames - 1) * p.hop + p.frame) / p.to_rate)]
+        yield pa.RecordBatch.from_arrays([*spans, pa.array(frames, pa.int32()), pa.ExtensionArray.from_storage(kind, flat)], names=["start_s", "end_s", "n_frames", "log_mel"])
+        at += n * p.rows - short
+
+
+class Digest:
+    """A sink for an Arrow stream: its sha256, and the bytes where they are wanted."""
+
+    closed = False
+
+    def __init__(self, keep: bool) -> None:
+        self.sha, self.size, self.parts = hashlib.sha256(), 0, [] if keep else None
+
+    def write(self, data) -> int:
+        raw = memoryview(data).cast("B")
+        self.sha.update(raw)
+        self.size += len(raw)
+        if self.parts is not None:
+            self.parts.append(bytes(raw))
+        return len(raw)
+
+    def writable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return False
+
+    def seekable(self) -> bool:
+        return False
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        self.closed = True
+
+
+def features(media: bytes, p: Params, keep: bool = False) -> tuple[str, list[tuple[float, float]], int, Digest]:
+    """A digest of the features, the active spans in seconds, how many tensors there are, and their stream.
 
     The digest names frames, segments, active frames, the mean and the deviation of the
     log-mel energy and the loudest band, rounded so that it doesn't hang on last bits.
     """
-    energy, bands, n, square = [], 0.0, 0, 0.0
-    for block in log_mel(media, p):
+    energy, bands, n, square, many, sink = [], 0.0, 0, 0.0, 0, Digest(keep)
+    out = None
+    for batch in tensors(media, p):
+        if out is None:
+            out = pa.ipc.new_stream(pa.PythonFile(sink, "w"), batch.schema)
+        out.write_batch(batch)
+        block = batch.column("log_mel").storage.flatten().to_numpy().reshape(-1, p.bands)
+        block = block[: int(batch.column("n_frames").to_numpy().sum())]
         energy.append(block.mean(axis=1, dtype=np.float64))
         bands = bands + block.sum(axis=0, dtype=np.float64)
         square += float((energy[-1] ** 2).sum())
-        n += len(block)
+        n, many = n + len(block), many + batch.num_rows
+    out.close()
     level = np.concatenate(energy)
     found = segments(np.round(level, 4), p)
     mean = float(np.sum(bands)) / n / p.bands
     spread = math.sqrt(max(0.0, square / n - mean * mean))
     text = f"frames={n};segments={len(found)};active={sum(b - a for a, b in found)};mean={mean:.3f};sd={spread:.3f};band={int(np.argmax(np.round(bands / n, 4)))}"
-    return text, [(a * p.hop / p.to_rate, ((b - 1) * p.hop + p.frame) / p.to_rate) for a, b in found]
+    return text, [(a * p.hop / p.to_rate, ((b - 1) * p.hop + p.frame) / p.to_rate) for a, b in found], many, sink
 
 
 def payload(text: bytes) -> bytes:
@@ -188,7 +225,7 @@ def payload(text: bytes) -> bytes:
 
 SCHEMA = (
     "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
-    "spans array<struct<start_s:double,end_s:double>>"
+    "n_tensors bigint, tensor_bytes bigint, tensor_sha256 string, spans array<struct<start_s:double,end_s:double>>"
 )
 
 
@@ -197,18 +234,19 @@ def audio_columns(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
 
     With ``keep`` also ``media``, the stored WAV, and ``tensors``, the Arrow stream of fixed-shape log-mel tensors.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", " + SCHEMA + ", media binary, tensors binary" * keep
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")] + ["media", "tensors"] * keep
+    carry = tuple(c for c in carry if c not in names)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), SCHEMA]) + ", media binary, tensors binary" * keep
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), span, pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), span, pa.binary(), pa.binary()]
 
     def one(raw: bytes) -> list:
         media = to_wav(payload(raw), p.rate)
         back = from_wav(media)[1]
-        text_, active = features(media, p)
+        text_, active, many, stream = features(media, p, keep)
         row = [len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), text_]
-        row.append([{"start_s": a, "end_s": b} for a, b in active])
-        return row + ([media, tensor_ipc(list(tensors(media, p)), p)] if keep else [])
+        row += [many, stream.size, stream.sha.hexdigest(), [{"start_s": a, "end_s": b} for a, b in active]]
+        return row + ([media, b"".join(stream.parts)] if keep else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -222,4 +260,4 @@ def audio_columns(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return audio_columns(docs).drop("spans")
+    return audio_columns(docs)

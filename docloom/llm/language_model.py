@@ -15,8 +15,11 @@ context and the byte after it) that any document has. Words with at least one in
 ``FREQUENT`` of all tokens and grams with one in ``COMMON`` of all bytes are broadcast, of
 which there are at most as many; all others are joined to the documents that have them.
 
-Null texts count as empty: one token, the end. A null id is hashed as the empty string.
-Rows are scored one by one, also those with repeated ids.
+Nulls, ties and odd tables: null texts count as empty: one token, the end. A null id is hashed
+as the empty string. Rows are scored one by one, also those with repeated ids, and equal texts
+get equal scores. Without rows to learn from, N and V are 0 and every byte costs what one of 256
+equal ones costs. Long texts are scored in slices. An empty table gives no rows. Other columns
+are left aside, so their names can't clash.
 """
 
 from __future__ import annotations

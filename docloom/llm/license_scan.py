@@ -3,13 +3,19 @@
 A notice of k allowed edits is split into k + 1 seeds. If a text holds the notice with at
 most k edits, one seed at least stands in it unchanged (pigeonhole), so exact search for
 the seeds finds every candidate place; there the ``regex`` library matches the whole
-notice with bounded errors, which verifies the edits and gives the span.
+notice with bounded errors, which verifies the edits and gives the span. A notice begins and
+ends at borders of words, and the word that tells its license from others must stand in it
+unchanged: "released under the mpl license" is no mit license in two edits.
 
 Texts are compared as lower-case words joined by single blanks. Phrases are notices of
 no allowed edits: they are their own only seed, and every place of them is counted.
 
-Null and empty texts give no words and no labels. Documents are judged row by row, so
-repeated rows give repeated results, and columns of other names are passed through.
+Nulls, ties and odd tables: null and empty texts give no words and no labels. Documents are
+judged row by row, so repeated rows give repeated results, and an empty table gives no rows.
+Of two places of one notice that overlap the one of fewer edits stays, of equal ones the
+first; places of different notices may overlap. A text of any length is scanned as a whole
+in a few copies of its bytes. Carried columns may have any names; the operator's own results
+take the place of carried columns of their names.
 """
 
 from __future__ import annotations
@@ -32,18 +38,18 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Short notices, their labels and the edits (of characters) that they may have;
-#: so few that a seed has nine characters at least and seldom stands elsewhere.
+#: Short notices, their labels, the edits (of characters) that they may have, and the words that must
+#: stand unchanged; so few edits that a seed has nine characters at least and seldom stands elsewhere.
 NOTICES = [
-    ("licensed under the gnu general public license", "gpl", 3),
-    ("licensed under the apache license version 2 0", "apache", 3),
-    ("released under the mit license", "mit", 2),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 4),
-    ("creative commons attribution", "cc-by", 2),
-    ("redistribution and use in source and binary forms with or without modification", "bsd", 4),
-    ("gnu lesser general public license", "lgpl", 2),
-    ("mozilla public license", "mpl", 1),
-    ("all rights reserved", "proprietary", 1),
+    ("licensed under the gnu general public license", "gpl", 3, "gnu general"),
+    ("licensed under the apache license version 2 0", "apache", 3, "apache"),
+    ("released under the mit license", "mit", 2, "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 4, "permission"),
+    ("creative commons attribution", "cc-by", 2, "commons"),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", 4, "redistribution"),
+    ("gnu lesser general public license", "lgpl", 2, "lesser"),
+    ("mozilla public license", "mpl", 1, "mozilla"),
+    ("all rights reserved", "proprietary", 1, "all"),
 ]
 
 #: Bytes of words after lower-casing: digits, a-z and all of non-ASCII characters.
@@ -60,15 +66,20 @@ def seeds(notice: str, edits: int) -> list[tuple[int, bytes]]:
 
 
 @lru_cache(maxsize=None)
-def pattern(notice: str, edits: int) -> regex.Pattern:
-    return regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(notice.encode(), special_only=True), edits))
+def pattern(notice: str, edits: int, fixed: str) -> regex.Pattern:
+    """Between blanks, what is before the fixed words and what is after them, each with bounded errors."""
+    before, after = (x.strip().encode() for x in f" {notice} ".split(f" {fixed} ", 1))
+    fuzzy_ = lambda x: rb"(?:%s){e<=%d}" % (regex.escape(x, special_only=True), edits)
+    head, tail = (b" " + fuzzy_(before) if before else b""), (fuzzy_(after) + b" " if after else b"")
+    return regex.compile(b"(?b)" + head + b" " + fixed.encode() + b" " + tail)
 
 
 @lru_cache(maxsize=100_000)
-def verify(notice: str, edits: int, window: bytes) -> tuple[int, int, int] | None:
-    """Span and edits of the best match in a candidate's surroundings, or None."""
-    found = pattern(notice, edits).search(window)
-    return (*found.span(), sum(found.fuzzy_counts)) if found else None
+def verify(notice: str, edits: int, fixed: str, window: bytes) -> tuple[int, int, int] | None:
+    """Span (without the blanks around it) and edits of the best match in a candidate's surroundings, or None."""
+    found = pattern(notice, edits, fixed).search(window)
+    cost = sum(found.fuzzy_counts) if found else edits + 1
+    return (found.start() + 1, found.end() - 1, cost) if cost <= edits else None
 
 
 def places(data: bytes, what: bytes) -> Iterator[int]:
@@ -78,14 +89,14 @@ def places(data: bytes, what: bytes) -> Iterator[int]:
         at = data.find(what, at + 1)
 
 
-def fuzzy(data: bytes, notice: str, edits: int) -> list[tuple[int, int, int]]:
+def fuzzy(data: bytes, notice: str, edits: int, fixed: str) -> list[tuple[int, int, int]]:
     """Non-overlapping spans in canonical text where the notice stands with at most ``edits`` edits."""
     raw_len, found, windows = len(notice.encode()), {}, set()
     for start, seed in seeds(notice, edits):
         windows.update(at - start for at in places(data, seed))
     for at in sorted(windows):
-        lo = max(0, at - edits)
-        if hit := verify(notice, edits, data[lo : at + raw_len + edits]):
+        lo = max(0, at - edits - 1)
+        if hit := verify(notice, edits, fixed, data[lo : at + raw_len + edits + 1]):
             a, b, cost = lo + hit[0], lo + hit[1], hit[2]
             last = max(found, default=None)
             if last is not None and found[last][0] > a:  # the same place again: the better one stays
@@ -128,8 +139,8 @@ def scan(text: bytes) -> dict:
                 first = int(np.searchsorted(blanks, at, "left"))
                 starts.append(first)
                 spans.append((label, first, phrase.count(" ") + 1, 0, 1.0, True))
-        for notice, label, edits in NOTICES:
-            for a, b, cost in fuzzy(text, notice, edits):
+        for notice, label, edits, fixed in NOTICES:
+            for a, b, cost in fuzzy(text, notice, edits, fixed):
                 if blanks is None:
                     blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
                 first = max(0, int(np.searchsorted(blanks, a, "right")) - 1)
@@ -143,6 +154,8 @@ SCHEMA = (
     "spans array<struct<label:string,first_word:bigint,n_words:bigint,edits:int>>"
 )
 
+RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+
 
 def license_scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns of each document with its words, labels and spans.
@@ -150,7 +163,8 @@ def license_scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     ``first_word`` and ``last_word`` are null where no phrase stands; ``score`` is the
     similarity of the best hit, 1 for a phrase, 0 without any.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", " + SCHEMA
+    carry = tuple(c for c in carry if c not in RESULTS)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), SCHEMA])
     types = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,7 @@ def license_scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
                     pa.array([max((s[4] for s in h["spans"]), default=0.0) for h in hits], pa.float64()),
                     pa.array([[{"label": s[0], "first_word": s[1], "n_words": s[2], "edits": s[3]} for s in sorted(h["spans"])] for h in hits], types),
                 ],
-                names=[*carry, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
+                names=[*carry, *RESULTS],
             )
 
     return docs.select(*dict.fromkeys((*carry, text))).mapInArrow(run, schema)

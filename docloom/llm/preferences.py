@@ -7,6 +7,11 @@ says which characters of a completion are trained on: those of assistant turns.
 Turns are compared by role and text, null as the empty string. Equal conversations have
 empty completions and ``identical`` set. All work is on one pair's two arrays, so no row
 is compared with others and nothing depends on how many conversations are alike.
+
+Nulls, ties and odd tables: null roles and texts are empty, turns without a number come
+first, and repeated turns stay, ordered by role, then text. Conversations without an id are one. An empty table gives no
+rows. All turns of a conversation meet in one row, which is what a pair is; a long text stays
+in the JVM. Other columns of the turns are left aside, so their names can't clash.
 """
 
 from __future__ import annotations

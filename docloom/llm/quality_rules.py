@@ -4,9 +4,11 @@ Every rule is evaluated once per document. The ledger keeps what was measured an
 failure bit per rule; a policy is a mask over the bits, so policies of any version, and
 what each rule alone costs a policy, follow from the stored bits without the texts.
 
-Null and empty texts: no words, so the rule on too few words fails. Repeated rows are
-judged one by one; other columns pass through, but for those of the ledger's own names,
-which are replaced.
+Nulls, ties and odd tables: null and empty texts have no words, so the rule on too few
+words fails. Repeated rows are judged one by one, equal lines and windows count from the
+second, or all of them, as the measure says; a text of any length is measured as a whole, at some
+forty bytes for each of its own. An empty table gives no rows. Other columns pass through, but
+for those of the ledger's own names, which are replaced.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import audio_features, bag_minhash, language_model, license_scan, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
 
 
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_url_vocabulary": url_vocabulary.query,
         "op9_preferences": preferences.query,
         "op10_quality_rules": quality_rules.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -10,8 +10,11 @@ the encoding of what is before it. Two pieces may follow each other if merging b
 model's priorities wouldn't join them across their border, which gives exactly the
 result of merging the best pair again and again.
 
-Null texts give a null encoding, empty ones an empty encoding. Very long chunks are
-relaxed one by one. Rows are encoded each for itself, so repeated rows are repeated.
+Nulls, ties and odd tables: null texts give a null encoding, empty ones an empty encoding.
+Very long chunks are relaxed one by one, in windows, so a text of any length fits. Of edges
+that end together the longest that may follow is taken. Rows are encoded each for itself, so
+repeated rows are repeated, and an empty table gives no rows. Other columns pass through, but
+for those of the operator's own names, which are replaced.
 """
 
 from __future__ import annotations

@@ -1,21 +1,32 @@
 """URL filters: a weighted vocabulary.
 
 An Aho-Corasick automaton runs once over each lower-case url and counts the terms that
-stand between boundaries (the url's ends, or anything but letters and digits). One strict
-term, or several distinct soft ones, rejects the url. Rules on hosts and paths go first.
-
-A null url, or one without ``://``, has an empty host and path, and no rule fits it; the
-vocabulary still judges its text. Repeated rows are judged one by one.
+stand between boundaries (the url's ends, or anything but letters and digits). Each term
+has a weight; a url is rejected when the weights of its distinct terms come to the threshold.
+A strict term's weight is the threshold, so one is enough; of soft ones it takes several.
+Rules on hosts and paths go first. ``load`` reads a vocabulary from a table of terms and
+weights, so that lists of any origin can be used; ``TERMS`` is the one of the query.
+
+Nulls, ties and odd tables: a null url, or one without ``://``, has an empty host and path,
+and no rule fits it; the vocabulary still judges its text. Rules are of different lengths
+where several fit. Repeated rows are judged one by one, a url of any length as a whole, and
+an empty table gives no rows. Columns of the rows may have any names; the operator's own
+results take the place of those of their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Capital and small letters of ASCII, for translate().
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules on a host (with all its subdomains) and the path's start; the longest that fits wins.
 RULES = [
@@ -26,52 +37,65 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Terms of which one rejects, and terms of which several distinct ones do.
-STRICT = ["casino", "porn", "xxx", "viagra", "spam", "cheap-pills", "free-bets"]
-SOFT = ["bets", "bet", "win", "free", "cheap", "pills", "ads", "track", "adult", "poker", "loan", "crack", "farm", "click"]
+#: Distinct soft terms of weight 1 that reject, and the weight of a strict one.
+THRESHOLD = 2.0
 
-#: Distinct soft terms that reject.
-SOFT_LEAST = 2
+#: Terms and their weights.
+TERMS = {
+    **dict.fromkeys(["casino", "porn", "xxx", "viagra", "spam", "cheap-pills", "free-bets"], THRESHOLD),
+    **dict.fromkeys(["bets", "bet", "win", "free", "cheap", "pills", "ads", "track", "adult", "poker", "loan", "crack", "farm", "click"], 1.0),
+}
 
+#: Terms that a vocabulary may have: it goes to every task as a whole.
+MOST_TERMS = 1 << 20
 
-def automaton(strict: list[str], soft: list[str]) -> ahocorasick.Automaton:
+RESULTS = ["n_strict", "n_soft", "weight", "host", "path", "rule", "verdict"]
+
+
+def load(table: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, float]:
+    """A vocabulary from a table: terms in small letters, of equal ones the largest weight; null and empty terms and weights that aren't above 0 are left out."""
+    rows = table.select(F.translate(F.trim(F.col(term)), CAPITALS, SMALL).alias("t"), F.col(weight).cast("double").alias("w")).filter("t <> '' AND w > 0").groupBy("t").agg(F.max("w").alias("w"))
+    found = {r.t: r.w for r in rows.limit(MOST_TERMS + 1).collect()}
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    return found
+
+
+def automaton(terms: dict[str, float]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for term, kind in [*((t, "soft") for t in soft), *((t, "strict") for t in strict)]:
-        found.add_word(term, (term, kind))
+    for term, weight in terms.items():
+        found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
-def count_terms(found: ahocorasick.Automaton, url: str) -> tuple[int, int]:
-    """Distinct strict and soft terms between boundaries."""
-    hits = {"strict": set(), "soft": set()}
+def count_terms(found: ahocorasick.Automaton, url: str, threshold: float) -> tuple[int, int, float]:
+    """Distinct strict and soft terms between boundaries, and their weight together."""
+    hits: dict[str, float] = {}
     ok = lambda c: not (c.isascii() and c.isalnum())
-    for end, (term, kind) in found.iter(url):
+    for end, (term, weight) in found.iter(url) if len(found) else ():
         begin = end - len(term) + 1
         if (begin == 0 or ok(url[begin - 1])) and (end + 1 == len(url) or ok(url[end + 1])):
-            hits[kind].add(term)
-    return len(hits["strict"]), len(hits["soft"])
+            hits[term] = weight
+    strict = sum(w >= threshold for w in hits.values())
+    return strict, len(hits) - strict, math.fsum(hits.values())
 
 
-def vocabulary(pages: DataFrame, url: str = "url", strict: list[str] = STRICT, soft: list[str] = SOFT) -> DataFrame:
-    """The rows with ``n_strict`` and ``n_soft``, the distinct terms of each kind in the url."""
-    columns = [c for c in pages.columns if c not in ("n_strict", "n_soft")]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns) + ", n_strict int, n_soft int"
+def vocabulary(pages: DataFrame, url: str = "url", terms: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows with ``n_strict`` and ``n_soft``, the distinct terms of each kind in the url, and ``weight``, theirs together."""
+    terms = TERMS if terms is None else terms
+    columns = [c for c in pages.columns if c not in RESULTS[:3]]
+    schema = StructType([pages.schema[c] for c in columns] + [StructField("_judged", pages.schema[url].dataType)]).add("n_strict", "integer").add("n_soft", "integer").add("weight", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(strict, soft)
-        lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        found = automaton(terms)
+        lower = str.maketrans(CAPITALS, SMALL)
         for batch in batches:
-            hits = [count_terms(found, (u or "").translate(lower)) for u in batch.column(url).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([h[0] for h in hits], pa.int32()), pa.array([h[1] for h in hits], pa.int32())], names=[*batch.schema.names, "n_strict", "n_soft"]
-            )
-
-    return pages.select(*columns).mapInArrow(run, schema)
+            hits = [count_terms(found, (u or "").translate(lower), threshold) for u in batch.column("_judged").to_pylist()]
+            own = [pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *RESULTS[:3]])
 
-
-#: Capital and small letters of ASCII, for translate().
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return pages.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{url}`").alias("_judged")).mapInArrow(run, schema).drop("_judged")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -84,16 +108,18 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def verdicts(pages: DataFrame, url: str = "url", least: int = SOFT_LEAST) -> DataFrame:
-    """The rows with host, path, the rule that fits best and the verdict."""
+def verdicts(pages: DataFrame, url: str = "url", terms: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows with the vocabulary's counts, host, path, the rule that fits best and the verdict."""
+    if url in RESULTS:
+        pages, url = pages.withColumnRenamed(url, "judged_url"), "judged_url"
     host, path = parts(F.col(url))
-    out = vocabulary(pages, url).withColumn("host", host).withColumn("path", path)
+    out = vocabulary(pages, url, terms, threshold).withColumn("host", host).withColumn("path", path)
     rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, domain, prefix in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == domain) | F.endswith("host", F.lit("." + domain))) & F.startswith("path", F.lit(prefix))
         rule = F.when(fits, F.lit(domain + prefix)).otherwise(rule)
         says = F.when(fits, F.lit(verdict)).otherwise(says)
-    reject = (F.col("n_strict") > 0) | (F.col("n_soft") >= least)
+    reject = F.col("weight") >= threshold
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(says, F.when(reject, F.lit("block")).otherwise(F.lit("allow"))))
 
 
@@ -102,8 +128,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _term_sql(terms: list[str]) -> str:
-    return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)" for t in terms)
+def _term_sql(terms: dict[str, float]) -> str:
+    return " + ".join(f"{w} * CAST(regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)" for t, w in terms.items())
 
 
 ORACLE = rf"""
@@ -117,6 +143,6 @@ WITH p AS (
   FROM h JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id
 )
 SELECT h.page_id, host, path, rule,
-  coalesce(said, CASE WHEN {_term_sql(STRICT)} > 0 OR {_term_sql(SOFT)} >= {SOFT_LEAST} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(said, CASE WHEN {_term_sql(TERMS)} >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN best ON h.page_id = best.page_id
 """

@@ -88,8 +88,70 @@ def test_notices_with_edits_are_found_and_others_not():
     assert labels("licensed under a completely different set of terms") == set()
 
 
+def labels_of(text):
+    return {s[0] for s in license_scan.scan(license_scan.canonical(pa.array([text]))[0][0])["spans"]}
+
+
+def test_other_licenses_within_the_edits_are_no_hits():
+    for text in ("released under the mpl license", "small rights reserved", "overall rights reserved", "creative common attribution", "fully released under the bit license"):
+        assert labels_of(text) == set(), text
+    assert labels_of("all right reserved") == {"proprietary"} and labels_of("all rights reservedx") == {"proprietary"}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_notices(text):
+    """Every stretch between blanks against every notice, with the fixed words in place."""
+    blanks, out = [i for i, c in enumerate(text) if c == " "], set()
+    for notice, label, edits, fixed in license_scan.NOTICES:
+        before, after = f" {notice} ".split(f" {fixed} ", 1)
+        for i in blanks:
+            for j in blanks:
+                span = text[i : j + 1]
+                if abs(len(span) - len(notice) - 2) <= edits and f" {fixed} " in span:
+                    for at in range(len(span)):
+                        if span.startswith(f" {fixed} ", at):
+                            head, tail = span[:at], span[at + len(fixed) + 2 :]
+                            if bool(head) == bool(before) and bool(tail) == bool(after) and distance(head[1:], before[1:]) + distance(tail[:-1], after[:-1]) <= edits:
+                                out.add(label)
+    return out
+
+
+def test_fuzzy_labels_are_those_of_edit_distance():
+    import random
+
+    for seed in range(120):
+        r = random.Random(seed)
+        notice, _, edits, _ = r.choice(license_scan.NOTICES)
+        x = list(notice)
+        for _ in range(r.randint(0, edits + 1)):
+            at = r.randrange(len(x))
+            x[at : at + r.randint(0, 1)] = r.choice(["", "q", "e"])
+        text = f"{words(3, seed)} {''.join(x)} {words(3, seed + 999)}"
+        canonical = license_scan.canonical(pa.array([text]))[0][0]
+        phrases = {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in canonical.decode()}
+        assert labels_of(text) == plain_notices(canonical.decode()) | phrases, text
+
+
+def test_license_scan_of_odd_tables(spark, docs, none):
+    assert license_scan.license_scan(none).collect() == []
+    d = docs.selectExpr("*", "1 AS labels", "2 AS n_words", "3 AS kept")
+    out = license_scan.license_scan(d, carry=tuple(d.columns))
+    assert out.columns == [*docs.columns, "kept", *license_scan.RESULTS] and {r.kept for r in out.collect()} == {3}
+    text = "gnu general public license " * 3 + "all rights reserved all rights reserved"
+    spans = license_scan.scan(license_scan.canonical(pa.array([text]))[0][0])["spans"]
+    assert sorted(x[1] for x in spans) == [0, 4, 8, 12, 15]
+
+
 def test_seeds_cover_a_notice():
-    for notice, _, edits in license_scan.NOTICES:
+    for notice, _, edits, _ in license_scan.NOTICES:
         parts = license_scan.seeds(notice, edits)
         assert len(parts) == edits + 1 and b"".join(p for _, p in parts) == notice.encode() and min(len(p) for _, p in parts) >= 9
 
@@ -177,6 +239,14 @@ def test_scores_are_those_of_a_trie(docs, none):
     assert language_model.score(none).collect() == []
 
 
+def test_scores_without_rows_to_learn_from(spark):
+    d = spark.createDataFrame([(1, "abc abc"), (2, None), (3, "x" * 3_000_000)], "doc_id bigint, text string").selectExpr("*", "1 AS score", "2 AS n_tokens")
+    for order in (2, 5):
+        got = {r.doc_id: r for r in language_model.score(d, F.lit(True), order).collect()}
+        assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 for r in got.values())
+        assert abs(got[1].score - 7 * math.log10(1 / 256)) < 1e-3 and got[2].score == 0 and abs(got[3].score / 3_000_000 - math.log10(1 / 256)) < 1e-4
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     one = sorted(map(str, language_model.score(docs).select("doc_id", "n_known", F.round("base_score", 6)).collect()))
     monkeypatch.setattr(language_model, "FREQUENT", 1)
@@ -291,6 +361,7 @@ def test_audio_round_trip_and_features(docs, none):
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media.endswith(pad)
         assert seen.setdefault(r.text or "", r.feature) == r.feature
         table = pa.ipc.open_stream(pa.BufferReader(r.tensors)).read_all()
+        assert (r.n_tensors, r.tensor_bytes, r.tensor_sha256) == (table.num_rows, len(r.tensors), hashlib.sha256(r.tensors).hexdigest())
         assert table["log_mel"].type.shape == [98, 40] and table.num_rows >= 1
         assert all(0 <= s.start_s < s.end_s for s in r.spans)
     assert audio_features.audio_columns(none).collect() == []
@@ -302,7 +373,7 @@ def test_a_tone_lands_in_its_band_and_span():
     p = audio_features.Params()
     t = np.arange(p.rate * 2)
     x = np.where((t > 8000) & (t < 24000), 100 * np.sin(2 * np.pi * 1000 * t / p.rate), 0) + 128
-    text, spans = audio_features.features(audio_features.to_wav(x.astype(np.uint8).tobytes(), p.rate), p)
+    text, spans, _, _ = audio_features.features(audio_features.to_wav(x.astype(np.uint8).tobytes(), p.rate), p)
     assert len(spans) == 1 and abs(spans[0][0] - 0.5) < 0.05 and abs(spans[0][1] - 1.5) < 0.05
     bank = audio_features.mel(p.bands, p.fft, p.to_rate)
     assert abs(int(text.rsplit("band=")[1]) - int(np.argmax(bank[round(1000 * p.fft / p.to_rate)]))) <= 1
@@ -318,6 +389,40 @@ def test_blocks_of_frames_join_without_seams():
     assert a.shape == b.shape and np.allclose(a, b, atol=1e-3)
 
 
+def test_features_are_those_of_a_plain_convolution(spark):
+    import numpy as np
+
+    p = audio_features.Params()
+    raw = ("The quick brown fox, " * 400 + "~" * 5000 + "zzz\x01" * 700).encode()
+    row = audio_features.audio_columns(spark.createDataFrame([(1, raw.decode())], "doc_id bigint, text string"), keep=True).first()
+    x = (np.frombuffer(audio_features.payload(raw), np.uint8).astype(float) - 128) / 128
+    down = p.rate // p.to_rate
+    t = np.arange(2 * p.taps) - (2 * p.taps - 1) / 2
+    h = np.sinc(t / down) / down * np.hanning(2 * p.taps + 2)[1:-1]
+    y = np.convolve(np.concatenate([np.zeros(p.taps), x, np.zeros(2 * p.taps)]), (h / h.sum())[::-1], "full")[2 * p.taps :][::down]
+    n = len(x) * p.to_rate // p.rate
+    frames = max(1, -(-(n - p.frame) // p.hop) + 1)
+    y = np.concatenate([y[:n], np.zeros(p.frame * 2)])
+    want = []
+    for i in range(frames):
+        part = y[i * p.hop : i * p.hop + p.frame] * np.hanning(p.frame)
+        spectrum = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(p.frame) / p.fft))) ** 2 for k in range(p.fft // 2 + 1)] if i % 40 == 0 else np.abs(np.fft.rfft(part, p.fft)) ** 2
+        want.append(np.log(np.array(spectrum) @ audio_features.mel(p.bands, p.fft, p.to_rate) + 1e-6))
+    table = pa.ipc.open_stream(pa.BufferReader(row.tensors)).read_all()
+    got = np.concatenate([c.to_numpy_ndarray() for c in table["log_mel"].chunks]).reshape(-1, p.bands)
+    assert int(sum(table["n_frames"].to_pylist())) == frames == int(row.feature.split(";")[0].split("=")[1])
+    inner = slice(2, frames - 4)  # the ends of the payload are taken as silence in either
+    assert np.abs(got[:frames][inner] - np.array(want)[inner]).max() < 0.02
+    starts, ends = table["start_s"].to_pylist(), table["end_s"].to_pylist()
+    assert starts == [i * p.rows * p.hop / p.to_rate for i in range(len(starts))] and abs(ends[-1] - ((frames - 1) * p.hop + p.frame) / p.to_rate) < 1e-9
+
+
+def test_audio_with_clashing_names(docs):
+    d = docs.selectExpr("*", "1 AS feature", "2 AS spans", "3 AS media")
+    out = audio_features.audio_columns(d, carry=tuple(d.columns))
+    assert len(out.columns) == len(set(out.columns)) and {r.media for r in out.collect()} == {3}
+
+
 # 7: near duplicates
 
 
@@ -462,6 +567,19 @@ def test_url_verdicts(spark):
     assert got == {i: c[1:] for i, c in enumerate(cases)}
 
 
+def test_a_vocabulary_from_a_table_with_weights(spark, none):
+    table = spark.createDataFrame([("Evil", 3.0), ("evil", 1.0), ("half", 1.5), ("third", 1.0), (None, 9.0), ("", 9.0), ("void", 0.0)], "term string, weight double")
+    terms = url_vocabulary.load(table)
+    assert terms == {"evil": 3.0, "half": 1.5, "third": 1.0}
+    urls = ["http://a.org/evil", "http://a.org/half", "http://a.org/half/half", "http://a.org/half-third", "http://a.org/third" + "/x" * 50000, "http://a.org/void", "http://a.org/evil"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "1 AS weight", "2 AS host", "3 AS _x")
+    got = {r.page_id: (r.n_strict, r.n_soft, r.weight, r.verdict) for r in url_vocabulary.verdicts(d, terms=terms, threshold=2.5).collect()}
+    assert got == {0: (1, 0, 3.0, "block"), 1: (0, 1, 1.5, "allow"), 2: (0, 1, 1.5, "allow"), 3: (0, 2, 2.5, "block"), 4: (0, 1, 1.0, "allow"), 5: (0, 0, 0.0, "allow"), 6: (1, 0, 3.0, "block")}
+    assert url_vocabulary.verdicts(none.selectExpr("doc_id AS page_id", "text AS url")).collect() == []
+    assert {r.verdict for r in url_vocabulary.verdicts(d, terms={}).collect()} == {"allow"}
+    assert url_vocabulary.verdicts(d.select("page_id", F.col("url").alias("path")), url="path").count() == 7
+
+
 # 9: preferences
 
 
@@ -478,6 +596,14 @@ def test_pairs_share_their_prompt(spark):
     assert got[3].prompt.count("x") == 2 and got[None].n_shared == 0
 
 
+def test_pairs_of_odd_tables(spark, none):
+    turns = none.selectExpr("doc_id AS conv_id", "doc_id AS turn", "lang AS role", "text")
+    assert preferences.format_pairs(preferences.self_negatives(turns)).collect() == []
+    d = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i} " * 500) for i in range(300)], "conv_id bigint, turn bigint, role string, text string")
+    r = preferences.format_pairs(preferences.self_negatives(d.selectExpr("*", "1 AS turns", "2 AS chosen"))).first()
+    assert r.n_shared == 299 and r.chosen.endswith("<|end|>\n") and len(r.rejected) < len(r.chosen)
+
+
 # 10: quality rules
 
 
