@@ -64,7 +64,7 @@ def cache_stats(reviewed: DataFrame) -> DataFrame:
 def overlap_scores(pairs: DataFrame) -> DataFrame:
     """Alignment scores of pairs (block, passage, with the columns ``block_text`` and ``passage_text``).
 
-    ``strong`` by containment, or by enough shared trigrams and words.
+    ``strong`` by containment of either in the other, from eight letters on, or by enough shared trigrams and words.
     """
     g = lambda c: T.trigrams(F.col(c))
     t = lambda c: F.array_distinct(F.filter(T.words(F.col(c)), lambda w: F.length(w) >= 2))
@@ -74,7 +74,8 @@ def overlap_scores(pairs: DataFrame) -> DataFrame:
     share = lambda n, d: n / F.greatest(F.size(d), F.lit(1))
     recall, precision, tokens = share(F.col("shared"), "bg"), share(F.col("shared"), "pg"), share(F.size(F.array_intersect("bt", "pt")), "bt")
     flat = lambda c: F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}\p{N}]+", "")
-    exact = (F.length(flat("block_text")) > 0) & F.contains(flat("passage_text"), flat("block_text"))
+    short = F.least(F.length(flat("block_text")), F.length(flat("passage_text")))
+    exact = (short >= 8) & (F.contains(flat("passage_text"), flat("block_text")) | F.contains(flat("block_text"), flat("passage_text")))
     base = 0.55 * recall + 0.25 * tokens + 0.20 * F.sqrt(recall * precision)
     score = F.round(F.when(exact, F.greatest(base, F.lit(0.96))).otherwise(base), 6)
     strong = exact | ((F.col("shared") >= 3) & (score >= 0.14) & ((recall >= 0.16) | (tokens >= 0.25)))
@@ -218,7 +219,7 @@ ALIGN = f"""{R.STATS}, {R.A}, {SECTIONS}, p AS (
   SELECT qid AS block, s.doc_id || '/' || section_id AS passage, {_G.format("b.text")} AS bf, {_G.format("s.text")} AS pf, list_distinct(list_filter({R._W.format("b.text")}, lambda w: length(w) >= 2)) AS bt, list_distinct(list_filter({R._W.format("s.text")}, lambda w: length(w) >= 2)) AS pt
   FROM a JOIN sections s USING (doc_id) JOIN benchmark b ON item_id = qid WHERE rank <= 5
 ), g AS (SELECT *, {_TRI.format("bf")} AS bg, {_TRI.format("pf")} AS pg FROM p), r AS (
-  SELECT *, len(list_intersect(bg, pg)) AS shared, len(list_intersect(bg, pg)) / greatest(len(bg), 1) AS recall, len(list_intersect(bg, pg)) / greatest(len(pg), 1) AS prec, len(list_intersect(bt, pt)) / greatest(len(bt), 1) AS tokens, length(bf) > 0 AND contains(pf, bf) AS exact FROM g
+  SELECT *, len(list_intersect(bg, pg)) AS shared, len(list_intersect(bg, pg)) / greatest(len(bg), 1) AS recall, len(list_intersect(bg, pg)) / greatest(len(pg), 1) AS prec, len(list_intersect(bt, pt)) / greatest(len(bt), 1) AS tokens, least(length(bf), length(pf)) >= 8 AND (contains(pf, bf) OR contains(bf, pf)) AS exact FROM g
 ), sc AS (
   SELECT *, round(CASE WHEN exact THEN greatest(0.55 * recall + 0.25 * tokens + 0.2 * sqrt(recall * prec), 0.96) ELSE 0.55 * recall + 0.25 * tokens + 0.2 * sqrt(recall * prec) END, 6) AS score, round(0.58 * recall + 0.22 * tokens + 0.2 * sqrt(recall * prec), 6) AS cite FROM r
 ), scores AS (SELECT block, passage, score, exact OR (shared >= 3 AND score >= 0.14 AND (recall >= 0.16 OR tokens >= 0.25)) AS strong, cite FROM sc)"""

@@ -26,7 +26,8 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def term_stats(docs: DataFrame) -> DataFrame:
     """Document frequency and idf of every term; negative ones become a quarter of the mean."""
-    df = words_of(docs, "doc_id").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    words = F.array_distinct(T.words(F.coalesce(F.col("text"), F.lit(""))))  # of one row: no pair of text and word is moved
+    df = docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -235,10 +236,6 @@ def _ask(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def _first_words(s, d):
-    return _ask(s, d).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
-
-
 def _headings(s, d):
     return _docs(s, d).select("doc_id", F.substring_index("text", ".", 1).alias("heading"))
 
@@ -249,7 +246,14 @@ def bm25_top(s, d, n=20):
 
 def _channels(s, d):
     docs = _docs(s, d).select("doc_id", "text")
-    return [top(bm25(docs, _ask(s, d)), 20), top(bm25(docs, _first_words(s, d)), 20), top(heading_recall(_headings(s, d), _ask(s, d)), 20)]
+    return [top(bm25(docs, _ask(s, d)), 20), _dense_channel(s, d), top(heading_recall(_headings(s, d), _ask(s, d)), 20)]
+
+
+def _dense_channel(s, d):
+    """Vectors of documents nearest to a question's; both are kept by their ids in one table."""
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    asked = table(s, d, "embeddings").select("vec_id", "embedding").join(_ask(s, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "qid")
+    return dense_top(vectors, asked, 20)
 
 
 def _candidates(s, d):
@@ -305,10 +309,10 @@ def _caption_fusion(s, d):
 _W = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _TERMS = "(" + "list_distinct(list_transform(list_filter(regexp_extract_all(lower({}), '[a-z][a-z0-9-]*'), lambda t: NOT list_contains([" + ", ".join(f"'{x}'" for x in HEADING_STOP) + "], t) AND length(t) >= 3), lambda t: CASE WHEN ends_with(t, 'ing') AND length(t) > 5 THEN substr(t, 1, length(t) - 3) WHEN ends_with(t, 'es') AND length(t) > 4 THEN substr(t, 1, length(t) - 2) WHEN ends_with(t, 's') AND length(t) > 3 THEN substr(t, 1, length(t) - 1) ELSE t END)))"
 
-STATS = f"""tok AS (SELECT doc_id, unnest({_W.format("text")}) AS token FROM documents), post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL),
-  dl AS (SELECT doc_id, len({_W.format("text")}) AS dl FROM documents), raw AS (
-  SELECT token, count(*) AS df, ln((SELECT count(*) FROM documents) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY token
-), stats AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+STATS = f"""tok AS MATERIALIZED (SELECT doc_id, unnest({_W.format("text")}) AS token FROM documents), post AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL),
+  dl AS (SELECT doc_id, len({_W.format("text")}) AS dl FROM documents), raw AS MATERIALIZED (
+  SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM post GROUP BY token) t, (SELECT count(*) AS n FROM documents) d
+), mean_raw AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM raw), stats AS MATERIALIZED (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM raw, mean_raw)"""
 
 
 def _bm25_sql(name: str, text: str) -> str:
@@ -317,7 +321,10 @@ def _bm25_sql(name: str, text: str) -> str:
 ), {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_s WHERE score > 0) WHERE rank <= 20)"""
 
 
-A, A8 = _bm25_sql("a", "text"), _bm25_sql("b", "array_to_string(string_split(text, ' ')[1:8], ' ')")
+A = _bm25_sql("a", "text")
+NEAR = """ev AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), en AS MATERIALIZED (SELECT vec_id, e, greatest(sqrt(list_inner_product(e, e)), 1e-12) AS norm FROM ev), b AS (
+  SELECT qid, doc_id, rank FROM (SELECT q.vec_id AS qid, x.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.e, x.e) / q.norm / x.norm, 6) DESC, x.vec_id) AS rank
+  FROM en q, en x WHERE q.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 20)"""
 _PARTS = r"list_filter(list_transform(string_split_regex({}, '\s*[>/|]\s*'), lambda p: trim(p)), lambda p: p <> '')"
 HEAD = rf"""hd AS (SELECT doc_id, split_part(text, '.', 1) AS heading FROM documents), h AS (
   SELECT doc_id, {_TERMS.format("heading")} AS h_terms, {_TERMS.format("coalesce(" + _PARTS.format("heading") + "[-1], '')")} AS leaf, list_transform({_PARTS.format("lower(heading)")}, lambda p: regexp_replace(p, '\s+', ' ', 'g')) AS parts FROM hd
@@ -327,7 +334,7 @@ HEAD = rf"""hd AS (SELECT doc_id, split_part(text, '.', 1) AS heading FROM docum
   SELECT qid, doc_id, round(0.56 * (hits / greatest(len(q_terms), 1)) + 0.28 * (hits / greatest(len(h_terms), 1)) + 0.08 * least(len(list_intersect(q_terms, leaf)), 2) + CASE WHEN exact THEN 0.45 ELSE 0 END, 6) AS score,
     round(hits / greatest(len(q_terms), 1), 6) AS coverage FROM hp WHERE hits > 0 AND (hits >= 2 OR exact OR hits / greatest(len(q_terms), 1) >= 0.25)
 ), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM heads) WHERE rank <= 20)"""
-FUSED = f"""{STATS}, {A}, {A8}, {HEAD}, u AS (SELECT qid, doc_id, 0 AS l, rank FROM a UNION ALL SELECT qid, doc_id, 1, rank FROM b UNION ALL SELECT qid, doc_id, 2, rank FROM c), f AS (
+FUSED = f"""{STATS}, {A}, {NEAR}, {HEAD}, u AS (SELECT qid, doc_id, 0 AS l, rank FROM a UNION ALL SELECT qid, doc_id, 1, rank FROM b UNION ALL SELECT qid, doc_id, 2, rank FROM c), f AS (
   SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf, min(l * 1000 + rank) AS first, max(rank) FILTER (l = 0) AS rank_0, max(rank) FILTER (l = 1) AS rank_1, max(rank) FILTER (l = 2) AS rank_2 FROM u GROUP BY qid, doc_id
 ), fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS rrf_rank FROM f) WHERE rrf_rank <= 32)"""
 RELEVANCE = f"""{STATS}, {A}, {HEAD}, sh AS (

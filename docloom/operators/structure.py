@@ -99,8 +99,8 @@ def publish_diff(old: DataFrame, new: DataFrame, key: str = "product") -> DataFr
 
 
 def content_digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows and a digest that doesn't depend on their order."""
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
+    """Rows and a digest that doesn't depend on their order: the sum of the rows' hashes, so that repeated rows count."""
+    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 def quality_metrics(chunks: DataFrame, target: int, short: int, long: int, text_chars: DataFrame) -> DataFrame:
@@ -257,7 +257,10 @@ QUERIES = {
     ),
     "publish_diff": (
         lambda s, d: publish_diff(*_publish(s, d)),
-        _S(", r AS (SELECT DISTINCT product FROM sections)", "SELECT product, CASE WHEN product = 'src10' THEN 'created' WHEN product = 'src1' THEN 'replaced' WHEN starts_with(product, 'src1') THEN 'unchanged' ELSE 'kept' END AS change FROM r"),
+        _S(
+            ", r AS (SELECT product, CAST(sum(char_len) AS BIGINT) AS digest FROM sections GROUP BY product), o AS (SELECT * FROM r WHERE product <> 'src10'), p AS (SELECT product, CASE WHEN product = 'src1' THEN digest + 1 ELSE digest END AS digest FROM r WHERE starts_with(product, 'src1'))",
+            "SELECT coalesce(o.product, p.product) AS product, CASE WHEN o.product IS NULL THEN 'created' WHEN p.product IS NULL THEN 'kept' WHEN o.digest = p.digest THEN 'unchanged' ELSE 'replaced' END AS change FROM o FULL JOIN p ON o.product = p.product",
+        ),
     ),
     "section_quality": (
         lambda s, d: quality_metrics(sections(s, d), 720, 140, 1100, _chars(s, d)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,16 @@ from ..sources.tables import SECTIONS, sections, table
 
 #: Patterns of the questions that go to service or to the manuals.
 ROUTES = {
-    "service_priority": r"订单|物流|快递|发货|到货|退款|退货|换货|退换|售后|发票|价格|优惠|购买渠道|人工客服|联系客服|投诉|申请(?:换货|退货|退款|售后|维修)|(?:可以吗|能否|是否).{0,24}(?:换货|退货|退款|售后|维修)",
+    "greeting": r"(?i)^(?:你好|您好|嗨|哈喽|hello|hi|在吗|有人吗|早上好|上午好|中午好|下午好|晚上好|谢谢|感谢|辛苦了|再见|拜拜)[！!。,.，？?~～\s]*$",
+    "service": r"(?i)订单|物流|快递|发货|到货|退款|退货|换货|退换|售后|保修服务|维修服务|发票|价格|优惠|购买|下单|店铺|商家|平台|人工客服|联系客服|投诉|纸质版说明书|电子版说明书|生产日期|批次|延长试用|上门安装",
+    "service_priority": r"(?i)订单|物流|快递|发货|到货|退款|退货|换货|退换|售后|发票|价格|优惠|购买渠道|人工客服|联系客服|投诉|申请(?:换货|退货|退款|售后|维修)|(?:可以吗|能否|是否).{0,24}(?:换货|退货|退款|售后|维修)",
     "tech": r"(?i)安装|使用|设置|操作|启动|开机|关机|冷机|热机|清洁|维护|保养|排障|故障|更换|拆卸|组装|按钮|部件|螺丝|滤网|电池|保险丝|灯泡|参数|规格|安全|警告|warranty|policy|statement|disclaimer|maintenance|troubleshooting|install|replace|clean",
-    "service_topic": r"保质期|临期|过期|寄到国外|国际配送|以旧换新|智能客服|运费|上门安装|试用装",
-    "service_transaction": r"订单|物流|退款|退货|换货|售后|赔偿|投诉|发票|运费|补寄|收货|更换.{0,12}(?:尺寸|款式)|换成.{0,12}(?:尺寸|款式)|差价",
-    "product_content": r"配备哪些附件|有哪些附件|包装盒里|包装内|盒内|随箱|随机附件|包含哪些配件",
-    "service_case": r"上门检修|延长试用期限|维修.{0,20}(?:配件费|收费|承诺)|承诺.{0,12}维修",
+    "service_topic": r"(?i)保质期|临期|过期|寄到国外|国际配送|以旧换新|智能客服|运费|上门安装|试用装",
+    "service_transaction": r"(?i)订单|物流|退款|退货|换货|售后|赔偿|投诉|发票|运费|补寄|收货|更换.{0,12}(?:尺寸|款式)|换成.{0,12}(?:尺寸|款式)|差价",
+    "product_content": r"(?i)配备哪些附件|有哪些附件|包装盒里|包装内|盒内|随箱|随机附件|包含哪些配件",
+    "service_case": r"(?i)上门检修|延长试用期限|维修.{0,20}(?:配件费|收费|承诺)|承诺.{0,12}维修",
+    "commercial_change": r"(?i)换成.{0,12}(?:尺寸|尺码|款式)|更换.{0,12}(?:尺寸|尺码|款式).{0,12}差价|(?:尺寸|尺码).{0,12}(?:换大|换小|换码|更换|改大|改小)",
+    "accessory": r"(?i)(?:外接|延长).{0,16}(?:电源线|延长线|插线板|插排)|(?:电源线|延长线|插线板|插排).{0,20}(?:多长|多少米|多少m|可以外接|能外接|可以用|能用)",
 }
 #: Markers of questions about a whole operation or several things.
 SCOPE_WIDE = ["有哪些", "包括什么", "组成", "介绍", "不同", "各自", "步骤", "如何", "怎样", "what are", "what kinds", "introduce", "different", "other functions", "requirements", "limitations", "characteristics", "how to", "how do i", "what should"]
@@ -23,15 +29,23 @@ PROCEDURE = r"(?i)步骤|如何|怎么|怎样|\bhow (?:to|do|can|should)\b|\bste
 COMPARISON = r"(?i)区别|不同|对比|比较|\bdifferen(?:ce|t)\b|\bcompare\b|\bversus\b|\bvs\b"
 
 
+#: What decides, in order: kinds of which one is enough, kinds that must be absent, and where the question goes.
+DECISIONS = [
+    (("greeting", "service_case", "commercial_change", "accessory"), (), "service"),
+    (("product_content",), ("service_transaction",), "tech"),
+    (("service_priority", "service_topic"), (), "service"),
+    (("service",), ("tech",), "service"),
+]
+
+
 def question_route(question: Column, patterns: dict[str, str] = ROUTES) -> Column:
-    """``service`` or ``tech`` by the patterns that a question has; where they are silent, ``tech``."""
-    hit = {k: question.rlike(v) for k, v in patterns.items()}
-    return (
-        F.when(hit["service_case"], "service")
-        .when(hit["product_content"] & ~hit["service_transaction"], "tech")
-        .when(hit["service_priority"] | hit["service_topic"], "service")
-        .otherwise("tech")
-    )
+    """``service`` or ``tech`` by the first decision that fits the kinds of patterns a question has; where none fits, ``tech``."""
+    text = F.coalesce(F.trim(question), F.lit(""))
+    out = F.lit("tech")
+    for has, lacks, route in reversed(DECISIONS):
+        fits = reduce(Column.__or__, [text.rlike(patterns[k]) for k in has])
+        out = F.when(reduce(Column.__and__, [~text.rlike(patterns[k]) for k in lacks], fits), route).otherwise(out)
+    return out
 
 
 def intent_flags(question: Column) -> list[Column]:
@@ -65,8 +79,16 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
-#: Routing patterns for texts of the test tables, in the roles of the fixed ones.
-_LATIN = {"service_priority": "worthless|licen[cs]e", "service_topic": "token|email", "service_transaction": "copyright", "product_content": "thereof|question", "service_case": "stupid|pathetic"}
+#: Words of the test tables' texts that stand beside the fixed patterns, as these tables hold no Chinese questions.
+_LATIN = {"greeting": "^zz$", "service": "stale", "service_priority": "worthless|licen[cs]e", "tech": "quote", "service_topic": "token|email", "service_transaction": "copyright", "product_content": "thereof|question", "service_case": "stupid|pathetic", "commercial_change": "swap", "accessory": "cable"}
+_ROUTES = {k: f"{v}|{_LATIN[k]}" for k, v in ROUTES.items()}
+
+
+def _route_sql() -> str:
+    hit = lambda k: f"regexp_matches(trim(text), '{_ROUTES[k]}')"
+    whens = (f"WHEN ({' OR '.join(map(hit, has))}){''.join(f' AND NOT {hit(k)}' for k in lacks)} THEN '{route}'" for has, lacks, route in DECISIONS)
+    return f"CASE {' '.join(whens)} ELSE 'tech' END"
+
 
 _SQL_TAGS = ", ".join(f"CASE WHEN regexp_matches(both_, '{p}') THEN '{n}' END" for n, p in T.TAG_RULES)
 
@@ -118,9 +140,8 @@ QUERIES = {
         o AS (SELECT page_id, list_filter(us, lambda x, i: list_position(us, x) = i) AS us FROM u) SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, us[i] AS found FROM o, LATERAL (SELECT unnest(range(1, len(us) + 1)) AS i) t""",
     ),
     "question_route": (
-        lambda s, d: table(s, d, "benchmark").select("item_id", question_route(F.col("text"), ROUTES | _LATIN).alias("route")),
-        f"""SELECT item_id, CASE WHEN regexp_matches(text, '{_LATIN["service_case"]}') THEN 'service' WHEN regexp_matches(text, '{_LATIN["product_content"]}') AND NOT regexp_matches(text, '{_LATIN["service_transaction"]}') THEN 'tech'
-        WHEN regexp_matches(text, '{_LATIN["service_priority"]}') OR regexp_matches(text, '{_LATIN["service_topic"]}') THEN 'service' ELSE 'tech' END AS route FROM benchmark""",
+        lambda s, d: table(s, d, "benchmark").select("item_id", question_route(F.col("text"), _ROUTES).alias("route")),
+        f"SELECT item_id, {_route_sql()} AS route FROM benchmark",
     ),
     "public_urls": (
         lambda s, d: table(s, d, "pages").select("page_id", public_url(F.col("url")).alias("public")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds of a timestamp as written, whatever the session's time zone."""
-    name = ts if isinstance(ts, str) else ts._jc.toString()
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({name} AS TIMESTAMP_NTZ)) div 1000")
+    written = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz").cast("string")
+    return F.unix_millis(F.to_timestamp(F.concat(written, F.lit("Z"))))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

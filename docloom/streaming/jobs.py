@@ -1,6 +1,9 @@
 """Structured Streaming jobs over request logs, feedback and sessions.
 
 Late rows within ten minutes count; later ones are left out of windows, and stay in the log.
+Windows and sessions are given once, when the watermark has passed them, and forgotten;
+state by key is dropped when nothing has come for ``TTL_MS``, so no state grows for ever.
+Without ``ttl`` it stays: a run over what is there now (``availableNow``) ends only then.
 """
 
 from __future__ import annotations
@@ -14,9 +17,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.monitor import alert_columns, chat_alerts
-from ..sources.tables import REQUESTS, as_requests, shared_dir
+from ..sources.tables import REQUESTS, as_requests, requests, shared_dir
 
 LATE = "10 minutes"
+#: State of a key that nothing has come for in so long is dropped: seven days.
+TTL_MS = 7 * 24 * 3600 * 1000
+
+
+def _kept(state: GroupState, value: tuple, ttl: bool) -> None:
+    state.update(value)
+    if ttl:
+        state.setTimeoutDuration(TTL_MS)
+
+
+def _timeout(ttl: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+
+
+def _forgotten(state: GroupState) -> bool:
+    """Whether this call is only to drop the state of a silent key."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -55,48 +78,54 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
-def alert_cooldown(alerts: DataFrame, wait_ms: int = 600_000) -> DataFrame:
+def alert_cooldown(alerts: DataFrame, wait_ms: int = 600_000, ttl: bool = True) -> DataFrame:
     """Alerts (alert_key, at_ms) that fire: none within ``wait_ms`` of the last that fired for its key. State: when that was."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _forgotten(state):
+            return
         last, fired = (state.get[0] if state.exists else None), []
         for at in sorted(t for batch in batches for t in batch["at_ms"]):
             if last is None or at - last >= wait_ms:
                 last = int(at)
                 fired.append(last)
         if last is not None:
-            state.update((last,))
+            _kept(state, (last,), ttl)
         yield pd.DataFrame({"alert_key": [key[0]] * len(fired), "fired_at": fired})
 
-    return alerts.groupBy("alert_key").applyInPandasWithState(fold, "alert_key string, fired_at bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return alerts.groupBy("alert_key").applyInPandasWithState(fold, "alert_key string, fired_at bigint", "last bigint", "append", _timeout(ttl))
 
 
-def session_memory(turns: DataFrame, keep: int = 6) -> DataFrame:
+def session_memory(turns: DataFrame, keep: int = 6, ttl: bool = True) -> DataFrame:
     """The last turns of each session (session_id, turn, text), bounded whatever a session's length."""
 
     def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _forgotten(state):
+            return
         held = list(zip(*state.get)) if state.exists else []
         held += [(int(t), str(x)) for batch in batches for t, x in zip(batch["turn"], batch["text"])]
         held = sorted(held)[-keep:]
-        state.update(([t for t, _ in held], [x for _, x in held]))
+        _kept(state, ([t for t, _ in held], [x for _, x in held]), ttl)
         yield pd.DataFrame({"session_id": [key[0]], "turns": [len(held)], "last": [held[-1][1]]})
 
-    return turns.groupBy("session_id").applyInPandasWithState(remember, "session_id bigint, turns int, last string", "turn array<bigint>, text array<string>", "update", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("session_id").applyInPandasWithState(remember, "session_id bigint, turns int, last string", "turn array<bigint>, text array<string>", "update", _timeout(ttl))
 
 
-def failure_streaks(probes: DataFrame, least: int = 2) -> DataFrame:
+def failure_streaks(probes: DataFrame, least: int = 2, ttl: bool = True) -> DataFrame:
     """Services (service, at_ms, ok) that have failed ``least`` times in a row, once a streak."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _forgotten(state):
+            return
         run, out = (state.get[0] if state.exists else 0), []
         for at, ok in sorted((int(a), bool(o)) for batch in batches for a, o in zip(batch["at_ms"], batch["ok"])):
             run = 0 if ok else run + 1
             if run == least:
                 out.append(at)
-        state.update((run,))
+        _kept(state, (run,), ttl)
         yield pd.DataFrame({"service": [key[0]] * len(out), "critical_at": out})
 
-    return probes.groupBy("service").applyInPandasWithState(follow, "service string, critical_at bigint", "run int", "append", GroupStateTimeout.NoTimeout)
+    return probes.groupBy("service").applyInPandasWithState(follow, "service string, critical_at bigint", "run int", "append", _timeout(ttl))
 
 
 def upsert_sink(path: str, key: str, order: str):
@@ -111,6 +140,11 @@ def upsert_sink(path: str, key: str, order: str):
     return write
 
 
+def enriched(feedback: DataFrame, log: DataFrame) -> DataFrame:
+    """Feedback (a stream) with the product and category of its request, from the log as it is when a batch begins; null where there is none."""
+    return feedback.join(log, "request_id", "left")
+
+
 def first_feedback(feedback: DataFrame) -> DataFrame:
     """The first of equal feedback (request_id, action) within the watermark."""
     return feedback.withWatermark("at", LATE).dropDuplicatesWithinWatermark(["request_id", "action"])
@@ -126,18 +160,25 @@ def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
 
+#: Up to where windows are closed when all events are in, in milliseconds.
+MARK = "mark AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS mark FROM events)"
+
 QUERIES = {
     "stream_minutes": (
-        lambda s, d: collected(minute_counts(event_stream(s, d)), "stream_minutes", "complete"),
-        f"WITH {REQUESTS} SELECT completed_at - completed_at % 60000 AS minute, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM requests GROUP BY 1",
+        lambda s, d: collected(minute_counts(event_stream(s, d)), "stream_minutes"),
+        f"WITH {REQUESTS}, {MARK} SELECT completed_at - completed_at % 60000 AS minute, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM requests, mark GROUP BY 1, mark HAVING minute + 60000 <= mark",
     ),
     "stream_sessions": (
-        lambda s, d: collected(sessions(event_stream(s, d)), "stream_sessions", "complete"),
-        """WITH e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, epoch_us(min(ts)) // 1000 AS start, count(*) AS events FROM g GROUP BY user_id, k""",
+        lambda s, d: collected(sessions(event_stream(s, d)), "stream_sessions"),
+        f"""WITH {MARK}, e AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, epoch_us(min(ts)) // 1000 AS start, count(*) AS events FROM g, mark GROUP BY user_id, k, mark HAVING epoch_us(max(ts)) + 1800000000 <= mark * 1000""",
+    ),
+    "stream_alerts": (lambda s, d: collected(sliding_alerts(event_stream(s, d)), "stream_alerts"), None),
+    "feedback_enriched": (
+        lambda s, d: collected(enriched(event_stream(s, d).filter("event_type = 'purchase'").select(F.concat(F.lit("r"), F.col("event_id") - 1).alias("request_id"), F.lit("solved").alias("action")), requests(s, d).select("request_id", "product", "category")), "feedback_enriched"),
+        f"WITH {REQUESTS}, f AS (SELECT 'r' || (event_id - 1) AS request_id, 'solved' AS action FROM requests WHERE event_type = 'purchase') SELECT f.request_id, action, product, category FROM f LEFT JOIN requests r ON r.request_id = f.request_id",
     ),
-    "stream_alerts": (lambda s, d: collected(sliding_alerts(event_stream(s, d)), "stream_alerts", "complete"), None),
 }

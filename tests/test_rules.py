@@ -199,10 +199,10 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("k", m * 60_000, i, f"t{m}", 1) for m in minutes], "alert_key string, at_ms bigint, turn bigint, text string, session_id bigint").coalesce(1).write.mode("append").parquet(str(src))
     schema = spark.read.parquet(str(src)).schema
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    assert sorted(r.fired_at // 60_000 for r in jobs.collected(jobs.alert_cooldown(stream()), "cool").collect()) == [0, 12, 22]
-    memory = jobs.collected(jobs.session_memory(stream(), keep=2), "memory", "update").collect()
+    assert sorted(r.fired_at // 60_000 for r in jobs.collected(jobs.alert_cooldown(stream(), ttl=False), "cool").collect()) == [0, 12, 22]
+    memory = jobs.collected(jobs.session_memory(stream(), keep=2, ttl=False), "memory", "update").collect()
     assert max(r.turns for r in memory) == 2
-    streaks = jobs.failure_streaks(stream().selectExpr("alert_key AS service", "at_ms", "at_ms > 700000 AS ok"))
+    streaks = jobs.failure_streaks(stream().selectExpr("alert_key AS service", "at_ms", "at_ms > 700000 AS ok"), ttl=False)
     assert [r.critical_at for r in jobs.collected(streaks, "streaks").collect()] == [240_000]
     sink = jobs.upsert_sink(str(tmp_path / "up"), "alert_key", "at_ms")
     q = stream().writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
