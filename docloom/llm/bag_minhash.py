@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carry: tuple[str, ...
     parts = F.ceil(F.greatest(F.col("m") / part, F.col("n") / PART_SHINGLES)).cast("int")
     sizes = staged(sizes.select("component", "m", parts.alias("parts")), "bag-sizes")
     placed = with_facts(families, sizes, "component", "m", max(1, families.count())).select("id", "component", "parts")
-    nodes = staged(hashed(signed.select(F.col("row").alias("id"), "text").join(placed, "id")), "bag-nodes")
+    merged = signed.select(F.col("row").alias("id"), "text").join(placed.hint("merge"), "id")  # placed grows with the corpus: one plan at every size
+    nodes = staged(hashed(merged), "bag-nodes")
     discard(reps, shared)
     classes = components(family_links(nodes, least, part))
     texts = bags.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bag", "copies", "head", F.coalesce("component", "rep").alias("class"))
