@@ -69,10 +69,11 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
     """``rows`` joined with ``facts``, which has one row for each key and in ``weight`` how many of the ``total`` rows have it.
 
     Keys of more than a thousandth of the rows are hot: there are a thousand at most, so
-    they are broadcast and their rows stay where they are. The others are shuffled.
+    they are broadcast and their rows stay where they are. The others are shuffled, by the
+    same plan at every size.
     """
     hot = F.broadcast(facts.filter(F.col(weight) * HOT_SHARE > total))
-    rest = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col(weight) * HOT_SHARE <= total), key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col(weight) * HOT_SHARE <= total).hint("merge"), key)
     return rows.join(hot, key).unionByName(rest)
 
 
