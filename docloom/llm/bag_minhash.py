@@ -44,11 +44,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import SPACE, discard, slices, staged, text_bytes, tidy, with_facts, words
+from .common import SLICE_BYTES, SPACE, discard, slices, staged, text_bytes, tidy, with_facts, words
 from .components import components
 
 SHINGLE = 5
@@ -148,16 +149,16 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, slots
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """One hash of each band's slots, (n, BANDS)."""
+    """One hash of each band's number and slots, (n, BANDS)."""
     bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS, ROWS)
-    out = np.zeros((len(sig), BANDS), np.uint64)
+    out = np.tile(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(sig), 1))
     for i in range(ROWS):
         out = mix(out * BASE + bits[:, :, i])
     return out.view(np.int64)
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, carried, text, number of shingles, a digest of the multiset and the bands of each document."""
+def sign(docs: DataFrame, plain: bool) -> DataFrame:
+    """doc_id, carried, text (compressed unless ``plain``), number of shingles, a digest of the multiset and the bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -169,19 +170,38 @@ def sign(docs: DataFrame) -> DataFrame:
             found = bands(signatures(row, h, w, n))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)))
             size = np.bincount(row, weights=w, minlength=n).astype(np.int64)
-            mine = [part.column(c) for c in ("doc_id", "carried", "text")]
+            mine = [part.column("doc_id"), part.column("carried"), part.column("text") if plain else zipped(part.column("text"))]
             yield pa.RecordBatch.from_arrays([*mine, pa.array(size), pa.array(bags, pa.binary()), lists], names=["doc_id", "carried", "text", "n_shingles", "bag", "bands"])
 
-    schema = StructType([docs.schema[c] for c in ("doc_id", "carried", "text")])
+    schema = StructType([docs.schema[c] for c in ("doc_id", "carried")]).add("text", docs.schema["text"].dataType if plain else "binary")
     return docs.select("doc_id", "carried", "text").mapInArrow(run, schema.add("n_shingles", "long").add("bag", "binary").add("bands", ArrayType(LongType())))
 
 
-def hashed(nodes: DataFrame) -> DataFrame:
+def zipped(texts: pa.Array) -> pa.Array:
+    """Each text by itself, compressed for the way through a table and a shuffle. Null: empty."""
+    data, off = text_bytes(texts)
+    z, whole = zstandard.ZstdCompressor(level=1), data.tobytes()
+    return pa.array([z.compress(whole[a:b]) for a, b in zip(off, off[1:])], pa.binary())
+
+
+def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts as they were, in parts of some two megabytes of text (one row at least)."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        upto = np.cumsum([0, *(zstandard.frame_content_size(x) for x in texts)])
+        at, z, begin = batch.schema.get_field_index("text"), zstandard.ZstdDecompressor(), 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + SLICE_BYTES, "right")) - 1)
+            yield batch.slice(begin, end - begin).set_column(at, "text", pa.array([z.decompress(x) for x in texts[begin:end]], pa.large_binary()))
+            begin = end
+
+
+def hashed(nodes: DataFrame, plain: bool) -> DataFrame:
     """The nodes with ``h``, their shingles' hashes, in place of ``text``; the k-th of equal shingles has a hash of its own."""
     names = [c for c in nodes.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches if plain else unzipped(batches)):
             row, h, w = weighted(*shingles(part.column("text")))
             copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
             row, h = np.repeat(row, w), mix(np.repeat(h, w) + copy.astype(np.uint64) * BASE)
@@ -301,15 +321,15 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carry: tuple[str, ...
     """doc_id and ``carry`` columns, ``n_shingles``, ``class_id``, ``class_size`` and ``is_first`` (whether it stands for its class) of each document (doc_id, text)."""
     columns = [c for c in carry if c not in ("doc_id", "text", *RESULTS)]
     carried = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
-    signed = staged(sign(docs.select("doc_id", "text", carried)).withColumn("row", F.monotonically_increasing_id()), "bag-signatures")
+    plain = "text" in carry  # texts that aren't carried move compressed
+    signed = staged(sign(docs.select("doc_id", "text", carried), plain).withColumn("row", F.monotonically_increasing_id()), "bag-signatures")
     total = signed.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))).alias("head")
     bags = staged(signed.groupBy("bag").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), first), "bags")
-    reps = staged(signed.filter("n_shingles > 0").join(bags, signed["row"] == bags["rep"], "left_semi").select("row", F.posexplode("bands").alias("band", "key")), "bag-bands")
-    shared = staged(reps.groupBy("band", "key").agg(F.min("row").alias("a"), F.count("*").alias("m")).filter("m > 1"), "bag-shared")
+    reps = staged(signed.filter("n_shingles > 0").join(bags, signed["row"] == bags["rep"], "left_semi").select("row", F.explode("bands").alias("key")), "bag-bands")
+    shared = staged(reps.groupBy("key").agg(F.min("row").alias("a"), F.count("*").alias("m")).filter("m > 1"), "bag-shared")
     n = reps.agg(F.count("*")).first()[0]
-    keyed = reps.select(F.struct("band", "key").alias("at"), F.col("row").alias("b"))
-    met = with_facts(keyed, shared.select(F.struct("band", "key").alias("at"), "a", "m"), "at", "m", n)
+    met = with_facts(reps.withColumnRenamed("row", "b"), shared, "key", "m", n)
     families = components(met.select("a", "b").filter("a <> b").distinct())
     families = staged(families.join(signed.select(F.col("row").alias("id"), "n_shingles"), "id"), "bag-families")
     sizes = families.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("n")).filter("m > 1")
@@ -317,7 +337,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carry: tuple[str, ...
     sizes = staged(sizes.select("component", "m", parts.alias("parts")), "bag-sizes")
     placed = with_facts(families, sizes, "component", "m", max(1, families.count())).select("id", "component", "parts")
     merged = signed.select(F.col("row").alias("id"), "text").join(placed.hint("merge"), "id")  # placed grows with the corpus: one plan at every size
-    nodes = staged(hashed(merged), "bag-nodes")
+    nodes = staged(hashed(merged, plain), "bag-nodes")
     discard(reps, shared)
     classes = components(family_links(nodes, least, part))
     texts = bags.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bag", "copies", "head", F.coalesce("component", "rep").alias("class"))
@@ -325,8 +345,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, carry: tuple[str, ...
     best = staged(texts.groupBy("class").agg(F.min("head").alias("head"), F.sum("copies").alias("class_size"), F.count("*").alias("texts")), "bag-heads")
     facts = with_facts(texts.select("bag", "copies", "class"), best, "class", "texts", max(1, texts.count()))
     facts = staged(facts.select("bag", "copies", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head"), "class_size"), "bag-facts")
-    rows = with_facts(signed.select("doc_id", "text", "carried", "row", "n_shingles", "bag") if "text" in carry else signed.select("doc_id", "carried", "row", "n_shingles", "bag"), facts, "bag", "copies", max(1, total))
-    mine = [F.col("text")] * ("text" in carry) + [F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)]
+    rows = with_facts(signed.select("doc_id", "text", "carried", "row", "n_shingles", "bag") if plain else signed.select("doc_id", "carried", "row", "n_shingles", "bag"), facts, "bag", "copies", max(1, total))
+    mine = [F.col("text")] * plain + [F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)]
     return rows.select("doc_id", *mine, "n_shingles", "class_id", "class_size", (F.col("row") == F.col("head")).alias("is_first"))
 
 
