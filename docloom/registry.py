@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers", "operators.structure", "operators.conversation", "operators.ingest", "streaming.jobs", "operators.evidence", "operators.catalogue"]
+MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers", "operators.structure", "operators.conversation", "operators.ingest", "streaming.jobs", "operators.evidence", "operators.catalogue", "operators.results"]
 
 
 def _all() -> dict:
