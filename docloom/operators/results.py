@@ -96,6 +96,18 @@ def distinct_strings(values: Column, limit: int, count: int) -> Column:
     return F.slice(F.filter(short, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1), 1, count)
 
 
+def fenced_json(text: Column | str, schema: str) -> Column:
+    """The object of ``schema`` in a text, with or without a fence of code around it; null where it can't be read."""
+    body = F.regexp_replace(F.trim(_text(text)), r"^```[A-Za-z]*\s*|\s*```$", "")
+    return F.when(body.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+
+
+def manual_detail(rows: DataFrame, chunks: DataFrame, product: str) -> DataFrame:
+    """All sections and chunks (product, doc_id, place, text) of one product; the filter reaches both scans."""
+    parts = [x.filter(F.col("product") == product).select(F.lit(kind).alias("kind"), "product", "doc_id", "place", "text") for kind, x in (("section", rows), ("chunk", chunks))]
+    return parts[0].unionByName(parts[1])
+
+
 def first_seen_counts(rows: DataFrame, key: str, place: str) -> DataFrame:
     """How many rows each key has, and ``first``, the place where it is seen first (order by it for the order of appearance)."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -261,4 +273,14 @@ QUERIES = {
         f"SELECT doc_id, array_to_string(list_filter(v, lambda x, i: list_position(low, lower(x)) = i)[1:8], '|') AS lines FROM (SELECT doc_id, v, list_transform(v, lambda x: lower(x)) AS low FROM (SELECT doc_id, {_SHORT} AS v FROM documents))",
     ),
     "answer_markup": (_markup, _MARKUP),
+    "fenced_objects": (
+        lambda s, d: table(s, d, "documents").select("doc_id", fenced_json(F.concat(F.when(F.col("doc_id") % 3 > 0, " ```json\n").otherwise(""), F.lit('{"id": '), F.col("doc_id"), F.lit(', "n": '), F.col("n_chars"), F.when(F.col("doc_id") % 5 > 0, "}").otherwise(""), F.when(F.col("doc_id") % 3 > 0, "\n``` ").otherwise("")), "id bigint, n bigint").alias("o")).select("doc_id", "o.id", "o.n"),
+        "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN doc_id END AS id, CASE WHEN doc_id % 5 > 0 THEN CAST(n_chars AS BIGINT) END AS n FROM documents",
+    ),
+    "manual_detail": (
+        lambda s, d: manual_detail(
+            sections(s, d).withColumn("place", F.col("section_id")), table(s, d, "documents").select(F.col("source").alias("product"), "doc_id", F.lit(0).alias("place"), "text"), "src1"
+        ).withColumn("n", F.length("text")).drop("text"),
+        f"WITH {SECTIONS} SELECT 'section' AS kind, product, doc_id, section_id AS place, char_len AS n FROM sections WHERE product = 'src1' UNION ALL SELECT 'chunk', source, doc_id, 0, CAST(length(text) AS INT) FROM documents WHERE source = 'src1'",
+    ),
 }

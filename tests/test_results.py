@@ -59,3 +59,8 @@ def test_figures_of_a_group_leave_out_seeds(spark):
     seeds = spark.createDataFrame([(7, "p", "f1"), (8, "p", "f3"), (9, "q", "f1")], "qid int, product string, pic_id string")
     got = sorted((r.qid, r.k, r.pic_id) for r in X.group_figures(seeds, groups, 4).collect())
     assert got == [(7, 1, "f0"), (7, 2, "f2"), (7, 3, "f3"), (8, 1, "f0"), (8, 2, "f1"), (8, 3, "f2"), (8, 4, "g")]
+
+
+def test_objects_in_fences(spark):
+    for text, want in (('```json\n{"a": 1}\n```', 1), (' {"a": 2} ', 2), ("```\nno\n```", None), ('{"a": ', None), (None, None)):
+        assert one(spark, X.fenced_json("t", "a int")["a"], t=text) == want
