@@ -41,9 +41,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents of which nothing is left are gone.
     """
-    kept = phrase_dedup.dedup(packed(docs), keep=True, carry=("rest",)).filter((F.col("n_bytes") == 0) | (F.length("kept") > 0))
-    text = unpacked(phrase_dedup.whole_characters(kept.select("doc_id", "rest", "kept")), docs)
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = phrase_dedup.dedup(packed(docs), keep="text", carry=("rest",)).filter("n_bytes = 0 OR n_bytes > n_removed")
+    return unpacked(kept, docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,7 +372,7 @@ def judge_windows(table: pa.Table, limits: Limits) -> pa.Table:
     return _moved(out)
 
 
-def remove(table: pa.Table, told: pa.Table, keep: bool) -> pa.Table:
+def remove(table: pa.Table, told: pa.Table, keep: bool | str) -> pa.Table:
     """The documents of a block without what is repeated: each is cut by its own spans."""
     table, _, data, off = _ordered(table)
     row, a, b = merged(*(x.view(np.int64) for x in _all(told.column("payload").to_pylist(), 3)))
@@ -388,27 +388,35 @@ def remove(table: pa.Table, told: pa.Table, keep: bool) -> pa.Table:
             digest.update(part)
         digests.append(digest.hexdigest())
         if keep:
-            kept.append(b"".join(parts))
+            whole = b"".join(parts)
+            kept.append(whole.decode(errors="ignore") if keep == TEXT else whole)
     columns = [table.column("doc_id"), table.column("carried"), pa.array(n, pa.int64()), pa.array(n_removed), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
-    out = pa.Table.from_arrays(columns + [pa.array(kept, pa.binary())] * keep, names=["doc_id", "carried", *RESULTS[: 4 + keep]])
+    if keep:
+        columns.append(pa.array(kept, pa.string() if keep == TEXT else pa.binary()))
+    out = pa.Table.from_arrays(columns, names=["doc_id", "carried", *results(keep)])
     tidy()
     return out
 
 
-RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+TEXT = "text"
 
 
-def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
+def results(keep: bool | str) -> list[str]:
+    return ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ([TEXT if keep == TEXT else "kept"] if keep else [])
+
+
+def dedup(docs: DataFrame, keep: bool | str = False, carry: tuple[str, ...] = (), limits: Limits = Limits()) -> DataFrame:
     """doc_id and ``carry`` columns of all documents with bytes, bytes removed, spans removed and a digest of the rest.
 
-    With ``keep`` also ``kept``, the bytes that remain. Other columns of ``docs`` are left aside.
+    With ``keep`` also ``kept``, the bytes that remain; with ``keep="text"`` instead ``text``, the characters that
+    are whole in them (a passage may begin or end inside a character). Other columns of ``docs`` are left aside.
     """
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, IntegralType):
         raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, m = (max(8, -(-total // most)) for most in (limits.block, limits.bucket))
-    columns = [c for c in carry if c not in ("doc_id", "text", *RESULTS[: 4 + keep])]
+    columns = [c for c in carry if c not in ("doc_id", "text", *results(keep))]
     carried = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
     hashed = [F.col(f"`{c}`") for c in ("doc_id", "text", *columns) if "map<" not in docs.schema[c].dataType.simpleString()]  # Spark hashes no maps
     rows = docs.select("doc_id", "text", carried, F.xxhash64(*hashed).alias("tie")).withColumn("block", F.pmod(F.xxhash64("tie"), F.lit(n)))
@@ -418,22 +426,11 @@ def dedup(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = (), limi
     found = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda t, u: send_windows(t, u, m, limits), MOVED_DDL)
     spans = found.groupBy("bucket").applyInArrow(lambda t: judge_windows(t, limits), MOVED_DDL)
     schema = StructType([StructField("doc_id", kind), rows.schema["carried"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(lambda t, u: remove(t, u, keep), schema.add("kept", "binary") if keep else schema)
-    return out.select("doc_id", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)), *RESULTS[: 4 + keep])
+    if keep:
+        schema = schema.add(results(keep)[-1], "string" if keep == TEXT else "binary")
+    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(lambda t, u: remove(t, u, keep), schema)
+    return out.select("doc_id", *(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)), *results(keep))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def whole_characters(rows: DataFrame) -> DataFrame:
-    """The rows with ``text``, the characters that are whole in ``kept``: a passage may begin or end inside a character."""
-    columns = [c for c in rows.columns if c not in ("kept", "text")]
-    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns) + "text string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if t is None else t.decode(errors="ignore") for t in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, "text"])
-
-    return rows.select(*columns, "kept").mapInArrow(run, schema)

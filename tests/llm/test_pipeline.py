@@ -37,3 +37,12 @@ def test_stages(spark, tmp_path):
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_without_passages_have_whole_characters(spark):
+    shared = words(40, 1) + "é" * 20
+    rows = [(1, "ü" + shared + "ü"), (2, "ö" + shared + "ö"), (3, None), (4, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {r.doc_id: r.kept for r in phrase_dedup.dedup(docs, keep=True).collect()}
+    text = {r.doc_id: r.text for r in phrase_dedup.dedup(docs, keep="text").collect()}
+    assert text == {k: v.decode(errors="ignore") for k, v in raw.items()} and text[1] == rows[0][1] and text[3] == text[4] == ""
