@@ -32,7 +32,7 @@ from .common import binary_array, lookup, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 #: Texts of one suffix array, in bytes before chunks are made distinct.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of chunks whose edges are made at a time.
 PART_BYTES = 128 << 10
 #: Bytes by which suffixes are sorted; few pieces are longer.
@@ -317,16 +317,17 @@ class Encoder:
         cut[off[:-1][off[:-1] < len(data)]] = True
         at = np.flatnonzero(cut)
         coded = binary_array(data, np.append(at, len(data))).dictionary_encode()
-        place = pc.index_in(coded.dictionary, self.chunks)
-        new = pc.filter(coded.dictionary, pc.is_null(place))
-        if len(self.chunks) + len(new) > KEPT:  # begin anew, with this batch's chunks
-            self.chunks, self.ids, new = self.chunks[:0], self.ids[:0], coded.dictionary
+        place = pc.fill_null(pc.index_in(coded.dictionary, self.chunks), -1).to_numpy().copy()
+        missing = place < 0
+        if len(self.chunks) + missing.sum() > KEPT:  # begin anew, with this batch's chunks
+            self.chunks, self.ids, missing = self.chunks[:0], self.ids[:0], np.ones(len(place), bool)
+        place[missing] = len(self.chunks) + np.arange(missing.sum())
+        new = coded.dictionary.filter(pa.array(missing))
         if len(new):
             ids, cuts = encode_chunks(self.v, *text_bytes(new))
             self.ids = pa.concat_arrays([self.ids, pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(ids, pa.int32()))])
             self.chunks = pa.concat_arrays([self.chunks, new])
-            place = pc.index_in(coded.dictionary, self.chunks)
-        each = self.ids.take(place.take(coded.indices))
+        each = self.ids.take(pa.array(place).take(coded.indices))
         total = np.zeros(len(each) + 1, np.int64)
         np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False), out=total[1:])
         bounds = total[np.searchsorted(at, off)]
