@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, bag_minhash, language_model, license_scan, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
+from . import audio_features, bag_minhash, language_model, license_scan, line_dedup, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_vocabulary": url_vocabulary.query,
         "op9_preferences": preferences.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_line_dedup": line_dedup.query,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op8_url_vocabulary": url_vocabulary.ORACLE,
         "op9_preferences": preferences.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
+        "op11_line_dedup": line_dedup.ORACLE,
     }
