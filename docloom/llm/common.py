@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at a time; bounds their memory.
@@ -77,6 +77,33 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
     return rows.join(hot, key).unionByName(rest)
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows``, a staged table, with ``pos``, from 0 in each ``group`` by ``order`` (nulls first), and ``n``, the rows of the group.
+
+    Sorted by ranges, so a group of any size is spread over tasks; what the tasks have of each
+    group is summed up, a row for each task that has any. Of equal rows any may come first.
+    ``group`` has no nulls. The table it stages is ``numbered_at`` of the result.
+    """
+    tie, keys = F.col("tie"), [F.col(group).asc(), *(F.col(c).asc_nulls_first() for c in order)]
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).drop("tie")
+    placed = staged(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
+    so_far = Window.partitionBy(group).orderBy("part")
+    parts = placed.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("m"))
+    parts = parts.select(group, "part", (F.sum("m").over(so_far) - F.col("m") - F.col("first")).alias("shift"), F.sum("m").over(Window.partitionBy(group)).alias("n"))
+    out = placed.join(parts.hint("merge"), [group, "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    out.numbered_at = placed
+    return out
+
+
+def crc(number: str) -> str:
+    """DuckDB's SQL for the unsigned crc32 of a number's decimal digits."""
+    bits = "[CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8]"
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), "
+        f"lambda c, b: list_reduce(list_prepend(xor(c, b), {bits}), lambda v, u: xor(v >> 1, (v & 1) * 3988292384))))"
+    )
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, bag_minhash, language_model, license_scan, line_dedup, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
+from . import audio_features, bag_minhash, conversation_trie, language_model, license_scan, line_dedup, merkle_manifest, mixing, phrase_dedup, preferences, quality_rules, sentencepiece, url_vocabulary
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_preferences": preferences.query,
         "op10_quality_rules": quality_rules.query,
         "op11_line_dedup": line_dedup.query,
+        "op12_merkle_manifest": merkle_manifest.query,
+        "op13_conversation_trie": conversation_trie.query,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict:
         "op9_preferences": preferences.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
         "op11_line_dedup": line_dedup.ORACLE,
+        "op12_merkle_manifest": merkle_manifest.ORACLE,
+        "op13_conversation_trie": conversation_trie.ORACLE,
     }
