@@ -6,13 +6,14 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes of text that the vectorised helpers take at a time; bounds their memory.
 SLICE_BYTES = 2 << 20
@@ -104,6 +105,34 @@ def crc(number: str) -> str:
     )
 
 
+def named(column: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def beside(rows: DataFrame, column: str, results: dict[str, DataType], run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
+    """``rows`` with ``results``, which ``run`` gives for the batches' column ``judged``, together with the batch.
+
+    All other columns go through the worker in one struct by place, so they may have any names; those
+    that have a result's name are replaced.
+    """
+    others = [c for c in rows.columns if c != column]
+    at = {c: i for i, c in enumerate(others)}
+    carried = F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(others))).alias("carried")
+    packed_rows = rows.select(carried, named(column).alias("judged"))
+    schema = StructType(list(packed_rows.schema.fields))
+    for i, kind in enumerate(results.values()):
+        schema = schema.add(f"r{i}", kind)
+    names = schema.names
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in run(batches):
+            yield pa.RecordBatch.from_arrays([part.column("carried"), part.column("judged"), *found], names=names)
+
+    kept = [(F.col("judged") if c == column else F.col(f"carried.c{at[c]}")).alias(c) for c in rows.columns if c not in results]
+    return packed_rows.mapInArrow(go, schema).select(*kept, *(F.col(f"r{i}").alias(r) for i, r in enumerate(results)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -34,8 +34,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import SPACE, packed, slices, staged, text_bytes, words
+from .common import SPACE, beside, packed, slices, staged, text_bytes, words
 
 FREQUENT = 1 << 20
 #: Longer words, in bytes, are always joined: this bounds what is broadcast.
@@ -239,15 +240,12 @@ class Trie:
 
 def adaptive(docs: DataFrame, text: str = "text", order: int = 2) -> DataFrame:
     """The rows with ``adaptive_score``: log10 probability under a trie that learns from the text as it goes."""
-    columns = [c for c in docs.columns if c != "adaptive_score"]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns) + "adaptive_score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
-            scores = [Trie(order).score((t or "").encode(), True) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "adaptive_score"])
+            yield batch, [pa.array([Trie(order).score((t or "").encode(), True) for t in batch.column("judged").to_pylist()], pa.float64())]
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return beside(docs, text, {"adaptive_score": DoubleType()}, run)
 
 
 #: A worker's table of the model that it has used last.

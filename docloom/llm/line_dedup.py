@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, discard, slices, staged, text_bytes, with_facts
+from .common import SPACE, discard, named, slices, staged, text_bytes, with_facts
 
 #: Documents that make a key frequent, and code points that a key has at least.
 LEAST_DOCS, LEAST_CHARS = 10, 1
@@ -186,7 +186,7 @@ def references(docs: DataFrame, text: str = "text", least_chars: int = LEAST_CHA
             refs = np.diff(np.append(at, len(hi)))
             yield pa.RecordBatch.from_arrays([pa.array(hi[at].view(np.int64)), pa.array(lo[at].view(np.int64)), pa.array(refs.astype(np.int64))], names=["hi", "lo", "refs"])
 
-    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "hi bigint, lo bigint, refs bigint")
+    counted = docs.select(named(text).alias("text")).mapInArrow(run, "hi bigint, lo bigint, refs bigint")
     return counted.groupBy("hi", "lo").agg(F.sum("refs").alias("refs"))
 
 
@@ -335,8 +335,8 @@ def dedup(docs: DataFrame, index: Index, text: str = "text", carry: tuple[str, .
     columns = list(docs.columns if carry is None else carry)
     results = RESULTS | ({"kept": "string"} if keep else {})
     columns = [c for c in columns if c not in results]
-    carried = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
-    rows = docs.select(carried, F.col(f"`{text}`").alias("text"))
+    carried = F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
+    rows = docs.select(carried, named(text).alias("text"))
     schema = StructType([rows.schema["carried"]])
     for name, kind in results.items():
         schema = schema.add(name, kind)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, discard, numbered, staged
+from .common import crc, discard, named, numbered, staged
 
 FANOUT, STEP = 3, 3
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -96,10 +96,10 @@ def manifest(docs: DataFrame, fields: list[str] | None = None, group: str = "sou
     """The ``carry`` columns (``order`` without it) of each row with its ``leaf``, the ``subroot`` of its group, the ``root`` and its ``path``."""
     fields, columns = fields or FIELDS, [c for c in (carry or (order,)) if c not in RESULTS]
     own = docs.select(
-        F.coalesce(F.concat(F.lit("1"), F.col(f"`{group}`").cast("string")), F.lit("0")).alias("tree"),
-        F.col(f"`{order}`").alias("place"),
-        leaf([F.col(f"`{c}`") for c in fields]).alias("digest"),
-        F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("below"),
+        F.coalesce(F.concat(F.lit("1"), named(group).cast("string")), F.lit("0")).alias("tree"),
+        named(order).alias("place"),
+        leaf([named(c) for c in fields]).alias("digest"),
+        F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("below"),
     )
     own = staged(own, "merkle-leaves")
     leaves = numbered(own, "tree", ["place", "digest"], "merkle-order")

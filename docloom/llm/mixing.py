@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import named, staged
 
 BLOCKS, BLOCK_ROWS = 4096, 1 << 16
 ROUNDS, WAYS = 8, 16  # each round keeps one of 16 parts: as good as 32 halvings
@@ -78,7 +78,7 @@ def _mixed(docs: DataFrame, columns: list[str], entropy: float | None = None, re
     """``carried`` (the columns, by place), ``mix_tokens``, ``mix_block``, ``mix_weight``, ``mix_copies`` and ``mix_last`` of each row."""
     many = max(BLOCKS, 1 << max(0, -(-docs.count() // BLOCK_ROWS) - 1).bit_length())
     rows = docs.select(
-        F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("carried"),
+        F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("carried"),
         F.col("doc_id").alias("mix_id"),
         F.coalesce(F.col("source"), F.lit("")).alias("mix_source"),
         tokens(F.col("text")).alias("mix_tokens"),

@@ -7,8 +7,8 @@ what each rule alone costs a policy, follow from the stored bits without the tex
 Nulls, ties and odd tables: null and empty texts have no words, so the rule on too few
 words fails. Repeated rows are judged one by one, equal lines and windows count from the
 second, or all of them, as the measure says; a text of any length is measured as a whole, at some
-forty bytes for each of its own. An empty table gives no rows. Other columns pass through, but
-for those of the ledger's own names, which are replaced.
+forty bytes for each of its own. An empty table gives no rows. Other columns pass through
+by place and may have any names; those of the ledger's own names are replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import SPACE, binary_array, lookup, packed, per_row, slices, text_bytes, words
+from .common import SPACE, beside, binary_array, lookup, packed, per_row, slices, text_bytes, words
 
 SYMBOLS = lookup(b"#*$%&|<>")
 WINDOW = 8
@@ -106,19 +107,16 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the measurements and ``bits``, where bit i is set if rule i fails."""
-    kept = [c for c in docs.columns if c not in [*MEASURES, "bits"]]
-    fields = [docs.schema[c].simpleString() for c in kept]
-    schema = ", ".join(f"`{f.split(':', 1)[0]}` {f.split(':', 1)[1]}" for f in fields) + "".join(f", {m} bigint" for m in MEASURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            found = measure(part.column(text))
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[m], pa.int64()) for m in MEASURES)], names=[*part.schema.names, *MEASURES])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for part in slices(batches, "judged"):
+            found = measure(part.column("judged"))
+            yield part, [pa.array(found[m], pa.int64()) for m in MEASURES]
 
     bits = F.lit(0).cast("long")
     for i, (_, failed) in enumerate(_rules()):
         bits = bits + F.when(failed, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return docs.select(*kept).mapInArrow(run, schema).withColumn("bits", bits)
+    return beside(docs.drop("bits"), text, {m: LongType() for m in MEASURES}, run).withColumn("bits", bits)
 
 
 def passes(policy: str, bits: str = "bits") -> Column:

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from .common import binary_array, lookup, slices, text_bytes
+from .common import beside, binary_array, lookup, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -348,10 +349,6 @@ def decode_ids(v: Vocabulary, column: pa.Array) -> list[str | None]:
     return out
 
 
-def _carried(df: DataFrame, columns: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-
-
 def _shared(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(load(model))  # a vocabulary: some tens of thousands of pieces
 
@@ -359,31 +356,29 @@ def _shared(spark: SparkSession, model: str):
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """The rows of ``docs`` with ``out``, the ids of the text, and ``round_trip``: decoding gives the text again."""
     shared = _shared(docs.sparkSession, model)
-    columns = [c for c in docs.columns if c not in (out, "round_trip")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         coder = Encoder(shared.value)
-        for part in slices(batches, text, BATCH_BYTES):
-            texts = part.column(text)
+        for part in slices(batches, "judged", BATCH_BYTES):
+            texts = part.column("judged")
             ids = coder(pc.fill_null(texts, ""))
             back = pa.array(decode_ids(shared.value, ids), pa.large_string())
             same = pc.equal(back, pc.fill_null(texts, "").cast(pa.large_string()))
             ids = pc.if_else(texts.is_null(), pa.scalar(None, ids.type), ids)
-            yield pa.RecordBatch.from_arrays([*part.columns, ids.cast(pa.list_(pa.int32())), same], names=[*part.schema.names, out, "round_trip"])
+            yield part, [ids.cast(pa.list_(pa.int32())), same]
 
-    return docs.select(*columns).mapInArrow(run, _carried(docs, columns) + f"`{out}` array<int>, round_trip boolean")
+    return beside(docs, text, {out: ArrayType(IntegerType()), "round_trip": BooleanType()}, run)
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
     """The rows with ``out``, the text of the ids; null for null."""
     shared = _shared(rows.sparkSession, model)
-    columns = [c for c in rows.columns if c != out]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decode_ids(shared.value, batch.column(ids)), pa.string())], names=[*batch.schema.names, out])
+            yield batch, [pa.array(decode_ids(shared.value, batch.column("judged")), pa.string())]
 
-    return rows.select(*columns).mapInArrow(run, _carried(rows, columns) + f"`{out}` string")
+    return beside(rows, ids, {out: StringType()}, run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ weights, so that lists of any origin can be used; ``TERMS`` is the one of the qu
 Nulls, ties and odd tables: a null url, or one without ``://``, has an empty host and path,
 and no rule fits it; the vocabulary still judges its text. Rules are of different lengths
 where several fit. Repeated rows are judged one by one, a url of any length as a whole, and
-an empty table gives no rows. Columns of the rows may have any names; the operator's own
-results take the place of those of their names.
+an empty table gives no rows. Columns of the rows go by place and may have any names; the
+operator's own results take the place of those of their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType
+
+from .common import beside, named
 
 #: Capital and small letters of ASCII, for translate().
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,18 +86,15 @@ def count_terms(found: ahocorasick.Automaton, url: str, threshold: float) -> tup
 def vocabulary(pages: DataFrame, url: str = "url", terms: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with ``n_strict`` and ``n_soft``, the distinct terms of each kind in the url, and ``weight``, theirs together."""
     terms = TERMS if terms is None else terms
-    columns = [c for c in pages.columns if c not in RESULTS[:3]]
-    schema = StructType([pages.schema[c] for c in columns] + [StructField("_judged", pages.schema[url].dataType)]).add("n_strict", "integer").add("n_soft", "integer").add("weight", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         found = automaton(terms)
         lower = str.maketrans(CAPITALS, SMALL)
         for batch in batches:
-            hits = [count_terms(found, (u or "").translate(lower), threshold) for u in batch.column("_judged").to_pylist()]
-            own = [pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *RESULTS[:3]])
+            hits = [count_terms(found, (u or "").translate(lower), threshold) for u in batch.column("judged").to_pylist()]
+            yield batch, [pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
 
-    return pages.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{url}`").alias("_judged")).mapInArrow(run, schema).drop("_judged")
+    return beside(pages, url, dict(zip(RESULTS[:3], (IntegerType(), IntegerType(), DoubleType()), strict=True)), run)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -110,17 +109,18 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def verdicts(pages: DataFrame, url: str = "url", terms: dict[str, float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows with the vocabulary's counts, host, path, the rule that fits best and the verdict."""
-    if url in RESULTS:
-        pages, url = pages.withColumnRenamed(url, "judged_url"), "judged_url"
-    host, path = parts(F.col(url))
-    out = vocabulary(pages, url, terms, threshold).withColumn("host", host).withColumn("path", path)
+    host, path = parts(F.col("url"))
+    columns = [c for c in pages.columns if c not in RESULTS]
+    carried = F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("carried")
+    out = vocabulary(pages.select(carried, named(url).alias("url")), "url", terms, threshold).withColumn("host", host).withColumn("path", path)
     rule, says = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, domain, prefix in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == domain) | F.endswith("host", F.lit("." + domain))) & F.startswith("path", F.lit(prefix))
         rule = F.when(fits, F.lit(domain + prefix)).otherwise(rule)
         says = F.when(fits, F.lit(verdict)).otherwise(says)
     reject = F.col("weight") >= threshold
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(says, F.when(reject, F.lit("block")).otherwise(F.lit("allow"))))
+    verdict = F.coalesce(says, F.when(reject, F.lit("block")).otherwise(F.lit("allow")))
+    return out.withColumn("rule", rule).withColumn("verdict", verdict).select(*(F.col(f"carried.c{i}").alias(c) for i, c in enumerate(columns)), *RESULTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
