@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All
 but the last return the columns of ``documents``; what a stage decides is gone from its
 result: rejected documents, copies, repeated passages, and what the mix leaves out.
+
+Nulls, ties and odd tables: a null or empty text fails the quality rules. Repeated ids are
+documents of their own in every stage. Other columns go by place through all stages, so they
+may have any names and come out as they went in; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,23 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bag_minhash, mixing, phrase_dedup, quality_rules, sentencepiece
-from docloom.llm.common import staged
+from docloom.llm.common import discard, named, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The documents with all columns but doc_id and text in one, so that no name can clash with an operator's."""
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "none"))).alias("rest"))
+    """The documents with all columns but doc_id and text in one, by place, so that no name can clash with an operator's."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(others))).alias("rest"))
 
 
 def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    at = {c: f"rest.c{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}
+    return rows.select(*(F.col(at.get(c, c)).alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the newest policy of quality rules."""
-    return quality_rules.ledger(docs).filter(quality_rules.passes("v2")).select(*docs.columns)
+    return unpacked(quality_rules.ledger(packed(docs)).filter(quality_rules.passes("v2")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{i + 1}")
+        if i:  # nothing reads the stage before again
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
