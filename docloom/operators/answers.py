@@ -263,14 +263,6 @@ QUERIES = {
         f"""WITH {R.STATS}, {R.A}, f AS (SELECT qid, source AS product, doc_id AS section, rank FROM a JOIN documents USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, product, section) AS k FROM f),
         v AS (SELECT qid, product, round(sum(1.0 / rank), 8) AS vote FROM k WHERE k <= 18 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vote DESC, product) AS rank FROM v) WHERE rank <= 3""",
     ),
-    "alias_route": (
-        lambda s, d: alias_route(
-            table(s, d, "documents").select(F.col("doc_id").alias("qid"), "text"), table(s, d, "part").select(F.substring_index("p_name", " ", -1).alias("alias"), F.col("p_brand").alias("product")).unionByName(table(s, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("alias"), F.concat(F.lit("b"), "item_id").alias("product")))
-        ),
-        f"""WITH al AS (SELECT DISTINCT array_to_string({R._W.format("alias")}, ' ') AS phrase, product FROM (SELECT string_split(p_name, ' ')[-1] AS alias, p_brand AS product FROM part UNION ALL SELECT array_to_string(string_split(text, ' ')[1:2], ' '), 'b' || item_id FROM benchmark)),
-        dd AS (SELECT doc_id AS qid, {R._W.format("text")} AS w FROM documents), q AS (SELECT qid, unnest({_NG.format(lo=1, hi=4)}) AS phrase FROM dd)
-        SELECT qid, max_by(product, (length(phrase), product)) AS product, CAST(max(length(phrase)) AS INT) AS size FROM q JOIN al USING (phrase) WHERE phrase <> '' GROUP BY qid""",
-    ),
     "alias_route_whole": (
         lambda s, d: alias_route(_named(s, d), _whole_aliases(s, d)),
         f"""WITH al AS (SELECT array_to_string({R._W.format("alias")}, ' ') AS phrase, max(product) AS product FROM (SELECT p_name AS alias, p_brand AS product FROM part UNION ALL SELECT array_to_string(string_split(text, ' ')[1:6], ' '), 'b' || item_id FROM benchmark UNION ALL VALUES ('吸尘器', 'vacuum'), ('尘', 'dust')) GROUP BY 1),

@@ -112,10 +112,6 @@ def _pending(s, d):
     return table(s, d, "documents").filter("source IN ('src3', 'src7')").select(F.col("source").alias("product"))
 
 
-def _paths(s, d):
-    return sections(s, d).select("product", F.concat_ws("-", "doc_id", "section_id").alias("section_id"), F.array(F.col("product"), F.concat(F.lit("g"), F.col("doc_id") % 97), F.col("heading")).alias("path"))
-
-
 def _own_paths(s, d):
     """Paths inside each document: its sections by the first word of their heading. What other documents there are changes no family."""
     own = F.array(F.concat(F.lit("d"), F.col("doc_id")), F.substring_index("heading", " ", 1), F.col("heading"))
@@ -123,7 +119,7 @@ def _own_paths(s, d):
 
 
 def _continued(s, d):
-    pairs = A._pairs(s, d).filter(F.length("passage_text") > 100)
+    pairs = A._pairs(s, d)
     heads = sections(s, d).select(F.concat_ws("/", "doc_id", "section_id").alias("passage"), F.col("product").alias("heading"))
     grams = pairs.select("block", "passage", F.array_intersect(T.trigrams(F.col("block_text")), T.trigrams(F.col("passage_text"))).alias("shared")).join(heads, "passage")
     return continued(A.overlap_scores(pairs).filter("strong").select("block", "passage", "score"), grams)
@@ -148,10 +144,6 @@ QUERIES = {
         lambda s, d: caption_evidence(sections(s, d).select(F.col("doc_id").alias("qid"), F.col("section_id").alias("rank"), F.col("text").alias("caption"), F.when(F.col("section_id") % 4 == 0, "noise").when(F.col("section_id") % 4 == 1, "info_table").otherwise("figure").alias("category"), F.when(F.col("section_id") % 3 == 0, "mismatch").alias("section_fit"))).select("qid", "rank", "k", F.md5("caption").alias("digest")),
         f"WITH {SECTIONS}, g AS (SELECT doc_id AS qid, section_id AS rank, text, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) AS k FROM sections WHERE section_id % 4 <> 0 AND (section_id % 3 <> 0 OR section_id % 4 = 1)) SELECT qid, rank, k, md5(substr(text, 1, 260)) AS digest FROM g WHERE k <= 8",
     ),
-    "section_family": (
-        lambda s, d: family(_paths(s, d), _paths(s, d).filter("length(path[2]) < 25").withColumn("qid", F.lit(1)), 60),
-        f"WITH {SECTIONS}, p AS (SELECT product, doc_id || '-' || section_id AS section_id, heading, product || '/g' || (doc_id % 97) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE length(s.heading) < 25",
-    ),
     "section_family_own": (
         lambda s, d: family(_own_paths(s, d), _own_paths(s, d).filter("length(path[2]) < 25").withColumn("qid", F.lit(1))),
         f"WITH {SECTIONS}, p AS (SELECT doc_id AS product, doc_id || '-' || section_id AS section_id, heading, split_part(heading, ' ', 1) AS stem FROM sections), z AS (SELECT product, stem FROM p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8) SELECT 1 AS qid, s.product, s.section_id AS seed, r.section_id, CASE WHEN r.section_id = s.section_id THEN 'primary' ELSE 'related' END AS role FROM p s JOIN z USING (product, stem) JOIN p r USING (product, stem) WHERE length(s.heading) < 25",

@@ -185,7 +185,7 @@ def _ask(s, d):
 
 
 def _keywords(s, d):
-    return _ask(s, d).select("qid", F.posexplode(F.slice(T.words(F.col("text")), 3, 4)).alias("place", "text"))
+    return _ask(s, d).select("qid", F.posexplode(T.words(F.coalesce("text", F.lit("")))).alias("place", "text"))
 
 
 def _hits(s, d):
@@ -207,7 +207,7 @@ def _sign_hashes(s, d):
     return e.unionByName(copies).select("id", sign_hash(F.col("embedding")).alias("hash"))
 
 
-_KW = rf"SELECT item_id * 1000 + i - 1 AS item_id, w[i] AS text, item_id AS q, i - 1 AS place FROM (SELECT item_id, {R._W.format('text')}[3:6] AS w FROM benchmark), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) t"
+_KW = rf"SELECT item_id * 1000 + i - 1 AS item_id, w[i] AS text, item_id AS q, i - 1 AS place FROM (SELECT item_id, {R._W.format('text')} AS w FROM benchmark), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) t"
 
 QUERIES = {
     "mixed_tokens": (
@@ -269,11 +269,6 @@ QUERIES = {
         rf"""WITH q AS (SELECT item_id AS qid, {R._W.format("text")} AS said FROM benchmark), k AS (SELECT item_id AS qid, unnest(string_split_regex(text, '\.\s')) AS keyword FROM benchmark UNION ALL SELECT item_id + 1, array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark)
         SELECT qid, keyword FROM k JOIN q USING (qid) WHERE len(list_filter({R._W.format("keyword")}, lambda w: NOT list_contains(said, w))) = 0""",
     ),
-    "similar_hashes": (
-        lambda s, d: hamming_similar(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("aggregate(transform(slice(embedding, 1, 16), x -> IF(x > 0, 1, 0)), 0L, (acc, b) -> acc * 2 + b)").alias("hash")), 0.96),
-        """WITH h AS (SELECT list_reduce(list_transform(embedding[1:16], lambda x: CAST(CASE WHEN x > 0 THEN 1 ELSE 0 END AS BIGINT)), lambda a, b: a * 2 + b) AS hash, vec_id AS id FROM embeddings), o AS (SELECT hash, min(id) AS id FROM h GROUP BY hash)
-        SELECT x.id AS a, y.id AS b, 1 - bit_count(xor(x.hash, y.hash)) / 64 AS similarity FROM o x JOIN o y ON x.id < y.id WHERE 1 - bit_count(xor(x.hash, y.hash)) / 64 >= 0.96""",
-    ),
     "similar_hashes_64": (
         lambda s, d: similar_members(_sign_hashes(s, d), 0.96),
         """WITH v AS (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: CASE WHEN i > 64 - vec_id % 4 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 5 = 0),

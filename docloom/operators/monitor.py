@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import FEEDBACK, REQUESTS, feedback, requests, table
+from .ranks import nearest_ranks, staged
 
 DAY = 86_400_000
 MINUTE = 60_000
@@ -31,21 +32,23 @@ def totals(log: DataFrame, since: int | None = None) -> DataFrame:
 
 
 def percentiles(log: DataFrame, by: list[str] = (), exact: bool = True) -> DataFrame:
-    """p50, p95 and p99 of the latency by nearest rank.
+    """p50, p95 and p99 of the latency by nearest rank, and ``n``.
 
-    Exact ones need all values of a group together; for groups without bound use ``exact=False``,
-    which merges sketches of partitions.
+    Exact ones come from running sums of counts of values, whatever a group's size; ``exact=False`` merges
+    sketches of partitions instead.
     """
-    def at(p: float, name: str) -> Column:
-        return (F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY duration_ms)") if exact else F.percentile_approx("duration_ms", p, 10_000)).alias(name)
-
-    return log.groupBy(*by).agg(at(0.5, "p50"), at(0.95, "p95"), at(0.99, "p99"), F.count("*").alias("n"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    if exact:
+        return nearest_ranks(log, list(by), "duration_ms", shares)
+    return log.groupBy(*by).agg(*(F.percentile_approx("duration_ms", p, 10_000).alias(name) for name, p in shares.items()), F.count("*").alias("n"))
 
 
 def timeline(log: DataFrame, minutes: int = 60) -> DataFrame:
     """Each of the last minutes before the latest request, also those without any."""
     floor = F.expr(f"completed_at - completed_at % {MINUTE}")
-    by = log.groupBy(floor.alias("minute")).agg(
+    end = log.agg(F.max(floor).alias("end"))
+    late = log.join(F.broadcast(end)).filter(F.col("completed_at") > F.col("end") - minutes * MINUTE)  # only these are added up
+    by = late.groupBy(floor.alias("minute")).agg(
         F.count("*").alias("requests"),
         F.sum(F.when(F.col("status_code") >= 400, 1).otherwise(0)).alias("errors"),
         F.sum(F.when(F.col("category") == "chat", 1).otherwise(0)).alias("chats"),
@@ -53,7 +56,6 @@ def timeline(log: DataFrame, minutes: int = 60) -> DataFrame:
         F.max("duration_ms").alias("max"),
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"),
     )
-    end = log.agg(F.max(floor).alias("end"))
     spine = end.select(F.explode(F.sequence(F.col("end") - (minutes - 1) * MINUTE, F.col("end"), F.lit(MINUTE))).alias("minute"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return spine.join(by, "minute", "left").select(
@@ -126,7 +128,10 @@ def chat_alerts(n: Column, chats: Column, thresholds: dict, least: int = LEAST_S
 
 
 def chat_alert_windows(log: DataFrame, minutes: int = 5, step: int = 1, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """As ``alert_windows``, with the rates of model failures and missing evidence over chats alone, and errors from status 400 on."""
+    """Windows that slide by ``step`` minutes, and which thresholds each exceeds; windows of few samples have none.
+
+    Rates of model failures and missing evidence are over chats alone, and errors are those from status 400 on.
+    """
     size, hop = minutes * MINUTE, step * MINUTE
     start = F.explode(F.expr(f"sequence(completed_at - completed_at % {hop} - {size - hop}, completed_at - completed_at % {hop}, {hop})"))
     rows = log.filter(F.col("client_type") != "qa").select(start.alias("start"), "category", "status_code", "duration_ms", "model_failed", "no_evidence")
@@ -149,35 +154,35 @@ def alert_columns(p95: Column) -> list[Column]:
     ]
 
 
-def alert_windows(log: DataFrame, minutes: int = 5, step: int = 1, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """Windows that slide by ``step`` minutes, and which thresholds each exceeds; windows of few samples have none.
-
-    All rates are over all requests; ``chat_alert_windows`` takes those of models over chats.
-    """
-    size, hop = minutes * MINUTE, step * MINUTE
-    start = F.explode(F.expr(f"sequence(completed_at - completed_at % {hop} - {size - hop}, completed_at - completed_at % {hop}, {hop})"))
-    rows = log.filter(F.col("client_type") != "qa").select(start.alias("start"), "status_code", "duration_ms", "model_failed", "no_evidence")
-    n = F.count("*")
-    got = rows.groupBy("start").agg(
-        n.alias("n"),
-        rate(F.sum(F.when(F.col("status_code") >= 500, 1).otherwise(0)), n).alias("error_rate"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"),
-        rate(F.sum("model_failed"), n).alias("model_failure"),
-        rate(F.sum("no_evidence"), n).alias("no_evidence"),
-    )
-    alerts = F.array_compact(F.array(*(F.when((F.col("n") >= LEAST_SAMPLES) & (F.col(k) >= v), F.lit(k)) for k, v in thresholds.items())))
-    return got.withColumn("alerts", F.array_join(alerts, ","))
-
-
 def cooldown(candidates: DataFrame, wait_ms: int = 600_000) -> DataFrame:
     """Alerts (alert_key, at) that fire: not within ``wait_ms`` of the last that fired for the key.
 
-    The rule hangs on what has fired, so a key's alerts are folded in order; candidates are few.
+    Each alert points to the first one of its key that may fire after it. The first alert fires, and what
+    fires after it is found by doubling pointers: each round adds where the known ones point, and makes pointers reach
+    twice as far. So the rounds are the logarithm of how often a key fires. An alert
+    finds its next one among those of one stretch of ``wait_ms``, else it is the first of the next stretch that has any:
+    of a key only one row for each stretch meets in a task. Nulls are no alerts.
     """
-    times = candidates.groupBy("alert_key").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    none = F.expr("CAST(array() AS array<bigint>)")
-    fired = F.aggregate("at", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= wait_ms), F.concat(acc, F.array(t))).otherwise(acc))
-    return times.select("alert_key", F.explode(fired).alias("fired_at"))
+    rows = candidates.select("alert_key", F.col("at").cast("long").alias("at")).filter("alert_key IS NOT NULL AND at IS NOT NULL").distinct()
+    stretch = lambda c: F.expr(f"{c} div {wait_ms}")
+    alerts = rows.withColumn("stretch", stretch("at"))
+    firsts = alerts.groupBy("alert_key", "stretch").agg(F.min("at").alias("first"))
+    asked = rows.withColumn("from", F.col("at")).withColumn("at", F.col("at") + wait_ms).withColumn("stretch", stretch("at"))
+    both = alerts.select("alert_key", "stretch", "at", F.lit(None).cast("long").alias("from")).unionByName(asked)
+    here = Window.partitionBy("alert_key", "stretch").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("next", F.min(F.when(F.col("from").isNull(), F.col("at"))).over(here)).filter("from IS NOT NULL")
+    steps = firsts.select("alert_key", F.col("stretch").alias("at_stretch"), "first").withColumn("mark", F.lit(0)).unionByName(
+        found.filter("next IS NULL").select("alert_key", F.col("stretch").alias("at_stretch"), F.lit(None).cast("long").alias("first"), F.lit(1).alias("mark")).distinct()
+    )
+    ahead = Window.partitionBy("alert_key").orderBy("at_stretch").rangeBetween(1, Window.unboundedFollowing)
+    beyond = steps.withColumn("beyond", F.min("first").over(ahead)).filter("mark = 1").select("alert_key", F.col("at_stretch").alias("stretch"), "beyond")
+    jump = found.join(beyond, ["alert_key", "stretch"], "left").select("alert_key", F.col("from").alias("at"), F.coalesce("next", "beyond").alias("to")).filter("to IS NOT NULL")
+    jump, fired = staged(jump, "alert-jumps"), staged(rows.groupBy("alert_key").agg(F.min("at").alias("at")), "alert-fired")
+    while jump.limit(1).count():
+        fired = staged(fired.unionByName(fired.join(jump, ["alert_key", "at"]).select("alert_key", F.col("to").alias("at"))).distinct(), "alert-fired")
+        far = jump.select("alert_key", F.col("at").alias("to"), F.col("to").alias("further"))
+        jump = staged(jump.join(far, ["alert_key", "to"]).select("alert_key", "at", F.col("further").alias("to")), "alert-jumps")
+    return fired.select("alert_key", F.col("at").alias("fired_at"))
 
 
 def recent(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -225,16 +230,11 @@ S, U = "count(*) FILTER (resolution = 'solved')", "count(*) FILTER (resolution =
 QUALITY = f"""count(*) AS consultations, {S} AS solved, {U} AS unsolved, count(*) FILTER (transferred = 1) AS transfers, count(*) FILTER (ticketed = 1) AS tickets,
   CAST(sum(model_failed) AS BIGINT) AS model_failures, CAST(sum(no_evidence) AS BIGINT) AS no_evidence, {RATE(S, f"({S} + {U})")} AS solved_rate, {RATE("sum(no_evidence)", "count(*)")} AS no_evidence_rate, round(avg(duration_ms), 6) AS avg_ms"""
 
-_ALERTS = lambda s, d: alert_windows(requests(s, d), minutes=60, step=10, thresholds={"error_rate": 20.0, "p95": 150.0, "model_failure": 10.0, "no_evidence": 20.0})
-ALERTS = f"""w AS (
-  SELECT unnest(range(completed_at - completed_at % 600000 - 3000000, completed_at - completed_at % 600000 + 1, 600000)) AS start, * FROM requests WHERE client_type <> 'qa'
-), g AS (
-  SELECT start, count(*) AS n, {RATE("count(*) FILTER (status_code >= 500)", "count(*)")} AS error_rate, quantile_disc(duration_ms, 0.95) AS p95, {RATE("sum(model_failed)", "count(*)")} AS model_failure, {RATE("sum(no_evidence)", "count(*)")} AS no_evidence
-  FROM w GROUP BY start
-), alerts AS (
-  SELECT *, concat_ws(',', CASE WHEN n >= 5 AND error_rate >= 20 THEN 'error_rate' END, CASE WHEN n >= 5 AND p95 >= 150 THEN 'p95' END,
-    CASE WHEN n >= 5 AND model_failure >= 10 THEN 'model_failure' END, CASE WHEN n >= 5 AND no_evidence >= 20 THEN 'no_evidence' END) AS alerts FROM g
-)"""
+_ALERTS = lambda s, d: chat_alert_windows(requests(s, d), minutes=60, step=10, thresholds={"error_rate": 20.0, "p95": 150.0, "model_failure": 10.0, "no_evidence": 20.0})
+ALERTS = f"""w AS (SELECT unnest(range(completed_at - completed_at % 600000 - 3000000, completed_at - completed_at % 600000 + 1, 600000)) AS start, * FROM requests WHERE client_type <> 'qa'
+), g AS (SELECT start, count(*) AS n, count(*) FILTER (category = 'chat') AS chats, {RATE("count(*) FILTER (status_code >= 400)", "count(*)")} AS error_rate, quantile_disc(duration_ms, 0.95) AS p95,
+  {RATE("count(*) FILTER (category = 'chat' AND model_failed = 1)", "count(*) FILTER (category = 'chat')")} AS model_failure, {RATE("count(*) FILTER (category = 'chat' AND no_evidence = 1)", "count(*) FILTER (category = 'chat')")} AS no_evidence FROM w GROUP BY start
+), alerts AS (SELECT *, concat_ws(',', CASE WHEN n >= 5 AND error_rate >= 20 THEN 'error_rate' END, CASE WHEN n >= 5 AND p95 >= 150 THEN 'p95' END, CASE WHEN chats >= 5 AND model_failure >= 10 THEN 'model_failure' END, CASE WHEN chats >= 5 AND no_evidence >= 20 THEN 'no_evidence' END) AS alerts FROM g)"""
 
 
 def _cooldown(spark, sf_dir):
@@ -258,14 +258,7 @@ QUERIES = {
         lambda s, d: table(s, d, "pages").select("page_id", path_category(F.regexp_extract("url", r"^[a-z]+://[^/]*(/[^?#]*)", 1), [("/en/1", "a"), ("/en", "b"), ("/fr", "c"), ("/d", "d")]).alias("category")),
         "SELECT page_id, CASE WHEN p LIKE '/en/1%' THEN 'a' WHEN p LIKE '/en%' THEN 'b' WHEN p LIKE '/fr%' THEN 'c' WHEN p LIKE '/d%' THEN 'd' ELSE 'other' END AS category FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS p FROM pages)",
     ),
-    "alert_windows": (_ALERTS, f"WITH {REQUESTS}, {ALERTS} SELECT start, n, error_rate, p95, model_failure, no_evidence, alerts FROM alerts"),
-    "chat_alert_windows": (
-        lambda s, d: chat_alert_windows(requests(s, d), minutes=60, step=10, thresholds={"error_rate": 20.0, "p95": 150.0, "model_failure": 10.0, "no_evidence": 20.0}),
-        f"""WITH {REQUESTS}, w AS (SELECT unnest(range(completed_at - completed_at % 600000 - 3000000, completed_at - completed_at % 600000 + 1, 600000)) AS start, * FROM requests WHERE client_type <> 'qa'
-      ), g AS (SELECT start, count(*) AS n, count(*) FILTER (category = 'chat') AS chats, {RATE("count(*) FILTER (status_code >= 400)", "count(*)")} AS error_rate, quantile_disc(duration_ms, 0.95) AS p95,
-        {RATE("count(*) FILTER (category = 'chat' AND model_failed = 1)", "count(*) FILTER (category = 'chat')")} AS model_failure, {RATE("count(*) FILTER (category = 'chat' AND no_evidence = 1)", "count(*) FILTER (category = 'chat')")} AS no_evidence FROM w GROUP BY start)
-      SELECT *, concat_ws(',', CASE WHEN n >= 5 AND error_rate >= 20 THEN 'error_rate' END, CASE WHEN n >= 5 AND p95 >= 150 THEN 'p95' END, CASE WHEN chats >= 5 AND model_failure >= 10 THEN 'model_failure' END, CASE WHEN chats >= 5 AND no_evidence >= 20 THEN 'no_evidence' END) AS alerts FROM g""",
-    ),
+    "chat_alert_windows": (_ALERTS, f"WITH {REQUESTS}, {ALERTS} SELECT * FROM alerts"),
     "alert_cooldown": (_cooldown, f"""WITH RECURSIVE {REQUESTS}, {ALERTS}, c AS (SELECT DISTINCT unnest(string_split(alerts, ',')) AS alert_key, start AS t FROM alerts WHERE alerts <> ''), f(alert_key, fired_at) AS (
       SELECT alert_key, min(t) FROM c GROUP BY alert_key
       UNION ALL

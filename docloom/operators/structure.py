@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import SECTIONS, sections, table
+from .ranks import running_sums
 
 
 def neighbours(rows: DataFrame, seeds: DataFrame, reach: int = 1) -> DataFrame:
@@ -76,14 +77,8 @@ def balanced(ranked: DataFrame, n: int = 8) -> DataFrame:
 
 
 def renumbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """``chunk_id`` from 0 over all groups in order: numbers inside groups plus the sizes of the groups before.
-
-    Only the groups' sizes are summed in one place.
-    """
-    inside = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-    return inside.join(before.select(group, "_before"), group).withColumn("chunk_id", F.col("_before") + F.col("_n")).drop("_n", "_before")
+    """``chunk_id`` from 0 over all groups in order, by sums over ranges of the rows: no group and no list of groups meets in one place."""
+    return running_sums(rows, [], [group, *order]).withColumnRenamed("sum_before", "chunk_id").drop("sum_all")
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "product") -> DataFrame:
