@@ -108,8 +108,8 @@ def manifest(docs: DataFrame, fields: list[str] | None = None, group: str = "sou
     groups = numbered(groups, "tree", ["name"], "merkle-names").withColumn("below", F.struct("name"))
     above, top = grown(groups)
     tops = top.select("tree", "pos", F.expr("CAST(array() AS array<struct<left: string, right: string, many: boolean>>)").alias("path"), F.col("digest").alias("root"))
-    named = opened(tops, above, groups, ["root"])
-    tops = named.select(F.col("below.name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root")
+    listed = opened(tops, above, groups, ["root"])
+    tops = listed.select(F.col("below.name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"), "root")
     out = opened(tops, steps, leaves, ["subroot", "root"])
     if steps:
         discard(own, leaves.numbered_at)
