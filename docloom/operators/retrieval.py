@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import table
+from .ranks import staged
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -34,20 +37,55 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+class Postings(NamedTuple):
+    """What a corpus is searched by: ``terms`` (doc_id, token, tf, dl), ``stats`` (token, df, idf), ``mean`` (one row, avgdl), and ``docs``."""
+
+    terms: DataFrame
+    stats: DataFrame
+    mean: DataFrame
+    docs: DataFrame
+
+
+def indexed(docs: DataFrame) -> Postings:
+    """Postings of ``docs`` (doc_id, text), staged: texts are tokenised once, and all statistics come from the postings."""
+    words = T.words(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
+    terms = staged(rows.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")), "postings")
+    n = docs.agg(F.count("*").alias("n"))
+    df = staged(terms.groupBy("token").agg(F.count("*").alias("df")), "document-frequencies")
+    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    low = raw.agg((FLOOR * F.avg("raw")).alias("low"))
+    stats = raw.join(F.broadcast(low)).select("token", "df", F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw")).alias("idf"))
+    mean = terms.agg(F.sum("tf").alias("tokens")).join(F.broadcast(n)).select((F.col("tokens") / F.col("n")).alias("avgdl"))
+    return Postings(terms, stats, mean, docs)
+
+
+def bm25(docs: DataFrame | Postings, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score over ``queries`` (qid, text); repeated words of a query count again.
 
-    Only postings of words that some query has are kept before anything is shuffled by words.
+    ``docs`` is a corpus or its postings. ``scope`` (qid, product) limits a query to products of the documents
+    (doc_id, text, product); queries without a row in it have all. Statistics are the whole corpus' either way. Words of
+    queries get their weights first, so the postings are joined once, by word or by word and product.
     """
-    asked = words_of(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times"))
-    size = docs.select("doc_id", F.size(T.words(F.coalesce("text", F.lit("")))).alias("dl"))
-    mean = size.agg(F.avg("dl").alias("avgdl"))
-    hit = postings(docs).join(asked.select("token").distinct(), "token", "left_semi")
-    stats = term_stats(docs).join(asked.select("token").distinct(), "token", "left_semi")
-    rows = hit.join(stats, "token").join(size, "doc_id").join(F.broadcast(mean))
+    found = docs if isinstance(docs, Postings) else indexed(docs)
+    asked = words_of(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times")).join(found.stats.select("token", "idf"), "token")
+    rows = found.terms.join(F.broadcast(found.mean))
+    if scope is None:
+        rows = rows.join(asked, "token")
+    else:
+        limits = scope.select("qid", "product").distinct()
+        free = rows.join(asked.join(limits.select("qid").distinct(), "qid", "left_anti"), "token")
+        of = found.docs.select("doc_id", "product")
+        bound = rows.join(asked.join(limits, "qid").select("token").distinct(), "token", "left_semi").join(of, "doc_id").join(asked.join(limits, "qid"), ["token", "product"]).drop("product")
+        rows = free.unionByName(bound)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.select("doc_id", "token", part.alias("part")).join(asked, "token").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
-    return scored.filter("score > 0")
+    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score")).filter("score > 0")
+
+
+def original_channel(docs: DataFrame | Postings, queries: DataFrame, n: int = 20, scope: DataFrame | None = None) -> DataFrame:
+    """The channel of questions as they were said (qid, text, said), of those only that are searched by another text."""
+    other = queries.filter(~T.question_key(F.coalesce("said", F.lit(""))).eqNullSafe(T.question_key(F.coalesce("text", F.lit("")))) & (F.trim(F.coalesce("said", F.lit(""))) != ""))
+    return top(bm25(docs, other.select("qid", F.col("said").alias("text")), scope), n)
 
 
 def top(rows: DataFrame, n: int, by: str = "qid", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -294,6 +332,24 @@ def _dense(s, d, scoped=False):
     return dense_top(vectors, vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), 10, "label" if scoped else None)
 
 
+def _keyed(s, d):
+    """Questions that are searched by some of their words: every second one by its first eight."""
+    words = F.array_join(F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 8), " ")
+    return _ask(s, d).select("qid", F.col("text").alias("said"), F.when(F.col("qid") % 2 == 0, words).otherwise(F.col("text")).alias("text"))
+
+
+def _scoped(s, d):
+    docs = _docs(s, d).select("doc_id", "text", F.col("source").alias("product"))
+    products = F.explode(F.array(F.concat(F.lit("src"), F.col("qid") % 20), F.concat(F.lit("src"), (F.col("qid") + 1) % 20))).alias("product")
+    return top(bm25(docs, _ask(s, d), _ask(s, d).filter("qid % 3 > 0").select("qid", products)), 20)
+
+
+def _four(s, d):
+    found, asked = indexed(_docs(s, d).select("doc_id", "text")), _keyed(s, d)
+    keyed = top(bm25(found, asked.select("qid", "text")), 20)
+    return rrf([keyed, _dense_channel(s, d), top(heading_recall(_headings(s, d), _ask(s, d)), 20), original_channel(found, asked)])
+
+
 def _rerank(s, d):
     docs, ask = _docs(s, d).select("doc_id", "text"), _ask(s, d).select("qid", F.col("text").alias("query"))
     rows = bm25_top(s, d).join(docs, "doc_id").join(ask, "qid").withColumn("text", F.substring("text", 1, 900))
@@ -357,7 +413,18 @@ def _dense_sql(where: str) -> str:
     return f"WITH {DENSE} SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc WHERE {where}) WHERE rank <= 10"
 
 
+_KEYED = f"CASE WHEN item_id % 2 = 0 THEN array_to_string({_W.format('text')}[1:8], ' ') ELSE text END"
+_FOUR = f"""{STATS}, {A}, {_bm25_sql("k", _KEYED)}, {NEAR}, {HEAD}, o AS (SELECT a.* FROM a JOIN benchmark ON item_id = a.qid WHERE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace({_KEYED}, '\\s+', ' ', 'g')))),
+  u AS (SELECT qid, doc_id, 0 AS l, rank FROM k UNION ALL SELECT qid, doc_id, 1, rank FROM b UNION ALL SELECT qid, doc_id, 2, rank FROM c UNION ALL SELECT qid, doc_id, 3, rank FROM o), f AS (
+  SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf, min(l * 1000 + rank) AS first, max(rank) FILTER (l = 0) AS rank_0, max(rank) FILTER (l = 1) AS rank_1, max(rank) FILTER (l = 2) AS rank_2, max(rank) FILTER (l = 3) AS rank_3 FROM u GROUP BY qid, doc_id)"""
+
 QUERIES = {
+    "bm25_scoped": (
+        _scoped,
+        f"""WITH {STATS}, {A} SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM a_s JOIN documents USING (doc_id) WHERE score > 0 AND (qid % 3 = 0 OR source IN ('src' || (qid % 20), 'src' || ((qid + 1) % 20)))
+        QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 20""",
+    ),
+    "hybrid_original": (_four, f"WITH {_FOUR} SELECT qid, doc_id, rrf, rank_0, rank_1, rank_2, rank_3, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS rrf_rank FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) <= 32"),
     "bm25_topk": (bm25_top, f"WITH {STATS}, {A} SELECT qid, doc_id, score, rank FROM a"),
     "term_stats": (lambda s, d: term_stats(_docs(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {STATS} SELECT token, df, round(idf, 6) AS idf FROM stats"),
     "heading_recall": (lambda s, d: top(heading_recall(_headings(s, d), _ask(s, d)), 20), f"WITH {HEAD} SELECT qid, doc_id, score, coverage, rank FROM c"),
