@@ -17,10 +17,14 @@ others. Publishing nothing is an error.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import SECTIONS, sections, shared_dir
+
 HISTORY = "seq bigint, action string, version bigint, product string"
 #: Rows of a file, so that one fits a task that hashes it.
 FILE_ROWS = 1_000_000
@@ -126,3 +130,24 @@ def pending(spark: SparkSession, root: str) -> DataFrame:
 def mark_built(spark: SparkSession, root: str) -> None:
     """An index of the current version was built: nothing is pending."""
     _note(spark, root, "built", _latest(spark, root)[1], [None])
+
+
+def _published(s, d) -> DataFrame:
+    """Sections through three versions, of which the second is restored after an index was built and a third came."""
+    root, rows = f"{shared_dir(s)}/publication-{uuid.uuid4().hex}", sections(s, d).select("doc_id", "section_id", "product", "text")
+    publish({"sections": rows.filter("product <> 'src3'"), "products": rows.filter("product <> 'src3'").select("product").distinct()}, root, ["src0"])
+    publish({"sections": rows, "products": rows.select("product").distinct()}, root, ["src3"])
+    mark_built(s, root)
+    publish({"sections": rows.filter("doc_id % 2 = 0"), "products": rows.select("product").distinct()}, root, ["src1", "src2"])
+    restore(s, root, 2)
+    counts = current(s, root, "sections").groupBy("product").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
+    waiting = pending(s, root).withColumn("pending", F.lit(True))
+    return counts.join(waiting, "product", "left").select("product", "sections", "chars", F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
+QUERIES = {
+    "published_sections": (
+        _published,
+        f"WITH {SECTIONS} SELECT product, count(*) AS sections, CAST(sum(char_len) AS BIGINT) AS chars, product IN ('src1', 'src2') AS pending FROM sections GROUP BY product",
+    ),
+}
