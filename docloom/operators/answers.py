@@ -39,8 +39,13 @@ def fuzzy_answers(questions: DataFrame, reviewed: DataFrame) -> DataFrame:
     Candidates come from joins on ``near_keys``, so no two questions are compared that share
     none. Too little coverage, or a second case that is nearly as good, gives no answer.
     """
-    q = questions.select("qid", question_tokens(F.col("question")).alias("tokens")).filter(F.size("tokens") >= 2)
-    r = reviewed.select("case_id", question_tokens(F.col("question")).alias("tokens"))
+    tokens = question_tokens(F.col("question")).alias("tokens")
+    return fuzzy_by_tokens(questions.select("qid", tokens), reviewed.select("case_id", tokens))
+
+
+def fuzzy_by_tokens(questions: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """``fuzzy_answers`` over ``tokens`` that are made already, of questions (qid) and reviewed cases (case_id)."""
+    q, r = questions.filter(F.size("tokens") >= 2), reviewed
     left = q.select("qid", F.size("tokens").alias("nq"), F.explode("tokens").alias("a")).withColumn("key", F.explode(near_keys(F.col("a"))))
     right = r.select("case_id", F.size("tokens").alias("nc"), F.explode("tokens").alias("b")).withColumn("key", F.explode(near_keys(F.col("b"))))
     pairs = left.join(right, "key").select("qid", "case_id", "nq", "nc", "a", "b").distinct()
