@@ -54,12 +54,12 @@ def timeline(log: DataFrame, minutes: int = 60) -> DataFrame:
         F.sum(F.when(F.col("category") == "chat", 1).otherwise(0)).alias("chats"),
         F.avg("duration_ms").alias("avg"),
         F.max("duration_ms").alias("max"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95"),
+        *(F.expr(f"percentile_disc(0.{p}) WITHIN GROUP (ORDER BY duration_ms)").alias(f"p{p}") for p in (95, 99)),
     )
     spine = end.select(F.explode(F.sequence(F.col("end") - (minutes - 1) * MINUTE, F.col("end"), F.lit(MINUTE))).alias("minute"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return spine.join(by, "minute", "left").select(
-        "minute", *(zero(F.col(c)).alias(c) for c in ("requests", "errors", "chats")), F.round(F.coalesce("avg", F.lit(0.0)), 6).alias("avg_ms"), F.coalesce("max", F.lit(0.0)).alias("max_ms"), F.coalesce("p95", F.lit(0.0)).alias("p95_ms")
+        "minute", *(zero(F.col(c)).alias(c) for c in ("requests", "errors", "chats")), F.round(F.coalesce("avg", F.lit(0.0)), 6).alias("avg_ms"), F.coalesce("max", F.lit(0.0)).alias("max_ms"), *(F.coalesce(p, F.lit(0.0)).alias(f"{p}_ms") for p in ("p95", "p99"))
     )
 
 
@@ -248,9 +248,9 @@ QUERIES = {
     "latency_percentiles": (lambda s, d: percentiles(requests(s, d), ["category"]), f"""WITH {REQUESTS} SELECT category, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95,
       quantile_disc(duration_ms, 0.99) AS p99, count(*) AS n FROM requests GROUP BY category"""),
     "minute_timeline": (lambda s, d: timeline(requests(s, d)), f"""WITH {REQUESTS}, m AS (SELECT *, completed_at - completed_at % 60000 AS minute FROM requests), g AS (
-      SELECT minute, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, count(*) FILTER (category = 'chat') AS chats, avg(duration_ms) AS a, max(duration_ms) AS x, quantile_disc(duration_ms, 0.95) AS p FROM m GROUP BY minute
+      SELECT minute, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors, count(*) FILTER (category = 'chat') AS chats, avg(duration_ms) AS a, max(duration_ms) AS x, quantile_disc(duration_ms, 0.95) AS p, quantile_disc(duration_ms, 0.99) AS q FROM m GROUP BY minute
       ), spine AS (SELECT unnest(range(e - 59 * 60000, e + 1, 60000)) AS minute FROM (SELECT max(minute) AS e FROM m))
-      SELECT minute, coalesce(requests, 0) AS requests, coalesce(errors, 0) AS errors, coalesce(chats, 0) AS chats, round(coalesce(a, 0), 6) AS avg_ms, coalesce(x, 0) AS max_ms, coalesce(p, 0) AS p95_ms FROM spine LEFT JOIN g USING (minute)"""),
+      SELECT minute, coalesce(requests, 0) AS requests, coalesce(errors, 0) AS errors, coalesce(chats, 0) AS chats, round(coalesce(a, 0), 6) AS avg_ms, coalesce(x, 0) AS max_ms, coalesce(p, 0) AS p95_ms, coalesce(q, 0) AS p99_ms FROM spine LEFT JOIN g USING (minute)"""),
     "latest_resolution": (lambda s, d: latest_resolution(feedback(s, d)), f"WITH {ENRICHED} SELECT request_id, resolution FROM resolution"),
     "product_quality": (lambda s, d: quality(requests(s, d), feedback(s, d)), f"WITH {ENRICHED} SELECT product, {QUALITY} FROM enriched GROUP BY product"),
     "quality_rollup": (lambda s, d: quality(requests(s, d), feedback(s, d), rollup=True), f"WITH {ENRICHED} SELECT coalesce(product, '*') AS product, {QUALITY} FROM enriched GROUP BY ROLLUP (product)"),

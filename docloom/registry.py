@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers", "operators.routing", "operators.vector_index", "operators.pictures", "operators.blocks", "operators.gates", "operators.reviewed", "operators.citations", "operators.structure", "operators.conversation", "operators.ingest", "streaming.jobs", "sources.publication", "streaming.index_stream", "streaming.state", "operators.evidence", "operators.catalogue", "operators.results"]
+MODULES = ["operators.monitor", "operators.texts", "operators.retrieval", "operators.answers", "operators.routing", "operators.vector_index", "operators.pictures", "operators.blocks", "operators.gates", "operators.reviewed", "operators.citations", "operators.structure", "operators.conversation", "operators.ingest", "streaming.jobs", "sources.publication", "streaming.index_stream", "streaming.state", "streaming.upserts", "operators.evidence", "operators.catalogue", "operators.results"]
 
 
 def _all() -> dict:
