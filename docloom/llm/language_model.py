@@ -49,6 +49,8 @@ GATHER_GRAMS = 1 << 21
 ORDER = 5
 #: Distinct words of which a task keeps the sum before it passes them on.
 GATHER = 250_000
+#: Bytes of text that are counted or scored at a time: grams take some fifty bytes for each.
+TEXT_BYTES = 1 << 20
 
 WORD, END, GRAM, HELD = 0, 1, 2, 3  # kinds of keys; HELD: grams of rows that aren't trained on
 
@@ -107,7 +109,7 @@ def training_counts(docs: DataFrame, order: int = 2) -> DataFrame:
                 columns = [pa.array(np.full(len(some), kind), pa.int32()), pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(some), np.int64))), pa.array(some), pa.array(n[a : a + 50_000])]
                 yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "code", "n"])
 
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             for kind in (GRAM, HELD):
                 train = part.column("train")
                 data, off = text_bytes(part.filter(train if kind == GRAM else pc.invert(train)).column("text"))
@@ -284,7 +286,7 @@ def score(docs: DataFrame, held_out: F.Column | None = None, order: int = 2) ->
             _TABLES[this] = table_of(code, many)
         table, keys = _TABLES.get(this), keys.cast(pa.large_binary())
         logs = np.log10((np.append(c, 0) + 0.1) / below)
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             data, off = text_bytes(part.column("text"))
             size = part.num_rows
             upto = np.zeros(len(data) + 1)
