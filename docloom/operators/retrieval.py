@@ -63,12 +63,21 @@ def indexed(docs: DataFrame) -> Postings:
 def bm25(docs: DataFrame | Postings, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score over ``queries`` (qid, text); repeated words of a query count again.
 
-    ``docs`` is a corpus or its postings. ``scope`` (qid, product) limits a query to products of the documents
+    ``docs`` is a corpus or its postings: of a corpus only words that some query has are kept before anything is shuffled by
+    words, so nothing is staged for one search; postings serve many. ``scope`` (qid, product) limits a query to products of the documents
     (doc_id, text, product); queries without a row in it have all. Statistics are the whole corpus' either way. Words of
     queries get their weights first, so the postings are joined once, by word or by word and product.
     """
-    found = docs if isinstance(docs, Postings) else indexed(docs)
-    asked = words_of(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times")).join(found.stats.select("token", "idf"), "token")
+    times = words_of(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times"))
+    if isinstance(docs, Postings):
+        found = docs
+    else:
+        some = times.select("token").distinct()
+        words = T.words(F.coalesce("text", F.lit("")))
+        terms = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
+        terms = terms.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")).join(some, "token", "left_semi")
+        found = Postings(terms, term_stats(docs).join(some, "token", "left_semi"), docs.agg(F.avg(F.size(words)).alias("avgdl")), docs)
+    asked = times.join(found.stats.select("token", "idf"), "token")
     rows = found.terms.join(F.broadcast(found.mean))
     if scope is None:
         rows = rows.join(asked, "token")
