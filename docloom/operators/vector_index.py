@@ -137,18 +137,47 @@ def search(index: Index, queries: DataFrame, n: int = 10, probes: int = 4, round
     return R.top(scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), n)
 
 
+#: Queries that the number of probes is fitted on, and the share of their neighbours that these must find.
+CALIBRATION, TARGET = 128, 0.96
+
+
+def _bounds(x: np.ndarray, known: pa.Table) -> np.ndarray:
+    """The best score that each cell may hold for each of the vectors ``x``."""
+    angle = np.arccos(np.clip(known.column("radius").to_numpy(), -1, 1))
+    near = np.arccos(np.clip(unit(x) @ matrix(known.column("centroid")).T, -1, 1))
+    return np.cos(np.maximum(near - angle - 1e-9, 0))
+
+
+def calibrated(index: Index, vectors: DataFrame, n: int = 10, target: float = TARGET) -> int:
+    """The fewest probes with which ``target`` of the neighbours of a sample are found: ``CALIBRATION`` of the ``vectors``, those of the smallest hashes of their ids.
+
+    Their neighbours come from an exact search. Vectors without clusters need nearly all cells.
+    """
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).withColumnRenamed("vec_id", "qid")
+    asked = whole(sample, "qid").dropDuplicates(["qid"]).toArrow()
+    known = index.cells.orderBy("cell").select("cell", "centroid", "radius").toArrow()
+    if not asked.num_rows or not known.num_rows:
+        return 1
+    spark = vectors.sparkSession
+    found = search(index, spark.createDataFrame(asked), n).select("qid", F.col("doc_id").alias("vec_id"))
+    hits = found.join(index.vectors.select("vec_id", "cell"), "vec_id").select("qid", "cell").toArrow()
+    place = np.argsort(np.argsort(-_bounds(matrix(asked.column("embedding")), known), axis=1, kind="stable"), axis=1)
+    row = {q: i for i, q in enumerate(asked.column("qid").to_pylist())}
+    column = {c: i for i, c in enumerate(known.column("cell").to_pylist())}
+    ranks = sorted(place[row[q], column[c]] for q, c in zip(hits.column("qid").to_pylist(), hits.column("cell").to_pylist(), strict=True))
+    return int(ranks[max(0, -(-int(len(ranks) * target * 1000) // 1000) - 1)]) + 1 if ranks else 1
+
+
 def _probed(asked: DataFrame, cells: DataFrame, probes: int, further: bool = False) -> DataFrame:
     """The cells (cell) that each query looks into: the best ``probes`` by bound or, ``further``, all others whose bound reaches ``least``."""
     known = cells.orderBy("cell").select("cell", "centroid", "radius").toArrow()  # at most MOST_CELLS rows
-    number, angle = known.column("cell").to_numpy(), np.arccos(np.clip(known.column("radius").to_numpy(), -1, 1))
-    centroids = matrix(known.column("centroid")) if known.num_rows else None
+    number = known.column("cell").to_numpy()
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows or centroids is None:
+            if not batch.num_rows or not known.num_rows:
                 continue
-            near = np.arccos(np.clip(unit(matrix(batch.column("embedding"))) @ centroids.T, -1, 1))
-            bound = np.cos(np.maximum(near - angle - 1e-9, 0))
+            bound = _bounds(matrix(batch.column("embedding")), known)
             order = np.argsort(-bound, axis=1, kind="stable")
             take = np.zeros(bound.shape, bool)
             np.put_along_axis(take, order[:, :probes], True, axis=1)
@@ -192,7 +221,8 @@ def _query(s, d, rounds: int, exact: bool) -> DataFrame:
     vectors = table(s, d, "embeddings").select("vec_id", "embedding")
     index = build(vectors, f"{shared_dir(s)}/vector-index-{uuid.uuid4().hex}")
     asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid")
-    return search(index, asked, 10, rounds=rounds, exact=vectors if exact else None).select("qid", "doc_id", "score", "rank")
+    probes = 4 if rounds > 1 else calibrated(index, vectors)
+    return search(index, asked, 10, probes, rounds, exact=vectors if exact else None).select("qid", "doc_id", "score", "rank")
 
 
 QUERIES = {

@@ -81,3 +81,14 @@ def test_an_empty_index(spark, tmp_path):
     rows, asked = tables(spark, clustered(40), 5)
     index = V.build(rows.limit(0), str(tmp_path / "index"))
     assert V.search(index, asked, 3).count() == 0 and V.search(index, asked, 3, exact=rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("groups, least", [(12, 0.9), (3000, 0.9)])
+def test_recall_of_as_many_probes_as_a_sample_needs(spark, tmp_path, groups, least):
+    x = clustered(3000, seed=5, groups=groups)
+    rows, asked = tables(spark, x, 30)
+    index = V.build(rows, str(tmp_path / "index"))
+    probes = V.calibrated(index, rows)
+    found = {(r.qid, r.doc_id) for r in V.search(index, asked, 10, probes, 1, exact=rows).collect()}
+    want = {(q, i) for q, i, _ in plain(x, range(0, 3000, 30), 10)}
+    assert len(found & want) / len(want) >= least and (probes < 30 or groups > 12)
