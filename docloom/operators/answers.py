@@ -144,27 +144,41 @@ def content_vote(ranked: DataFrame, most: int = 18, n: int = 3) -> DataFrame:
 CJK = r"[\u3400-\u9fff]"
 
 
-def alias_route(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+#: Aliases that go to every task in one pass over the questions, and first words of aliases that runs of words are looked for by.
+MOST_ALIASES, MOST_FIRST = 1 << 20, 4096
+
+
+def alias_route(questions: DataFrame, aliases: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
     """The product of the longest alias (alias, product) that stands as words in a question, or with Chinese characters anywhere in it.
 
     Questions become runs of as many words as aliases have, and runs of characters of the lengths that
-    Chinese aliases have, so the match is a join.
+    Chinese aliases have, so the match is a join. Aliases go to the tasks, ``most`` at a time, so runs are never shuffled.
     """
     a = aliases.select(F.array_join(T.words(F.col("alias")), " ").alias("phrase"), "product").filter("phrase <> ''")
     a = a.groupBy("phrase").agg(F.max("product").alias("product")).withColumn("cjk", F.col("phrase").rlike(CJK))
     counts = sorted(r[0] for r in a.select(F.size(F.split("phrase", " "))).distinct().collect())
     sizes = sorted(r[0] for r in a.filter("cjk").select(F.length("phrase")).distinct().collect())
+    first = [r[0] for r in a.select(F.substring_index("phrase", " ", 1)).distinct().limit(MOST_FIRST + 1).collect()]
+    begins = lambda w: w.isin(first) if len(first) <= MOST_FIRST else F.lit(True)
     said = questions.select("qid", T.words(F.coalesce("text", F.lit(""))).alias("said"))
-    run = lambda n: F.filter(F.transform("said", lambda _, i: F.when(i + n <= F.size("said"), F.array_join(F.slice("said", i + 1, F.lit(n)), " "))), lambda x: x.isNotNull())
+    said = said.withColumn("at", F.array_compact(F.transform("said", lambda w, i: F.when(begins(w), i + 1))))
+    run = lambda n: F.array_compact(F.transform("at", lambda i: F.when(i + n - 1 <= F.size("said"), F.array_join(F.slice("said", i, F.lit(n)), " "))))
     runs = said.select("qid", F.explode(F.concat(F.array().cast("array<string>"), *map(run, counts))).alias("phrase"))
     if sizes:
         flat = said.select("qid", F.array_join("said", " ").alias("flat")).filter(F.col("flat").rlike(CJK))
-        size = F.explode(F.array(*map(F.lit, sizes))).alias("size")
-        places = flat.select("qid", "flat", size).filter(F.length("flat") >= F.col("size"))
-        places = places.select("qid", "flat", "size", F.explode(F.sequence(F.lit(1), F.length("flat") - F.col("size") + 1)).alias("at"))
-        cut = places.select("qid", F.substring(F.col("flat"), F.col("at"), F.col("size")).alias("phrase")).filter(F.col("phrase").rlike(CJK))
-        runs = runs.unionByName(cut)
-    return runs.join(a, "phrase").groupBy("qid").agg(F.max_by("product", F.struct(F.length("phrase"), "product")).alias("product"), F.max(F.length("phrase")).alias("size"))
+        # what is farther from Chinese characters than an alias is long can't be inside one; a line break stands for it
+        far, k = CJK.replace("[", "[^"), max(sizes[-1] - 1, 1)
+        chars = F.split(F.regexp_replace("flat", f"({far}{{{k}}}){far}*({far}{{{k}}})", "$1\n$2"), "")
+        cut = lambda n: F.transform("chars", lambda _, i: F.array_join(F.slice("chars", i + 1, F.lit(n)), ""))
+        near = flat.select("qid", F.filter(chars, lambda c: c != "").alias("chars"))
+        places = near.select("qid", F.explode(F.array_distinct(F.filter(F.concat(*map(cut, sizes)), lambda x: x.rlike(CJK)))).alias("phrase"))
+        runs = runs.unionByName(places)
+    passes = max(1, -(-a.count() // most))
+    found = None
+    for i in range(passes):
+        part = runs.join(F.broadcast(a.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == i)), "phrase").select("qid", "phrase", "product")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("qid").agg(F.max_by("product", F.struct(F.length("phrase"), "product")).alias("product"), F.max(F.length("phrase")).alias("size"))
 
 
 def best_product(scored: DataFrame, n: int = 3) -> DataFrame:
