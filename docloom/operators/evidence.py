@@ -133,8 +133,9 @@ def kept_or_all(rows: DataFrame, keep: Column, by: str = "qid") -> DataFrame:
 
 
 def quality_label(text: Column, target: int = 720) -> Column:
+    """By characters: ``short`` below 140, ``long`` beyond 1.4 times the target (in whole numbers, as 1.4 * 720 is below 1008 in floating point)."""
     n = F.length(text)
-    return F.when(n < 140, "short").when(n > 1.4 * target, "long").otherwise("ready")
+    return F.when(n < 140, "short").when(5 * n > 7 * target, "long").otherwise("ready")
 
 
 def trace_kind(row: dict[str, Column]) -> Column:
