@@ -151,8 +151,8 @@ def narrowed(ranked: DataFrame, questions: DataFrame) -> DataFrame:
     for name, what in (
         ("leaders", F.sum((F.col("hits") == F.col("best.hits")).cast("int"))),
         ("news", F.max(F.size(F.array_except("shared", "best.shared")))),
-        ("primary", F.max((F.col("role") == "primary").cast("int"))),
-        ("support", F.max((F.col("role") == "support").cast("int"))),
+        ("primary", F.max(F.coalesce(F.col("role") == "primary", F.lit(False)).cast("int"))),
+        ("support", F.max(F.coalesce(F.col("role") == "support", F.lit(False)).cast("int"))),
     ):
         rows = rows.withColumn(name, what.over(w))
     both = (F.col("primary") == 1) & (F.col("support") == 1)

@@ -64,3 +64,10 @@ def test_figures_of_a_group_leave_out_seeds(spark):
 def test_objects_in_fences(spark):
     for text, want in (('```json\n{"a": 1}\n```', 1), (' {"a": 2} ', 2), ("```\nno\n```", None), ('{"a": ', None), (None, None)):
         assert one(spark, X.fenced_json("t", "a int")["a"], t=text) == want
+
+
+def test_narrowing_without_any_role(spark):
+    asked = spark.createDataFrame([(1, "clean the filter basket")], "qid int, text string")
+    rows = [(1, 1, 1, "other", None), (1, 2, 2, "Clean filter", None)]
+    got = X.narrowed(spark.createDataFrame(rows, "qid int, doc_id int, rank int, heading string, role string"), asked).collect()
+    assert [tuple(r) for r in got] == [(1, 2, "primary", 2)]
