@@ -50,9 +50,8 @@ def with_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 def keyword_expansion(docs: DataFrame, keywords: DataFrame, each: int = 5) -> DataFrame:
     """The best ``each`` documents of every keyword (qid, place, text), one list a query: in the order of keywords, the first of equal ones stays."""
-    key = keywords.withColumn("key", F.col("qid") * 1000 + F.col("place"))
-    hits = R.top(R.bm25(docs, key.select(F.col("key").alias("qid"), "text")), each).withColumnRenamed("qid", "key")
-    first = hits.join(key.select("key", "qid", "place"), "key").groupBy("qid", "doc_id").agg(F.min(F.struct("place", "rank")).alias("at"))
+    hits = R.top(R.bm25(docs, keywords.select(F.col("text").alias("qid"), "text").distinct()), each).withColumnRenamed("qid", "text")  # equal keywords are searched once
+    first = hits.join(keywords.select("qid", "place", "text"), "text").groupBy("qid", "doc_id").agg(F.min(F.struct("place", "rank")).alias("at"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at"))).drop("at")
 
 
