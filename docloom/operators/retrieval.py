@@ -60,33 +60,44 @@ def indexed(docs: DataFrame) -> Postings:
     return Postings(terms, stats, mean, docs)
 
 
-def bm25(docs: DataFrame | Postings, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+#: Words of queries that go to every task; beyond, postings and queries are joined by words.
+MOST_ASKED = 1 << 20
+
+
+def bm25(docs: DataFrame | Postings, queries: DataFrame, scope: DataFrame | None = None, most: int = MOST_ASKED) -> DataFrame:
     """qid, doc_id, score over ``queries`` (qid, text); repeated words of a query count again.
 
-    ``docs`` is a corpus or its postings: of a corpus only words that some query has are kept before anything is shuffled by
-    words, so nothing is staged for one search; postings serve many. ``scope`` (qid, product) limits a query to products of the documents
-    (doc_id, text, product); queries without a row in it have all. Statistics are the whole corpus' either way. Words of
-    queries get their weights first, so the postings are joined once, by word or by word and product.
+    ``docs`` is a corpus or its postings: of a corpus only words that some query has are kept before anything is
+    shuffled, so nothing is staged for one search; postings serve many. ``scope`` (qid, product) limits a query to products of the documents
+    (doc_id, text, product); queries without a row in it have all. Statistics are the whole corpus' either way.
+
+    Postings are shuffled once, by document. Words of queries, with their weights, come to them by broadcast (up to ``most``, by joins beyond),
+    so pairs of query and document are made and added up where the document is, and never shuffled.
     """
+    words = T.words(F.coalesce("text", F.lit("")))
     times = words_of(queries, "qid").groupBy("qid", "token").agg(F.count("*").alias("times"))
+    limits = None if scope is None else scope.select("qid", "product").distinct().withColumn("bound", F.lit(True))
+    sizes = queries.select("qid", F.size(words).alias("n"))
+    if limits is not None:
+        sizes = sizes.join(limits.groupBy("qid").agg(F.count("*").alias("m")), "qid", "left").select((F.col("n") * F.coalesce("m", F.lit(1))).alias("n"))
+    few = (sizes.agg(F.sum("n")).first()[0] or 0) <= most
+    everywhere = F.broadcast if few else (lambda rows: rows)
+    some = everywhere(times.select("token").distinct())
     if isinstance(docs, Postings):
         found = docs
+        terms = found.terms.join(some, "token", "left_semi").repartition("doc_id")
     else:
-        some = times.select("token").distinct()
-        words = T.words(F.coalesce("text", F.lit("")))
-        terms = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
-        terms = terms.groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf")).join(some, "token", "left_semi")
+        rows = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("token"))
+        terms = rows.join(some, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
         found = Postings(terms, term_stats(docs).join(some, "token", "left_semi"), docs.agg(F.avg(F.size(words)).alias("avgdl")), docs)
     asked = times.join(found.stats.select("token", "idf"), "token")
-    rows = found.terms.join(F.broadcast(found.mean))
-    if scope is None:
-        rows = rows.join(asked, "token")
+    rows = terms.join(F.broadcast(found.mean))
+    if limits is None:
+        rows = rows.join(everywhere(asked), "token")
     else:
-        limits = scope.select("qid", "product").distinct()
-        free = rows.join(asked.join(limits.select("qid").distinct(), "qid", "left_anti"), "token")
-        of = found.docs.select("doc_id", "product")
-        bound = rows.join(asked.join(limits, "qid").select("token").distinct(), "token", "left_semi").join(of, "doc_id").join(asked.join(limits, "qid"), ["token", "product"]).drop("product")
-        rows = free.unionByName(bound)
+        said = asked.join(limits.withColumnRenamed("product", "only"), "qid", "left").withColumnRenamed("token", "said")
+        rows = rows.join(found.docs.select("doc_id", "product"), "doc_id")
+        rows = rows.join(everywhere(said), (F.col("token") == F.col("said")) & (F.col("bound").isNull() | (F.col("only") == F.col("product"))))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score")).filter("score > 0")
 
@@ -116,13 +127,19 @@ def heading_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(kept, stem))
 
 
-def heading_recall(headings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Headings (doc_id, heading) by shared terms: coverage, precision, hits in the leaf, and whole parts in the question."""
+def heading_recall(headings: DataFrame, queries: DataFrame, most: int = MOST_ASKED) -> DataFrame:
+    """Headings (doc_id, heading) by shared terms: coverage, precision, hits in the leaf, and whole parts in the question.
+
+    Headings are shuffled once, by document; queries of up to ``most`` terms come to them by broadcast, so pairs aren't shuffled.
+    """
     q = queries.select("qid", heading_terms(F.col("text")).alias("q_terms"), T.question_key(F.col("text")).alias("q_text"))
     leaf = F.element_at(F.concat(F.array(F.lit("")), T.heading_parts(F.col("heading"))), -1)
     h = headings.select("doc_id", heading_terms(F.col("heading")).alias("h_terms"), heading_terms(leaf).alias("leaf"), F.transform(T.heading_parts(F.lower("heading")), lambda p: F.regexp_replace(p, r"\s+", " ")).alias("parts"))
-    pairs = q.select("qid", F.explode("q_terms").alias("term")).join(h.select("doc_id", F.explode("h_terms").alias("term")), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("hits"))
-    rows = pairs.join(h, "doc_id").join(q, "qid")
+    few = (q.agg(F.sum(F.size("q_terms"))).first()[0] or 0) <= most
+    everywhere = F.broadcast if few else (lambda rows: rows)
+    h = h.repartition("doc_id")  # pairs are made where the heading is
+    pairs = h.select("doc_id", F.explode("h_terms").alias("term")).join(everywhere(q.select("qid", F.explode("q_terms").alias("term"))), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("hits"))
+    rows = pairs.join(h, "doc_id").join(everywhere(q), "qid")
     coverage, precision = F.col("hits") / F.greatest(F.size("q_terms"), F.lit(1)), F.col("hits") / F.greatest(F.size("h_terms"), F.lit(1))
     exact = F.exists("parts", lambda p: (F.length(p) >= 3) & F.contains(F.col("q_text"), p))
     score = 0.56 * coverage + 0.28 * precision + 0.08 * F.least(F.size(F.array_intersect("q_terms", "leaf")), F.lit(2)) + F.when(exact, 0.45).otherwise(0.0)
@@ -307,10 +324,11 @@ def _candidates(s, d):
     """Ranked candidates with a lexical stand-in for the cosine: the share of the question's words."""
     asked = words_of(_ask(s, d), "qid").distinct()
     size = asked.groupBy("qid").agg(F.count("*").alias("size"))
-    best = bm25_top(s, d)
-    docs = _docs(s, d).join(best.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    best = staged(bm25_top(s, d), "candidates")
+    some = best.select("doc_id").distinct()
+    docs = _docs(s, d).join(some, "doc_id", "left_semi").select("doc_id", "text")
     shared = words_of(docs, "doc_id").distinct().join(asked, "token").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"))
-    heads = heading_recall(_headings(s, d), _ask(s, d)).select("qid", "doc_id", "coverage")
+    heads = heading_recall(_headings(s, d).join(some, "doc_id", "left_semi"), _ask(s, d)).select("qid", "doc_id", "coverage")
     rows = best.join(shared, ["qid", "doc_id"]).join(size, "qid").join(heads, ["qid", "doc_id"], "left")
     return rows.select("qid", "doc_id", "rank", F.col("score").alias("bm25"), F.round(F.col("shared") / F.col("size"), 6).alias("cosine"), F.coalesce("coverage", F.lit(0.0)).alias("heading_coverage"))
 
