@@ -222,7 +222,7 @@ def l2_normalize(v: Column) -> Column:
 
 
 #: Rows of one product of matrices.
-QUERY_SLICE, VECTOR_BLOCK = 2048, 20_000
+QUERY_SLICE, VECTOR_BLOCK, QUERY_CHUNK = 2048, 20_000, 64
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, n: int, scope: str | None = None) -> DataFrame:
@@ -241,18 +241,29 @@ def dense_top(vectors: DataFrame, queries: DataFrame, n: int, scope: str | None
         x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def codes(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        both = pa.concat_arrays([t.column(scope).combine_chunks() for t in (left, right)]).dictionary_encode().indices
+        return both[: left.num_rows].fill_null(-1).to_numpy(), both[left.num_rows :].fill_null(-2).to_numpy()
+
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, vec = right.column("qid").to_numpy(), left.column("vec_id").to_numpy()
-        scores = np.round(matrix(left) @ matrix(right).T, 6)
-        if scope:
-            scores[np.array(left.column(scope).to_pylist(), object)[:, None] != np.array(right.column(scope).to_pylist(), object)[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(vec[:, None], scores.shape), -scores), axis=0)[:n]
-        qid, hit = np.repeat(ids, len(order)), order.T.ravel()
-        score = scores[hit, np.repeat(np.arange(len(ids)), len(order))]
-        keep = score > -2
-        return pa.table({"qid": pa.array(qid[keep]), "doc_id": pa.array(vec[hit][keep]), "score": pa.array(score[keep])})
+        qids, hits, best = [ids[:0]], [vec[:0]], [np.empty(0)]
+        if len(ids) and len(vec):
+            x, (of, only) = matrix(left), codes(left, right) if scope else (None, None)
+            least = min(n, len(vec))
+            for at in range(0, len(ids), QUERY_CHUNK):  # a few queries at a time: their scores are all that a task holds beside its vectors
+                scores = np.round(matrix(right.slice(at, QUERY_CHUNK)) @ x.T, 6)
+                if scope:
+                    scores[only[at : at + QUERY_CHUNK, None] != of[None, :]] = -2
+                row, hit = np.nonzero((scores >= np.partition(scores, -least, axis=1)[:, -least, None]) & (scores > -2))
+                score = scores[row, hit]
+                order = np.lexsort((vec[hit], -score, row))  # with those that tie with the n-th
+                row, hit, score = row[order], hit[order], score[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+                qids.append(ids[at + row[keep]])
+                hits.append(vec[hit[keep]])
+                best.append(score[keep])
+        return pa.table({"qid": pa.array(np.concatenate(qids), pa.int64()), "doc_id": pa.array(np.concatenate(hits), pa.int64()), "score": pa.array(np.concatenate(best), pa.float64())})
 
     found = v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(product, "qid bigint, doc_id bigint, score double")
     return top(found, n)
