@@ -59,6 +59,11 @@ def _files(spark: SparkSession, root: str, version: int) -> DataFrame:
     return files.select(F.element_at(path, -2).alias("name"), F.element_at(path, -1).alias("file"), F.length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
 
 
+def _manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """``_files`` as one file's rows; the files are hashed before, each by a task of its own partition."""
+    return _files(spark, root, version).repartition(1)
+
+
 def stage(tables: dict[str, DataFrame], root: str, version: int) -> None:
     """Write a version's tables, then its manifest. Nobody reads them yet."""
     if not tables:
@@ -66,7 +71,7 @@ def stage(tables: dict[str, DataFrame], root: str, version: int) -> None:
     spark = next(iter(tables.values())).sparkSession
     for name, rows in tables.items():
         rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/v{version}/tables/{name}")
-    _files(spark, root, version).coalesce(1).write.mode("overwrite").parquet(f"{root}/v{version}/manifest")
+    _manifest(spark, root, version).write.mode("overwrite").parquet(f"{root}/v{version}/manifest")
 
 
 def faults(spark: SparkSession, root: str, version: int) -> DataFrame:

@@ -119,3 +119,11 @@ def test_batches_and_merges_that_are_done_again(spark, tmp_path, monkeypatch):
             I.build(spark, root)
     assert got() == want and {r.state for r in I.state(spark, root).collect()} == {"pending"}
     assert I.build(spark, root) == 1 and got() == want
+
+
+def test_a_manifest_is_not_hashed_in_one_task(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    P.publish(sections(spark, ["a", "b"]), root, ["a", "b"])
+    plan = P._manifest(spark, root, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" in plan and "Coalesce 1" not in plan
+    assert len(spark.read.parquet(f"{root}/v1/manifest").inputFiles()) == 1
