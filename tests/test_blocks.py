@@ -101,6 +101,19 @@ def test_quotations(spark):
     assert got == want and {w[2] for w in want.values()} == {True, False}
 
 
+def test_quotations_shuffle_no_pairs_of_characters(spark):
+    df = rows(spark, [("head\nOpen the valve. Öffne das Ventil! 清洁滤网机器打开", "Öffne das Ventil, open a valve 清洁滤网打开")], "answer", "source")
+    out = B.literal_answers(df.select("qid", "answer"), df.select("qid", "source"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(x.units, x.matched, x.literal) for x in out.collect()] == [plain_literal(*df.first()[1:])]
+
+
+def test_answers_of_equal_id_are_judged_alone(spark):
+    answers = spark.createDataFrame([(1, "a\nopen the valve"), (1, "b\nqqqqqq wwwwww")], "qid long, answer string")
+    sources = spark.createDataFrame([(1, "open the valve")], "qid long, source string")
+    assert [(x.units, x.matched, x.literal) for x in B.literal_answers(answers, sources).collect()] == [(2, 1, False)]
+
+
 @pytest.mark.parametrize(
     "draft, source, opening",
     [
