@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ MARKDOWN = [
     (r"(?m)^[ \t]*>[ \t]?", ""),
     (r"\\([*_`\[\]()])", "$1"),
 ]
+#: What each match of these has.
+MARKDOWN_NEEDS = [["```"], [], ["**"], ["*"], ["`"], ["#"], ["- ", "* ", "+ ", "-\t", "*\t", "+\t"], [">"], ["\\"]]
 URL = r"(?:https?://|www\.)[^\s<>\"']+"
 
 
@@ -71,10 +75,23 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "\n{4,}", "\n\n\n"), r"^\s+|\s+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def replaced(text: Column, pattern: str, by: str, *needs: str) -> Column:
+    """``regexp_replace`` that reads only texts with one of the strings that each match ``needs``; with none given, all."""
+    if not needs:
+        return F.regexp_replace(text, pattern, by)
+    there = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(n)) for n in needs])
+    return once(text, lambda x: F.when(there(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
 def strip_markdown(text: Column) -> Column:
     """Fences, table rules, emphasis, code, headings, lists, quotes and escapes without their marks; lines stay."""
-    for pattern, by in MARKDOWN:
-        text = F.regexp_replace(text, pattern, by)
+    for (pattern, by), needs in zip(MARKDOWN, MARKDOWN_NEEDS, strict=True):
+        text = replaced(text, pattern, by, *needs)
     return text
 
 

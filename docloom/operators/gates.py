@@ -165,15 +165,22 @@ def submissions(rows: DataFrame, is_service: Column) -> DataFrame:
     Service answers have no pictures and no contacts. Of the others marks and pictures are brought to the same number. Where
     nothing is left, a fixed sentence stands.
     """
-    pics = F.coalesce("pics", F.array().cast("array<string>"))
-    plain, inline = S.inline_pictures(S.reference_symbols(T.strip_markdown(_text(F.col("answer")))))
-    out = rows.select("id", is_service.alias("service"), plain.alias("t"), F.array_distinct(F.filter(F.concat(inline, pics), lambda p: F.trim(_text(p)) != "")).alias("p"), S.inline_pictures(T.strip_markdown(_text(F.col("answer"))))[0].alias("s"))
-    service = S.tidy_blanks(T.redact(S.without_names(F.replace(S.picture_marks(F.col("s")), F.lit("<PIC>"), F.lit("")))))
-    marked = S.without_names(S.repaired_marks(S.picture_marks(F.col("t")), F.size("p")), F.col("p"))
-    pieces = F.split(F.col("m"), "<PIC>", -1)
-    kept = F.array_join(F.transform(pieces, lambda piece, i: F.concat(F.when((i > 0) & (i <= F.size("p")), "<PIC>").otherwise(""), piece)), "")
-    out = out.withColumn("m", marked).withColumn("pics", F.slice("p", 1, F.least(F.size("p"), F.size(pieces) - 1))).withColumn("m", S.tidy_blanks(kept))
-    answer = F.when(F.col("service"), F.when(service == "", NO_REPLY).otherwise(service)).otherwise(F.when(F.col("m") == "", NO_ANSWER).otherwise(F.col("m")))
+    none = F.array().cast("array<string>")
+    # One step to a column: what several later expressions read is worked out once, and only for the kind of answer that needs it.
+    out = rows.select("id", is_service.alias("service"), F.coalesce("pics", none).alias("pics"), T.strip_markdown(_text(F.col("answer"))).alias("t"))
+    out = out.withColumn("t", F.when(F.col("service"), F.col("t")).otherwise(S.reference_symbols(F.col("t"))))
+    plain, inline = S.inline_pictures(F.col("t"))
+    named = F.array_distinct(F.filter(F.concat(inline, "pics"), lambda p: F.trim(_text(p)) != ""))
+    out = out.select("id", "service", plain.alias("t"), F.when(F.col("service"), none).otherwise(named).alias("p"))
+    out = out.withColumn("t", S.picture_marks(F.col("t")))
+    bare = F.when(F.col("service"), F.replace("t", F.lit("<PIC>"), F.lit(""))).otherwise(S.repaired_marks(F.col("t"), F.size("p")))
+    out = out.withColumn("t", bare)
+    out = out.withColumn("t", S.without_names(F.col("t"), F.col("p")))
+    pieces = F.split(F.col("t"), "<PIC>", -1)
+    kept = F.array_join(F.transform("pieces", lambda piece, i: F.concat(F.when((i > 0) & (i <= F.size("p")), "<PIC>").otherwise(""), piece)), "")
+    out = out.withColumn("pieces", pieces).withColumn("pics", F.slice("p", 1, F.least(F.size("p"), F.size("pieces") - 1)))
+    out = out.withColumn("m", S.tidy_blanks(F.when(F.col("service"), T.redact(F.col("t"))).otherwise(kept)))
+    answer = F.when(F.col("service"), F.when(F.col("m") == "", NO_REPLY).otherwise(F.col("m"))).otherwise(F.when(F.col("m") == "", NO_ANSWER).otherwise(F.col("m")))
     shown = F.when(F.col("service") | (F.col("m") == ""), F.array().cast("array<string>")).otherwise(F.col("pics"))
     listed = F.concat(F.lit('["'), F.array_join(F.transform(shown, lambda p: F.regexp_replace(F.regexp_replace(p, r"\\", r"\\\\"), '"', r'\\"')), '", "'), F.lit('"]'))
     done = out.select("id", answer.alias("a"), shown.alias("pics"), listed.alias("list"))

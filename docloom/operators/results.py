@@ -18,6 +18,8 @@ PIC_MARKS = [
     (r"(?i)<\s*/\s*PIC\s*>", ""),
     (rf"<PIC>\s*({PIC_NAME})", "<PIC>"),
 ]
+#: What each match of these has.
+PIC_NEEDS = [["/"], list("[【(（《"), ["<"], ["/"], ["<PIC>"]]
 PIC_REF = r"(?i)\[\[\s*PIC\s*:\s*([^\]\n]+?)\s*\]\]"
 BARE_PIC = r"(?<![<A-Za-z])PIC(?![A-Za-z>])"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
@@ -31,8 +33,8 @@ def _text(col: Column | str) -> Column:
 def picture_marks(text: Column | str) -> Column:
     """All spellings of a picture's mark as ``<PIC>``; names inside or right after a mark go. Null: empty."""
     out = _text(text)
-    for pattern, by in PIC_MARKS:
-        out = F.regexp_replace(out, pattern, by)
+    for (pattern, by), needs in zip(PIC_MARKS, PIC_NEEDS, strict=True):
+        out = T.replaced(out, pattern, by, *needs)
     return out
 
 
@@ -51,19 +53,27 @@ def named_pictures(text: Column | str, pics: Column) -> Column:
 
 def repaired_marks(text: Column | str, expected: Column) -> Column:
     """The first bare words ``PIC`` as marks, as many as are missing from ``expected``."""
-    missing = F.greatest(expected - F.size(F.split(_text(text), "<PIC>", -1)) + 1, F.lit(0))
-    pieces = F.split(_text(text), BARE_PIC, -1)
-    return F.array_join(F.transform(pieces, lambda piece, i: F.concat(F.when(i == 0, "").when(i <= missing, "<PIC>").otherwise("PIC"), piece)), "")
+
+    def mended(out: Column) -> Column:
+        marks = ((F.length(out) - F.length(F.replace(out, F.lit("<PIC>"), F.lit("")))) / 5).cast("int")
+        pieces = lambda missing: F.transform(F.split(out, BARE_PIC, -1), lambda piece, i: F.concat(F.when(i == 0, "").when(i <= missing, "<PIC>").otherwise("PIC"), piece))
+        return F.when(expected > marks, F.array_join(pieces(expected - marks), "")).otherwise(out)
+
+    return T.once(_text(text), mended)
 
 
 def reference_symbols(text: Column | str) -> Column:
     """Circled numbers as characters; in a line that has ① and ③ a circled letter or an empty circle is ②."""
-    out = _text(text)
-    for n, sign in enumerate(CIRCLED, 1):
-        out = F.regexp_replace(out, rf"\$?\\textcircled\{{(?:\\scriptsize\{{)?{n}\}}?\}}\$?", sign)
-    out = F.regexp_replace(out, r"\$\\circledcirc\$|\\circledcirc", "②")
+
+    def signs(out: Column) -> Column:
+        for n, sign in enumerate(CIRCLED, 1):
+            out = F.regexp_replace(out, rf"\$?\\textcircled\{{(?:\\scriptsize\{{)?{n}\}}?\}}\$?", sign)
+        return F.regexp_replace(out, r"\$\\circledcirc\$|\\circledcirc", "②")
+
     mend = lambda line: F.when(line.contains("①") & line.contains("③"), F.regexp_replace(line, SECOND, "②")).otherwise(line)
-    return F.array_join(F.transform(F.split(out, "\n", -1), mend), "\n")
+    lines = lambda out: F.array_join(F.transform(F.split(out, "\n", -1), mend), "\n")
+    out = T.once(_text(text), lambda x: F.when(F.contains(x, F.lit("circled")), signs(x)).otherwise(x))
+    return T.once(out, lambda x: F.when(F.contains(x, F.lit("①")) & F.contains(x, F.lit("③")), lines(x)).otherwise(x))
 
 
 def without_names(text: Column | str, pics: Column | None = None) -> Column:
@@ -71,16 +81,16 @@ def without_names(text: Column | str, pics: Column | None = None) -> Column:
     out = _text(text)
     if pics is not None:
         longest = F.transform(F.sort_array(F.transform(F.filter(pics, lambda p: p != ""), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))), asc=False), lambda s: F.concat(F.lit(r"\Q"), s["p"], F.lit(r"\E")))
-        out = F.when(F.size(longest) > 0, F.regexp_replace(out, F.concat(F.lit(r"\b(?:"), F.array_join(longest, "|"), F.lit(r")\b")), F.lit(""))).otherwise(out)
-    return F.regexp_replace(out, rf"\b{PIC_NAME}\b", "")
+        out = F.when(F.exists(pics, lambda p: (p != "") & F.contains(out, p)), F.regexp_replace(out, F.concat(F.lit(r"\b(?:"), F.array_join(longest, "|"), F.lit(r")\b")), F.lit(""))).otherwise(out)
+    return T.replaced(out, rf"\b{PIC_NAME}\b", "", "_")
 
 
 def tidy_blanks(text: Column | str) -> Column:
     """One blank in place of several, none around line ends, one empty line at most, none at the ends."""
-    out = F.regexp_replace(_text(text), "\r\n?", "\n")
-    for pattern, by in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+", ""), (r"\s+$", "")):
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    out = T.replaced(_text(text), "\r\n?", "\n", "\r")
+    for pattern, by, *needs in ((r"[ \t]{2,}|\t", " ", "  ", "\t"), (r" +\n *|\n +", "\n", " \n", "\n "), (r"\n{3,}", "\n\n", "\n\n\n"), (r"^\n+", "", "\n")):
+        out = T.replaced(out, pattern, by, *needs)
+    return T.once(out, lambda x: F.when(F.right(x, F.lit(2)).rlike(r"[\s\x{85}\x{2028}\x{2029}]"), F.regexp_replace(x, r"\s+$", "")).otherwise(x))
 
 
 def compact(text: Column | str, limit: int) -> Column:

@@ -78,3 +78,9 @@ def test_rows_that_are_handed_in(spark):
     got = {r.id: r.ret for r in G.submissions(df, F.col("id").isin(4, 5)).collect()}
     assert got[1] == 'Open it <PIC> then <PIC> end,["a", "b"]' and got[2] == 'text <PIC> and <PIC>,["z9", "q"]' and got[3] == G.NO_ANSWER
     assert "138" not in got[4] and "@" not in got[4] and "<PIC>" not in got[4] and got[5] == G.NO_REPLY and got[6] == "no marks" and got[7] == 'x <PIC>,["a\\"b"]'
+
+
+def test_handed_in_rows_work_out_each_step_once(spark):
+    df = spark.createDataFrame([(1, "a", ["b"])], "id long, answer string, pics array<string>")
+    plan = G.submissions(df, F.col("id") == 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?m)^#{1,6}") == plan.count("(?i)<\\s*PIC\\s*>\\s*(") == 1

@@ -1,7 +1,10 @@
 """Rules of answers' clean-up, narrowing and figures on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.operators import results as X
 
 
@@ -71,3 +74,18 @@ def test_narrowing_without_any_role(spark):
     rows = [(1, 1, 1, "other", None), (1, 2, 2, "Clean filter", None)]
     got = X.narrowed(spark.createDataFrame(rows, "qid int, doc_id int, rank int, heading string, role string"), asked).collect()
     assert [tuple(r) for r in got] == [(1, 2, "primary", 2)]
+
+
+def test_patterns_read_only_texts_that_can_match(spark):
+    r = random.Random(3)
+    parts = ["a", " ", "  ", "\t", "\n", "\n\n\n", "\r\n", "\x85", "\u2028", "PIC", "<PIC>", "[pic]", "</pic>", "m1_2", "**b**", "# ", "- ", "`", ">", "\\*", "```"]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(0, 12))),) for _ in range(400)]
+    tidy = marks = bare = F.col("t")
+    for pattern, by in (("\r\n?", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\n+", ""), (r"\s+$", "")):
+        tidy = F.regexp_replace(tidy, pattern, by)
+    for pattern, by in X.PIC_MARKS:
+        marks = F.regexp_replace(marks, pattern, by)
+    for pattern, by in T.MARKDOWN:
+        bare = F.regexp_replace(bare, pattern, by)
+    df = spark.createDataFrame(rows, "t string").select(tidy.alias("a"), X.tidy_blanks("t").alias("b"), marks.alias("c"), X.picture_marks("t").alias("d"), bare.alias("e"), T.strip_markdown(F.col("t")).alias("f"))
+    assert df.filter("NOT (a <=> b AND c <=> d AND e <=> f)").collect() == []
