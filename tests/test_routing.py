@@ -1,6 +1,7 @@
 """Routing by names, clauses and content: the catalogue's rules on small cases, and against plain versions."""
 
 import random
+import re
 
 import pytest
 
@@ -66,6 +67,25 @@ def test_several_products(spark, terms):
     assert got == {0: (["Boat", "Vacuum", "Camera"], "explicit_multi_product"), 1: (["Camera", "Boat"], "clause_multi_product"), 3: (["Camera", "Vacuum"], "clause_multi_product")}
 
 
+def test_headings_meet_clauses_without_an_automaton(spark):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice(["ab", "é", " ", "-", "7", "热", "Ab "]) for _ in range(n))
+    clauses = [(i // 3, i % 3, say(r.randint(0, 30))) for i in range(60)] + [(99, 0, None)]
+    heads = [(f"p{i % 4}", c[2][k : k + r.randint(2, 9)]) for i in range(6) for c in clauses[:-1] for k in (0, 2, 5)] + [("p0", None)]
+    terms, want = {}, {}
+    for p, h in heads:
+        if h is not None and 3 <= len(t := re.sub(r"[ ]+", " ", h).strip(" ").lower()) <= 6:
+            terms.setdefault(t, set()).add(p)
+    for q, c, text in clauses:
+        low = re.sub(r"[ ]+", " ", text or "").lower()
+        found = {min(ps) for t, ps in terms.items() if len(ps) == 1 and re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)}
+        if len(found) == 1:
+            want[q, c] = min(found)
+    out = G.heading_evidence(spark.createDataFrame(clauses, "qid long, clause int, text string"), spark.createDataFrame(heads, "product string, heading string"), 3, 6)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(x.qid, x.clause): x.product for x in out.collect()} == want and len(want) > 5
+
+
 def test_one_name_of_the_catalogue(spark):
     names = spark.createDataFrame([("吸尘器",), ("吸尘器滤网",), ("Oven",), ("Steam Oven",)], "name string")
     got = {r.qid: (r.product, r.ambiguous) for r in G.named_product(asked(spark, ["我的吸尘器滤网", "steam oven", "吸尘器 oven", None, "OVENS", "吸尘器滤网与吸尘器"]), names).collect()}
