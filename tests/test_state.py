@@ -33,6 +33,15 @@ def test_the_last_verdict_and_the_first_of_others(spark, tmp_path, store):
         assert got == want
 
 
+def test_requests_of_a_group_meet_in_one_call(spark, tmp_path, store, monkeypatch):
+    monkeypatch.setattr(S, "GROUPS", 1)
+    rows = [(i, f"r{i % 50}", ["solved", "transfer", "unsolved", "ticket_open"][i // 50 % 4], i) for i in range(400)]
+    spark.createDataFrame(rows, KIND).coalesce(1).write.parquet(str(tmp_path / "in"))
+    S._run(S.standing_feedback(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), ttl=False), S.slot_sink(str(tmp_path / "out")), str(tmp_path), "update")
+    got = {(x.request_id, x.slot): (x.action, x.created_at) for x in S.standing(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 150 and got["r3", "verdict"] == ("unsolved", 303) and got["r3", "transfer"] == ("transfer", 53) and got["r3", "ticket_open"] == ("ticket_open", 153)
+
+
 def test_the_hottest_sessions_stay(spark, tmp_path):
     r = random.Random(6)
     sink, kept = S.hot_sessions_sink(str(tmp_path), most=5, keep=3), {}
